@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing
+from barloom.llm import media_gif, mixing, packing, sharding
 
 
 def queries() -> dict:
-    return {"op1_mixing_sources": mixing.op1_mixing_sources}
+    return {
+        "op1_mixing_sources": mixing.op1_mixing_sources,
+        "op3_gif_media": media_gif.op3_gif_media,
+        "op6_packing": packing.op6_packing,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict:
