@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from barloom.llm import media_gif, mixing, packing, sharding
+from barloom.llm import media_gif, mixing, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing_sources": mixing.op1_mixing_sources,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_gif_media": media_gif.op3_gif_media,
         "op6_packing": packing.op6_packing,
+        "op9_quality_rules": quality.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
     }
 
