@@ -145,6 +145,6 @@ def shingle_sets(texts: pa.Array, n: int):
                 yield np.unique(h[begin[i] : begin[i + 1]])
             elif b > a:
                 few = hashes[a:b]
-                yield mix(np.array([(few * SHINGLE_WEIGHTS[32 : 32 + len(few)]).sum() + U(len(few)) * SHINGLE_WEIGHTS[63]], U))
+                yield mix((few * SHINGLE_WEIGHTS[32 : 32 + len(few)]).sum(keepdims=True) + np.array([len(few)], U) * SHINGLE_WEIGHTS[63:])
             else:
                 yield np.zeros(0, U)
