@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import media_gif, mixing, ngram_join, packing, quality, sharding, toxicity
+from barloom.llm import media_gif, mixing, ngram_join, packing, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_gif_media": media_gif.op3_gif_media,
         "op6_packing": packing.op6_packing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
+        "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
     }
