@@ -171,15 +171,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, text: str =
     nodes = saved(table.where("prefix is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"), F.min("k").alias("k")), "nodes")
     # min(k) of the rows that carry a prefix: the text is found again by this key
     postings = table.where("prefix is not null").select("node", "size", F.posexplode("prefix").alias("pos", "shingle"))
-    hubs = postings.groupBy("shingle").agg(F.min(F.struct("size", "node")).alias("hub"), F.max("node").alias("last"), F.min("node").alias("first"))
-    hubs = hubs.where("first <> last").select("shingle", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
+    hubs = postings.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
     postings = saved(postings.join(hubs, "shingle"), "postings")
     verifier = Verifier(docs, nodes, n, percent, text, key)
 
     def ordered(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    star = postings.where("hub <> node").where(length_filter(F.col("size"), F.col("hub_size"), percent)).select(*ordered(F.col("hub"), F.col("node"))).distinct()
+    star = postings.where("hub <> node").select(*ordered(F.col("hub"), F.col("node"))).distinct()
     tried = saved(star, "tried")
     links = verifier.links(tried)
     round_ = 0
