@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from barloom.llm._words import Words, mix, slices, text_bytes
 
 #: Most labelled rows that the classifier is fitted on, chosen by a hash of the id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Bytes of the word beginnings that are features too.
 PREFIXES = (4, 5, 6, 7)
 #: Features kept, by chi-square on the sample.
@@ -64,6 +64,20 @@ def feature_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
+def distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature hashes of each text and the text's number, in the order of texts; made a few megabytes at a time."""
+    hashes, docs = [], []
+    for lo, hi in slices(texts):
+        h, doc = feature_hashes(Words(*text_bytes(texts.slice(lo, hi - lo))))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        hashes.append(h[new])
+        docs.append((doc[new] + lo).astype(np.int32))
+    return (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+
 def fit(texts: list[str], labels: np.ndarray, features: int = FEATURES, ridge: float = 1e-3, pairing: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights and the intercept. Without rows of both labels all weights are 0."""
     labels = labels.astype(float)
@@ -72,11 +86,12 @@ def fit(texts: list[str], labels: np.ndarray, features: int = FEATURES, ridge: f
     if len(labels) == 0 or labels.min() == labels.max():
         return np.zeros(0, np.uint64), np.zeros(0), bias
     other = [(i, s) for i, s in enumerate(map(swapped, texts)) if s is not None]
-    raw, off = text_bytes(pa.array([*texts, *[s for _, s in other]], pa.large_string()))
-    h, doc = feature_hashes(Words(raw, off))
-    vocabulary, at = np.unique(h, return_inverse=True)
-    pairs = np.unique(doc.astype(np.int64) * len(vocabulary) + at)
-    doc, at = pairs // len(vocabulary), pairs % len(vocabulary)
+    h, doc = distinct_features(pa.array([*texts, *[s for _, s in other]], pa.large_string()))
+    vocabulary, often = np.unique(h, return_counts=True)
+    vocabulary = vocabulary[often >= 3]
+    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
+    known = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+    doc, at = doc[known], at[known]
     own = doc < len(texts)
     seen = np.bincount(at[own], minlength=len(vocabulary)).astype(float)
     hits = np.bincount(at[own], labels[doc[own]], len(vocabulary))
