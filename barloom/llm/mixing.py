@@ -79,6 +79,21 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return bounds.select("source", F.col("lo").alias("below"))
 
 
+def mixing_plan(rows: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
+    """One row per source: s, source_size, target, whole (full repeats) and below (hashes that get one more)."""
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = source_targets(per_source, weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = saved(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
+    below = thresholds(rows, plan.where("rest > 0"))
+    plan = plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
+    return F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
+
+
+def hashed_rows(docs: DataFrame, source: str, text: str, keys: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    return saved(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_hash(*[F.col(k) for k in keys]).alias("h")), "mix-rows")
+
+
 def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id", "text"), weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Repeats of every row so that each source's tokens come near its share of the whole.
 
@@ -87,21 +102,20 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
     are taken or left together. A source is repeated whole as often as its target allows and the rest is drawn by hash;
     an empty table gives no rows.
     """
-    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_hash(*[F.col(k) for k in keys]).alias("h"))
-    rows = saved(narrow, "mix-rows")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(per_source, weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = saved(plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    below = thresholds(rows, plan.where("rest > 0"))
-    plan = plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
-    if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    out = rows.join(plan, rows.source.eqNullSafe(F.col("s")))
+    rows = hashed_rows(docs, source, text, keys, keep)
+    out = rows.join(mixing_plan(rows, weights, max_epochs), rows.source.eqNullSafe(F.col("s")))
     repeats = F.col("whole") + (F.col("h") < F.col("below")).cast("long")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id", "text"), weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it. Sources without any word are kept once."""
+    plan = mixing_plan(hashed_rows(docs, source, text, keys, ()), weights, max_epochs)
+    out = docs.join(plan, docs[source].cast("string").eqNullSafe(F.col("s")))
+    repeats = F.when(F.col("source_size") == 0, 1).otherwise(F.col("whole") + (row_hash(*[docs[k] for k in keys]) < F.col("below")).cast("long"))
+    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(0), repeats.cast("int")))).select(*[docs[c] for c in docs.columns])
+
+
 def op1_mixing_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

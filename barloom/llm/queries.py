@@ -6,7 +6,10 @@ from barloom.llm import media_gif, mixing, ngram_join, packing, pii, quality, sh
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_gif_media": media_gif.op3_gif_media,
