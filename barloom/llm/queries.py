@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import media_gif, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from barloom.llm import media_gif, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_gif_media": media_gif.op3_gif_media,
+        "op4_suffix_tree_lm": suffix_tree_lm.op4_suffix_tree_lm,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_packing": packing.op6_packing,
         "op7_ngram_join": ngram_join.op7_ngram_join,
