@@ -111,9 +111,11 @@ def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", key
 def mixed_documents(docs: DataFrame, source: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id", "text"), weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it. Sources without any word are kept once."""
     plan = mixing_plan(hashed_rows(docs, source, text, keys, ()), weights, max_epochs)
-    out = docs.join(plan, docs[source].cast("string").eqNullSafe(F.col("s")))
-    repeats = F.when(F.col("source_size") == 0, 1).otherwise(F.col("whole") + (row_hash(*[docs[k] for k in keys]) < F.col("below")).cast("long"))
-    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(0), repeats.cast("int")))).select(*[docs[c] for c in docs.columns])
+    names = docs.columns
+    own = dict(zip(names, (f"c{i}" for i in range(len(names))), strict=True))  # so that no column of ``docs`` has a name of the plan
+    out = docs.toDF(*own.values()).join(plan, F.col(own[source]).cast("string").eqNullSafe(F.col("s")))
+    repeats = F.when(F.col("source_size") == 0, 1).otherwise(F.col("whole") + (row_hash(*[F.col(own[k]) for k in keys]) < F.col("below")).cast("long"))
+    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(0), repeats.cast("int")))).select(*own.values()).toDF(*names)
 
 
 def op1_mixing_sources(spark, sf_dir: str) -> DataFrame:

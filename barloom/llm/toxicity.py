@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are the distinct words of a text and the beginnings of its longer words. Logistic regression is
+Features are the distinct words of a text and their beginnings, so that punctuation behind a word matters less. Logistic regression is
 fitted on a bounded sample of labelled rows. For every labelled sentence with identity terms, a copy with the terms
 swapped for others of their kind is made, and the squared difference of the two raw scores is a penalty: the words that
 name a group can't carry the score, so that neutral mentions stay low. Scoring covers all words of every text.
@@ -57,7 +57,7 @@ def feature_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     doc, size = words.text_of(), words.end - words.start
     hashes, docs = [words.hashes()], [doc]
     for n in PREFIXES:
-        long = size > n
+        long = size >= n
         begin = words.start[long]
         hashes.append(mix(words.span_hash(begin, begin + n) + np.uint64(n)))
         docs.append(doc[long])
