@@ -16,8 +16,15 @@ from barloom.functions.semantics import EPS, div, flag, ge, le, num
 
 class Series:
     def __init__(self, entity: str, *order: str):
-        self.w = Window.partitionBy(entity).orderBy(*order)
-        self.every = Window.partitionBy(entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        self.entity, self.order = entity, order
+
+    @property
+    def w(self):
+        return Window.partitionBy(self.entity).orderBy(*self.order)
+
+    @property
+    def every(self):
+        return self.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def _last(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)

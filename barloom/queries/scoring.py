@@ -27,8 +27,6 @@ m AS (SELECT code, day, close, pct, turnover AS j, CASE WHEN count(*) OVER w5 =
       FROM bars WINDOW w5 AS (PARTITION BY code ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w10 AS (PARTITION BY code ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 h AS (SELECT code, day, close, pct, j, coalesce(close > m5 + 1e-12, false) AS a, coalesce(close > m10 AND lag(close) {W} <= lag(m10) {W}, false) AS b, coalesce(j >= 8 - 1e-12, false) AS t, row_number() {W} AS n FROM m)"""
 
-A, B, T = F.col("a"), F.col("b"), F.col("t")
-
 
 def _win(v: str, n: int) -> str:
     return f"list({v}) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -36,7 +34,7 @@ def _win(v: str, n: int) -> str:
 
 def _rule(make):
     def query(spark, sf_dir):
-        r = make()
+        r = make(*map(F.col, "abt"))
         return panel(spark, sf_dir).select("code", "day", F.round(r.score, 6).alias("score"), r.triggered.alias("triggered"))
 
     return query
@@ -51,7 +49,6 @@ _L5 = f"(SELECT *, {_win('b', 5)} AS l FROM h)"
 _HITS = "CAST(a AS INT) + CAST(b AS INT) + CAST(t AS INT)"
 _BASE = "CASE {h} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END"
 _BONUS = "CASE WHEN t THEN 2 ELSE 0 END"
-CONDITIONS = [(A, 0.0), (B, 0.0), (T, 2.0)]
 BY_HITS = [0.0, 1.0, 3.0, 5.0]
 _C = f"(SELECT *, {_HITS} AS hits, {_BONUS} AS bonus FROM h)"
 _SUM5 = f"CAST(sum({_BASE.format(h='hits')}) OVER c5 AS DOUBLE)"
@@ -61,13 +58,18 @@ def r11_total(spark, sf_dir):
     return total_panel(spark, sf_dir).select("code", "day", F.round("total", 6).alias("total"))
 
 
+def conditions(a, b, t):
+    return [(a, 0.0), (b, 0.0), (t, 2.0)]
+
+
 def rules():
+    a, b, t = map(F.col, "abt")
     return [
-        sc.Rule("above", "trend", "base", sc.flat(A, 1.0)),
-        sc.Rule("crossed", "trend", "trigger", sc.each(S, B, 5, table=TABLE, most=6.0)),
-        sc.Rule("joined", "trend", "confirm", sc.combination(S, CONDITIONS, BY_HITS)),
-        sc.Rule("hot", "heat", "trigger", sc.flat(sc.any_of(S, T, 3), -2.0)),
-        sc.Rule("broken", "trend", "fail", sc.flat(~A & T, -4.0)),
+        sc.Rule("above", "trend", "base", sc.flat(a, 1.0)),
+        sc.Rule("crossed", "trend", "trigger", sc.each(S, b, 5, table=TABLE, most=6.0)),
+        sc.Rule("joined", "trend", "confirm", sc.combination(S, conditions(a, b, t), BY_HITS)),
+        sc.Rule("hot", "heat", "trigger", sc.flat(sc.any_of(S, t, 3), -2.0)),
+        sc.Rule("broken", "trend", "fail", sc.flat(~a & t, -4.0)),
     ]
 
 
@@ -146,16 +148,16 @@ f AS (SELECT * FROM l WHERE oldest = no - 2),
 k AS (SELECT code, day, score, smooth, row_number() OVER (PARTITION BY day ORDER BY score DESC, code) AS raw_rank, row_number() OVER (PARTITION BY day ORDER BY smooth DESC, code) AS conv_rank FROM f)"""
 
 QUERIES = {
-    "r01_last": _rule(lambda: sc.flat(A, 2.0)),
-    "r02_any": _rule(lambda: sc.flat(sc.any_of(S, B, 4), 2.0)),
-    "r03_consec": _rule(lambda: sc.flat(sc.consecutive(S, A, 6, 3), 2.0)),
-    "r04_each": _rule(lambda: sc.each(S, B, 5, 2.0)),
-    "r04_each_dist": _rule(lambda: sc.each(S, B, 5, table=TABLE)),
-    "r05_recent_dist": _rule(lambda: sc.recent(S, B, 5, table=TABLE)),
-    "r07_cap": _rule(lambda: sc.each(S, A, 5, 2.0, most=5.0)),
-    "r09_combo_last": _rule(lambda: sc.combination(S, CONDITIONS, BY_HITS, total_cap=6.0)),
-    "r10_combo_any": _rule(lambda: sc.combination(S, CONDITIONS, BY_HITS, "ANY", 3)),
-    "r10_combo_each": _rule(lambda: sc.combination(S, CONDITIONS, BY_HITS, "EACH", 5, bonus_cap=4.0, total_cap=12.0)),
+    "r01_last": _rule(lambda a, b, t: sc.flat(a, 2.0)),
+    "r02_any": _rule(lambda a, b, t: sc.flat(sc.any_of(S, b, 4), 2.0)),
+    "r03_consec": _rule(lambda a, b, t: sc.flat(sc.consecutive(S, a, 6, 3), 2.0)),
+    "r04_each": _rule(lambda a, b, t: sc.each(S, b, 5, 2.0)),
+    "r04_each_dist": _rule(lambda a, b, t: sc.each(S, b, 5, table=TABLE)),
+    "r05_recent_dist": _rule(lambda a, b, t: sc.recent(S, b, 5, table=TABLE)),
+    "r07_cap": _rule(lambda a, b, t: sc.each(S, a, 5, 2.0, most=5.0)),
+    "r09_combo_last": _rule(lambda a, b, t: sc.combination(S, conditions(a, b, t), BY_HITS, total_cap=6.0)),
+    "r10_combo_any": _rule(lambda a, b, t: sc.combination(S, conditions(a, b, t), BY_HITS, "ANY", 3)),
+    "r10_combo_each": _rule(lambda a, b, t: sc.combination(S, conditions(a, b, t), BY_HITS, "EACH", 5, bonus_cap=4.0, total_cap=12.0)),
     "r11_total": r11_total,
     "r12_details": r12_details,
     "r13_scene_stage": r13_scene_stage,

@@ -9,7 +9,6 @@ from barloom.functions.series import Series, efficiency_ratio, kdj_j
 from barloom.sources.fixtures import BARS, EVENT_SERIES, event_series, supplier_bars
 
 S = Series("u", "i")
-x, y, p, c = (F.col(k) for k in "xypc")
 W = "OVER (PARTITION BY u ORDER BY i)"
 
 
@@ -49,62 +48,62 @@ def rnd(col, digits: int = 6):
 
 
 FUNCTIONS = {
-    "f01_abs": (lambda: F.abs(x - 50), "SELECT u, i, abs(x - 50) AS r FROM s"),
-    "f02_max": (lambda: m.larger(x, F.lit(40.0)), "SELECT u, i, CASE WHEN x IS NOT NULL THEN greatest(x, 40.0) END AS r FROM s"),
-    "f03_min": (lambda: m.smaller(x, p), "SELECT u, i, CASE WHEN x IS NOT NULL AND p IS NOT NULL THEN least(x, p) END AS r FROM s"),
-    "f04_div": (lambda: m.div(x, p), "SELECT u, i, CASE WHEN x IS NULL OR p IS NULL THEN NULL WHEN p = 0 THEN 0.0 ELSE x / p END AS r FROM s"),
-    "f05_if": (lambda: m.choose(m.gt(x, 50), x, p), "SELECT u, i, CASE WHEN x > 50 THEN x ELSE p END AS r FROM s"),
-    "f06_cross": (lambda: S.cross(x, F.lit(50.0)), f"SELECT u, i, coalesce(x > 50 AND lag(x) {W} <= CASE WHEN lag(i) {W} IS NOT NULL THEN 50 END, false) AS r FROM s"),
-    "f07_ref": (lambda: S.ref(x, 3), f"SELECT u, i, lag(x, 3) {W} AS r FROM s"),
-    "f08_refd": (lambda: S.ref_by(x, p, 5), f"SELECT u, i, CASE WHEN p <= 5 AND len(l) > p THEN l[len(l) - CAST(p AS INT)] END AS r FROM (SELECT *, {_last('x', 6)} AS l FROM s)"),
-    "f09_last": (lambda: S.last(y, 2), "SELECT u, i, CASE WHEN len(l) >= 3 THEN l[len(l) - 2] END AS r FROM (SELECT *, list(y) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM s)"),
-    "f10_sum": (lambda: rnd(S.total(x, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_sum(l), 6) END", 5)),
-    "f11_sumd": (lambda: rnd(S.total_by(x, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(list_sum(z), 6) END")),
-    "f12_ma": (lambda: rnd(S.mean(x, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_sum(l) / 5, 6) END", 5)),
-    "f13_mad": (lambda: rnd(S.mean_by(x, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(list_sum(z) / k, 6) END")),
-    "f14_std": (lambda: rnd(S.deviation(x, 5), 5), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_stddev_pop(l), 5) END", 5)),
-    "f15_stdd": (lambda: rnd(S.deviation_by(x, p, 5), 5), _by(f"CASE WHEN {_FULL} THEN round(list_stddev_pop(z), 5) END")),
-    "f16_hhv": (lambda: S.highest(x, 5), _fixed("CASE WHEN len(l) = 5 AND l[1] IS NOT NULL THEN list_max(l) END", 5)),
-    "f17_hhvd": (lambda: S.highest_by(x, p, 5), _by("CASE WHEN z[1] IS NOT NULL THEN list_max(z) END")),
-    "f18_llv": (lambda: S.lowest(x, 5), _fixed("CASE WHEN len(l) = 5 AND l[1] IS NOT NULL THEN list_min(l) END", 5)),
-    "f19_llvd": (lambda: S.lowest_by(x, p, 5), _by("CASE WHEN z[1] IS NOT NULL THEN list_min(z) END")),
-    "f20_count": (lambda: S.count(c, 4), _fixed("CAST(len(list_filter(lc, lambda q: q)) AS DOUBLE)", 4)),
-    "f21_countd": (lambda: S.count_by(c, p, 5), _by("CASE WHEN k IS NOT NULL THEN CAST(len(list_filter(wc[greatest(len(wc) - k + 1, 1) : len(wc)], lambda q: q)) AS DOUBLE) END")),
-    "f22_exist": (lambda: S.exists(c, 4), _fixed("list_contains(lc, true)", 4)),
-    "f23_existd": (lambda: S.exists_by(c, p, 5), _by("k IS NOT NULL AND list_contains(wc[greatest(len(wc) - k + 1, 1) : len(wc)], true)")),
-    "f24_ema": (lambda: rnd(S.ema(x, 4)), _smooth(0.4)),
-    "f25_sma": (lambda: rnd(S.sma(x, 7, 2)), _smooth(2 / 7)),
-    "f26_barslast": (lambda: S.bars_since(c), f"SELECT u, i, coalesce(CAST(n - max(CASE WHEN c THEN n END) {W} AS DOUBLE), 'nan'::DOUBLE) AS r FROM (SELECT *, row_number() {W} AS n FROM s)"),
-    "f27_rsv": (lambda: rnd(S.rsv(x, y + 5, y - 5, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(100 * (x - (list_min(ly) - 5)) / (list_max(ly) + 5 - (list_min(ly) - 5)), 6) END", 5)),
-    "f28_rsvd": (lambda: rnd(S.rsv_by(x, y + 5, y - 5, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(100 * (x - (list_min(zy) - 5)) / (list_max(zy) + 5 - (list_min(zy) - 5)), 6) END")),
-    "f29_grank": (lambda: S.rank_high(x, 6), _fixed("CASE WHEN list_count(l) = 6 THEN CAST(1 + len(list_filter(l[1:5], lambda q: q >= x)) AS DOUBLE) END", 6)),
-    "f30_grankd": (lambda: S.rank_high_by(x, p, 5), _by(f"CASE WHEN {_FULL} THEN CAST(len(list_filter(z, lambda q: q >= x)) AS DOUBLE) END")),
-    "f31_lrank": (lambda: S.rank_low(x, 6), _fixed("CASE WHEN list_count(l) = 6 THEN CAST(1 + len(list_filter(l[1:5], lambda q: q <= x)) AS DOUBLE) END", 6)),
-    "f32_lrankd": (lambda: S.rank_low_by(x, p, 5), _by(f"CASE WHEN {_FULL} THEN CAST(len(list_filter(z, lambda q: q <= x)) AS DOUBLE) END")),
-    "f33_gtopcount": (lambda: S.top_count(x, c, 6, 3), _fixed(f"CASE WHEN list_count(l) = 6 THEN {_top('-', 'l', 'lc', 'li', 3)} END", 6)),
-    "f34_gtopcountd": (lambda: S.top_count_by(x, c, p, 2, 5), _by(f"CASE WHEN {_FULL} THEN {_top('-', 'z', 'wc[len(wc) - k + 1 : len(wc)]', 'wi[len(wi) - k + 1 : len(wi)]', 2)} END")),
-    "f35_ltopcount": (lambda: S.top_count(x, c, 6, 3, False), _fixed(f"CASE WHEN list_count(l) = 6 THEN {_top('', 'l', 'lc', 'li', 3)} END", 6)),
-    "f36_ltopcountd": (lambda: S.top_count_by(x, c, p, 2, 5, False), _by(f"CASE WHEN {_FULL} THEN {_top('', 'z', 'wc[len(wc) - k + 1 : len(wc)]', 'wi[len(wi) - k + 1 : len(wi)]', 2)} END")),
-    "f37_get": (lambda: S.get(c, x, 5), "SELECT u, i, list_filter(b, lambda q: q.c)[-1].v AS r FROM (SELECT *, coalesce(list({'c': c, 'v': x}) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS b FROM s)"),
-    "f38_getd": (lambda: S.get_by(c, x, p, 5), f"SELECT u, i, CASE WHEN k IS NOT NULL THEN list_filter(b[greatest(len(b) - k + 1, 1) : len(b)], lambda q: q.c)[-1].v END AS r FROM (SELECT *, {_K} AS k, coalesce(list({{'c': c, 'v': x}}) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS b FROM s)"),
-    "x05_precedence": (lambda: m.either(m.both(m.gt(x + y * 2, 100), m.lt(x, 60)), m.ge(y, 95)), "SELECT u, i, coalesce(x + y * 2 > 100 AND x < 60, false) OR y >= 95 AS r FROM s"),
-    "x06_unary_binding": (lambda: m.gt(m.negate(x), -1), "SELECT u, i, true AS r FROM s"),
-    "x07_in_range": (lambda: m.both(m.within(x, 20, 80), m.negate(m.within(x, 40, 60, False, False))), "SELECT u, i, coalesce(x >= 20 AND x <= 80 AND NOT (x > 40 AND x < 60), false) AS r FROM s"),
-    "x09_program": (lambda: _program(), f"SELECT u, i, coalesce(x > b, false) AS r FROM (SELECT *, lag(a) {W} AS b FROM (SELECT *, CASE WHEN list_count(l) = 5 THEN list_sum(l) / 5 END AS a FROM (SELECT *, {_last('x', 5)} AS l FROM s)))"),
-    "n_null_or_true": (lambda: m.either(x, m.gt(y, -1e9)), "SELECT u, i, x IS NOT NULL AS r FROM s"),
-    "n_safe_div": (lambda: m.div(y, p * 0), "SELECT u, i, CASE WHEN p IS NOT NULL THEN CAST(0 AS DOUBLE) END AS r FROM s"),
-    "n_eps_compare": (lambda: m.both(m.eq(x, x + 1e-13), m.negate(m.gt(x + 1e-13, x))), "SELECT u, i, x IS NOT NULL AS r FROM s"),
+    "f01_abs": (lambda x, y, p, c: F.abs(x - 50), "SELECT u, i, abs(x - 50) AS r FROM s"),
+    "f02_max": (lambda x, y, p, c: m.larger(x, F.lit(40.0)), "SELECT u, i, CASE WHEN x IS NOT NULL THEN greatest(x, 40.0) END AS r FROM s"),
+    "f03_min": (lambda x, y, p, c: m.smaller(x, p), "SELECT u, i, CASE WHEN x IS NOT NULL AND p IS NOT NULL THEN least(x, p) END AS r FROM s"),
+    "f04_div": (lambda x, y, p, c: m.div(x, p), "SELECT u, i, CASE WHEN x IS NULL OR p IS NULL THEN NULL WHEN p = 0 THEN 0.0 ELSE x / p END AS r FROM s"),
+    "f05_if": (lambda x, y, p, c: m.choose(m.gt(x, 50), x, p), "SELECT u, i, CASE WHEN x > 50 THEN x ELSE p END AS r FROM s"),
+    "f06_cross": (lambda x, y, p, c: S.cross(x, F.lit(50.0)), f"SELECT u, i, coalesce(x > 50 AND lag(x) {W} <= CASE WHEN lag(i) {W} IS NOT NULL THEN 50 END, false) AS r FROM s"),
+    "f07_ref": (lambda x, y, p, c: S.ref(x, 3), f"SELECT u, i, lag(x, 3) {W} AS r FROM s"),
+    "f08_refd": (lambda x, y, p, c: S.ref_by(x, p, 5), f"SELECT u, i, CASE WHEN p <= 5 AND len(l) > p THEN l[len(l) - CAST(p AS INT)] END AS r FROM (SELECT *, {_last('x', 6)} AS l FROM s)"),
+    "f09_last": (lambda x, y, p, c: S.last(y, 2), "SELECT u, i, CASE WHEN len(l) >= 3 THEN l[len(l) - 2] END AS r FROM (SELECT *, list(y) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM s)"),
+    "f10_sum": (lambda x, y, p, c: rnd(S.total(x, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_sum(l), 6) END", 5)),
+    "f11_sumd": (lambda x, y, p, c: rnd(S.total_by(x, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(list_sum(z), 6) END")),
+    "f12_ma": (lambda x, y, p, c: rnd(S.mean(x, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_sum(l) / 5, 6) END", 5)),
+    "f13_mad": (lambda x, y, p, c: rnd(S.mean_by(x, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(list_sum(z) / k, 6) END")),
+    "f14_std": (lambda x, y, p, c: rnd(S.deviation(x, 5), 5), _fixed("CASE WHEN list_count(l) = 5 THEN round(list_stddev_pop(l), 5) END", 5)),
+    "f15_stdd": (lambda x, y, p, c: rnd(S.deviation_by(x, p, 5), 5), _by(f"CASE WHEN {_FULL} THEN round(list_stddev_pop(z), 5) END")),
+    "f16_hhv": (lambda x, y, p, c: S.highest(x, 5), _fixed("CASE WHEN len(l) = 5 AND l[1] IS NOT NULL THEN list_max(l) END", 5)),
+    "f17_hhvd": (lambda x, y, p, c: S.highest_by(x, p, 5), _by("CASE WHEN z[1] IS NOT NULL THEN list_max(z) END")),
+    "f18_llv": (lambda x, y, p, c: S.lowest(x, 5), _fixed("CASE WHEN len(l) = 5 AND l[1] IS NOT NULL THEN list_min(l) END", 5)),
+    "f19_llvd": (lambda x, y, p, c: S.lowest_by(x, p, 5), _by("CASE WHEN z[1] IS NOT NULL THEN list_min(z) END")),
+    "f20_count": (lambda x, y, p, c: S.count(c, 4), _fixed("CAST(len(list_filter(lc, lambda q: q)) AS DOUBLE)", 4)),
+    "f21_countd": (lambda x, y, p, c: S.count_by(c, p, 5), _by("CASE WHEN k IS NOT NULL THEN CAST(len(list_filter(wc[greatest(len(wc) - k + 1, 1) : len(wc)], lambda q: q)) AS DOUBLE) END")),
+    "f22_exist": (lambda x, y, p, c: S.exists(c, 4), _fixed("list_contains(lc, true)", 4)),
+    "f23_existd": (lambda x, y, p, c: S.exists_by(c, p, 5), _by("k IS NOT NULL AND list_contains(wc[greatest(len(wc) - k + 1, 1) : len(wc)], true)")),
+    "f24_ema": (lambda x, y, p, c: rnd(S.ema(x, 4)), _smooth(0.4)),
+    "f25_sma": (lambda x, y, p, c: rnd(S.sma(x, 7, 2)), _smooth(2 / 7)),
+    "f26_barslast": (lambda x, y, p, c: S.bars_since(c), f"SELECT u, i, coalesce(CAST(n - max(CASE WHEN c THEN n END) {W} AS DOUBLE), 'nan'::DOUBLE) AS r FROM (SELECT *, row_number() {W} AS n FROM s)"),
+    "f27_rsv": (lambda x, y, p, c: rnd(S.rsv(x, y + 5, y - 5, 5)), _fixed("CASE WHEN list_count(l) = 5 THEN round(100 * (x - (list_min(ly) - 5)) / (list_max(ly) + 5 - (list_min(ly) - 5)), 6) END", 5)),
+    "f28_rsvd": (lambda x, y, p, c: rnd(S.rsv_by(x, y + 5, y - 5, p, 5)), _by(f"CASE WHEN {_FULL} THEN round(100 * (x - (list_min(zy) - 5)) / (list_max(zy) + 5 - (list_min(zy) - 5)), 6) END")),
+    "f29_grank": (lambda x, y, p, c: S.rank_high(x, 6), _fixed("CASE WHEN list_count(l) = 6 THEN CAST(1 + len(list_filter(l[1:5], lambda q: q >= x)) AS DOUBLE) END", 6)),
+    "f30_grankd": (lambda x, y, p, c: S.rank_high_by(x, p, 5), _by(f"CASE WHEN {_FULL} THEN CAST(len(list_filter(z, lambda q: q >= x)) AS DOUBLE) END")),
+    "f31_lrank": (lambda x, y, p, c: S.rank_low(x, 6), _fixed("CASE WHEN list_count(l) = 6 THEN CAST(1 + len(list_filter(l[1:5], lambda q: q <= x)) AS DOUBLE) END", 6)),
+    "f32_lrankd": (lambda x, y, p, c: S.rank_low_by(x, p, 5), _by(f"CASE WHEN {_FULL} THEN CAST(len(list_filter(z, lambda q: q <= x)) AS DOUBLE) END")),
+    "f33_gtopcount": (lambda x, y, p, c: S.top_count(x, c, 6, 3), _fixed(f"CASE WHEN list_count(l) = 6 THEN {_top('-', 'l', 'lc', 'li', 3)} END", 6)),
+    "f34_gtopcountd": (lambda x, y, p, c: S.top_count_by(x, c, p, 2, 5), _by(f"CASE WHEN {_FULL} THEN {_top('-', 'z', 'wc[len(wc) - k + 1 : len(wc)]', 'wi[len(wi) - k + 1 : len(wi)]', 2)} END")),
+    "f35_ltopcount": (lambda x, y, p, c: S.top_count(x, c, 6, 3, False), _fixed(f"CASE WHEN list_count(l) = 6 THEN {_top('', 'l', 'lc', 'li', 3)} END", 6)),
+    "f36_ltopcountd": (lambda x, y, p, c: S.top_count_by(x, c, p, 2, 5, False), _by(f"CASE WHEN {_FULL} THEN {_top('', 'z', 'wc[len(wc) - k + 1 : len(wc)]', 'wi[len(wi) - k + 1 : len(wi)]', 2)} END")),
+    "f37_get": (lambda x, y, p, c: S.get(c, x, 5), "SELECT u, i, list_filter(b, lambda q: q.c)[-1].v AS r FROM (SELECT *, coalesce(list({'c': c, 'v': x}) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS b FROM s)"),
+    "f38_getd": (lambda x, y, p, c: S.get_by(c, x, p, 5), f"SELECT u, i, CASE WHEN k IS NOT NULL THEN list_filter(b[greatest(len(b) - k + 1, 1) : len(b)], lambda q: q.c)[-1].v END AS r FROM (SELECT *, {_K} AS k, coalesce(list({{'c': c, 'v': x}}) OVER (PARTITION BY u ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS b FROM s)"),
+    "x05_precedence": (lambda x, y, p, c: m.either(m.both(m.gt(x + y * 2, 100), m.lt(x, 60)), m.ge(y, 95)), "SELECT u, i, coalesce(x + y * 2 > 100 AND x < 60, false) OR y >= 95 AS r FROM s"),
+    "x06_unary_binding": (lambda x, y, p, c: m.gt(m.negate(x), -1), "SELECT u, i, true AS r FROM s"),
+    "x07_in_range": (lambda x, y, p, c: m.both(m.within(x, 20, 80), m.negate(m.within(x, 40, 60, False, False))), "SELECT u, i, coalesce(x >= 20 AND x <= 80 AND NOT (x > 40 AND x < 60), false) AS r FROM s"),
+    "x09_program": (lambda x, y, p, c: _program(x), f"SELECT u, i, coalesce(x > b, false) AS r FROM (SELECT *, lag(a) {W} AS b FROM (SELECT *, CASE WHEN list_count(l) = 5 THEN list_sum(l) / 5 END AS a FROM (SELECT *, {_last('x', 5)} AS l FROM s)))"),
+    "n_null_or_true": (lambda x, y, p, c: m.either(x, m.gt(y, -1e9)), "SELECT u, i, x IS NOT NULL AS r FROM s"),
+    "n_safe_div": (lambda x, y, p, c: m.div(y, p * 0), "SELECT u, i, CASE WHEN p IS NOT NULL THEN CAST(0 AS DOUBLE) END AS r FROM s"),
+    "n_eps_compare": (lambda x, y, p, c: m.both(m.eq(x, x + 1e-13), m.negate(m.gt(x + 1e-13, x))), "SELECT u, i, x IS NOT NULL AS r FROM s"),
 }
 
 
-def _program():
+def _program(x):
     """A := MA(x, 5); B := REF(A, 1); x > B."""
     a = S.mean(x, 5)
     return m.gt(x, S.ref(a, 1))
 
 
 def _query(make):
-    return lambda spark, sf_dir: event_series(spark, sf_dir).select("u", "i", make().alias("r"))
+    return lambda spark, sf_dir: event_series(spark, sf_dir).select("u", "i", make(*map(F.col, "xypc")).alias("r"))
 
 
 QUERIES = {name: _query(make) for name, (make, _) in FUNCTIONS.items()}
