@@ -307,12 +307,12 @@ def p07_eligibility(spark, d):
     return numbered.withColumn("listed", F.min("no").over(Window.partitionBy("code"))).where(F.col("no") + 1 >= F.col("listed") + 60).select("code", "day")
 
 
-_CF = "(1 + (dayofyear(day) % 5) / 7)"
+_CF = "(1 + sqrt(dayofyear(day) % 5 + 10) / 10)"
 
 
 @query(f"WITH {BARS} SELECT code, day, round(close * {_CF} / last_value({_CF}) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS qfq, round(close * {_CF}, 4) AS hfq FROM bars")
 def i01_qfq(spark, d):
-    f = (1 + F.dayofyear("day") % 5 / 7).cast("double")
+    f = (1 + F.sqrt(F.dayofyear("day") % 5 + 10) / 10).cast("double")
     return supplier_bars(spark, d).select("code", "day", F.round(op.forward_adjusted(F.col("close"), f, "code", "day"), 4).alias("qfq"), F.round(F.col("close") * f, 4).alias("hfq"))
 
 
