@@ -310,10 +310,10 @@ def p07_eligibility(spark, d):
 _CF = "(1 + sqrt(dayofyear(day) % 5 + 10) / 10)"
 
 
-@query(f"WITH {BARS} SELECT code, day, round(close * {_CF} / last_value({_CF}) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS qfq, round(close * {_CF}, 4) AS hfq FROM bars")
+@query(f"WITH {BARS} SELECT code, day, round(low * {_CF} / last_value({_CF}) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 4) AS qfq, round(low * {_CF}, 4) AS hfq FROM bars")
 def i01_qfq(spark, d):
     f = (1 + F.sqrt(F.dayofyear("day") % 5 + 10) / 10).cast("double")
-    return supplier_bars(spark, d).select("code", "day", F.round(op.forward_adjusted(F.col("close"), f, "code", "day"), 4).alias("qfq"), F.round(F.col("close") * f, 4).alias("hfq"))
+    return supplier_bars(spark, d).select("code", "day", F.round(op.forward_adjusted(F.col("low"), f, "code", "day"), 4).alias("qfq"), F.round(F.col("low") * f, 4).alias("hfq"))
 
 
 @query(f"WITH {BARS}, a AS (SELECT code, day, lag(close) OVER (PARTITION BY code ORDER BY day) AS before, CASE WHEN code % 4 = 0 AND dayofyear(day) = 100 THEN pre_close + 1 ELSE pre_close END AS stated FROM bars) SELECT code, count(*) AS checked, count(*) FILTER (abs(before - stated) >= 0.001) AS broken, bool_or(abs(before - stated) >= 0.001) AS repair FROM a WHERE before IS NOT NULL GROUP BY code")
