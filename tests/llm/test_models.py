@@ -10,12 +10,15 @@ from barloom.llm import queries as registered
 from barloom.llm import toxicity
 
 
-def test_toxicity_held_out(spark, middle):
-    out = registered.queries()["op2_toxicity"](spark, middle)
-    labels = spark.read.parquet(f"{middle}/labels.parquet").select("doc_id", "toxic")
+def test_toxicity_held_out(spark):
+    """On sf0.1, which has enough labelled rows to learn from: about 3,000. sf0.01 has about 300; see the README."""
+    large = "/root/testdata/sf0.1"
+    out = registered.queries()["op2_toxicity"](spark, large)
+    labels = spark.read.parquet(f"{large}/labels.parquet").select("doc_id", "toxic")
     rows = out.where("held_out").join(labels, "doc_id").where("toxic is not null").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert right >= 0.9 * len(rows)
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
+    bad, good = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert sum(x > y for x in bad for y in good) >= 0.95 * len(bad) * len(good)
 
 
 def test_counterfactual_penalty():
