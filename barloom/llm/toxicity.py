@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barloom.llm._words import Words, mix, slices, text_bytes
 
@@ -138,17 +139,32 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Classifier from the labelled rows of ``docs``; rows without label, id or text are not used.
 
     The sample's ids are chosen from the labels alone and sent to the scan of ``docs`` (``sample_rows`` ids at most), so
-    no text is shuffled but the sample's own, which one task reads.
+    no text is shuffled but the sample's own. Of an id's rows the text with the smallest hash is taken, whatever the label:
+    each task keeps one row per id, then the ids are reduced by key, so that one task reads ``sample_rows`` rows at most
+    however often an id occurs.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
-    sample = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("t", "y")
+    sample = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("k", "t", F.xxhash64("t").alias("h"), "y")
+
+    def least(batches):
+        kept: dict = {}
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r[0] not in kept or (r[2], r[1]) < (kept[r[0]][2], kept[r[0]][1]):
+                    kept[r[0]] = r
+        cols = list(zip(*kept.values(), strict=True)) if kept else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    kinds = [f.type for f in to_arrow_schema(sample.schema)]
+    names = sample.columns
+    sample = sample.mapInArrow(least, sample.schema).groupBy("k").agg(F.min(F.struct("h", "t", "y")).alias("s")).select("s.t", "s.y")
 
     def run(batches):
         texts, y = [], []
         for batch in batches:
             texts += batch.column(0).to_pylist()
             y += batch.column(1).to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (y[i], texts[i]))[: 4 * sample_rows]  # the same sum order whatever the order of arrival
+        order = sorted(range(len(texts)), key=lambda i: (y[i], texts[i]))  # the same sum order whatever the order of arrival
         hashes, weights, bias = fit([texts[i] for i in order], np.array([y[i] for i in order]))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes.view(np.int64), 0)), pa.array(np.append(weights, bias)), pa.array([*[False] * len(weights), True])], names=["h", "w", "bias"])
 

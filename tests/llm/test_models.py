@@ -47,6 +47,17 @@ def test_toxicity_edges(spark, edge, empty):
         assert toxicity.score_toxicity(empty, model).isEmpty()
 
 
+def test_toxicity_repeated_id(spark):
+    """A clean id with far more rows than the sample has ids leaves the toxic rows in it."""
+    nasty = [(i, "awful scum and more scum") for i in range(10)]
+    clean = [(i, "people sing in the hall") for i in range(10, 20)]
+    docs = spark.createDataFrame(nasty + clean + [(10, f"people sing in the hall {i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, sample_rows=20)
+    bad, good = toxicity.scores_of(_texts(["awful scum", "people sing"]), *model)
+    assert bad > 0.5 > good
+
+
 @pytest.mark.parametrize("name", list(registered.oracle_sql()))
 def test_oracles(spark, small, name):
     con = duckdb.connect()
