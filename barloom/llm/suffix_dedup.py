@@ -7,6 +7,9 @@ stretches of windows behind an anchor that occurs twice can repeat, and all thei
 Stretches are dealt by anchor. In each task a suffix array over the windows of its distinct stretches is built by
 prefix doubling; previous and next smaller positions in suffix order give each window's longest earlier match, and a
 match of ``length`` bytes marks the later window and the earlier one it was matched with.
+
+Anchors with very many distinct stretches are not gathered in a task. Their windows become rows of two 64-bit hashes,
+those that occur in two places are found by a partially aggregated minimum and maximum, and joined back.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ def marked_windows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
     return np.union1d(place[hit], source[hit])
 
 
-#: Distinct stretches behind one anchor above which its windows are dealt one by one, by their own hash.
+#: Distinct stretches behind one anchor above which its windows are aggregated by their hashes and not gathered in a task.
 HOT_STRETCHES = 20_000
 #: Rows of a text-free join side up to which it is sent to every task; beyond it the texts are shuffled to it.
 BROADCAST_ROWS = 1_000_000
@@ -164,7 +167,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame, wanted: DataFrame, rows: int, length: int) -> DataFrame:
-    """Bytes of the wanted stretches: (key, h, sh, at, stretch); stretches of hot anchors come window by window."""
+    """Wanted stretches: (h, sh, at, stretch) with their bytes, or for hot anchors (h, sh, at, w1, w2), two hashes of each window."""
     lists = wanted.groupBy("node").agg(F.collect_list(F.struct("h", "sh", "l", "r", "hot")).alias("w"))  # one document's own
 
     def run(batches):
@@ -181,15 +184,24 @@ def _cut(texts: DataFrame, wanted: DataFrame, rows: int, length: int) -> DataFra
                         start = np.arange(x["l"], x["r"] + 1)
                         raw = np.frombuffer(data, np.uint8)[x["l"] : x["r"] + length]
                         keys = _stretch_hashes(raw, start - x["l"], start - x["l"] + length).view(np.int64).tolist()
-                        rows += [(k, x["h"], x["sh"], a, data[x["l"] + a : x["l"] + a + length]) for a, k in enumerate(keys)]
+                        for a, k in enumerate(keys):
+                            second = hashlib.blake2b(raw[a : a + length].tobytes(), digest_size=8).digest()
+                            rows.append((x["h"], x["sh"], a, None, k, int.from_bytes(second, "little", signed=True)))
                     else:
-                        rows.append((x["h"], x["h"], x["sh"], 0, data[x["l"] : x["r"] + length]))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "h", "sh", "at", "stretch"])
+                        rows.append((x["h"], x["sh"], 0, data[x["l"] : x["r"] + length], None, None))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sh", "at", "stretch", "w1", "w2"])
 
     joined = texts.select("t", "node").join(_sized(lists, rows), "node").select("t", "node", "w")
-    return joined.mapInArrow(run, "key long, h long, sh long, at int, stretch binary")
+    return joined.mapInArrow(run, "h long, sh long, at int, stretch binary, w1 long, w2 long")
+
+
+def _mark_hot(windows: DataFrame) -> DataFrame:
+    """(h, sh, a, b): each window of a hot anchor's stretches that equals another one; no task gathers a window's members."""
+    windows = windows.withColumn("p", F.xxhash64("h", "sh", "at"))
+    shared = windows.groupBy("w1", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w1", "w2")
+    return windows.join(shared, ["w1", "w2"]).select("h", "sh", F.col("at").alias("a"), F.col("at").alias("b"))
 
 
 def _mark(stretches: DataFrame, length: int) -> DataFrame:
@@ -198,19 +210,19 @@ def _mark(stretches: DataFrame, length: int) -> DataFrame:
     def flush(rows):
         found, distinct = [], {}
         for r in rows:  # the same stretch may come from several tasks
-            distinct[r[0], r[1], r[2], r[3]] = r
+            distinct[r[0], r[1]] = r
         rows = list(distinct.values())
-        sizes = np.array([len(r[4]) for r in rows], np.int64)
+        sizes = np.array([len(r[3]) for r in rows], np.int64)
         end = np.cumsum(sizes)
         begin = end - sizes
-        at = marked_windows(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), begin, end, length)
+        at = marked_windows(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), begin, end, length)
         if len(at):
             own = np.searchsorted(begin, at, "right") - 1
             first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(own) > 0)]))
             last = np.concatenate([first[1:], [len(at)]]) - 1
             for f, t in zip(first.tolist(), last.tolist(), strict=True):
                 r, base = rows[own[f]], begin[own[f]]
-                found.append((r[1], r[2], int(at[f] - base) + r[3], int(at[t] - base) + r[3]))
+                found.append((r[0], r[1], int(at[f] - base) + r[2], int(at[t] - base) + r[2]))
         cols = list(zip(*found, strict=True)) if found else [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["h", "sh", "a", "b"])
 
@@ -222,11 +234,11 @@ def _mark(stretches: DataFrame, length: int) -> DataFrame:
                     yield flush(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[3])
         if held:
             yield flush(held)
 
-    return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(run, "h long, sh long, a int, b int")
+    return stretches.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, sh long, a int, b int")
 
 
 def _kept(texts: DataFrame, spans: DataFrame, rows: int, with_text: bool) -> DataFrame:
@@ -285,7 +297,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key:
     kinds = saved(kinds.select("h", "sh", "node", "l", "r", (F.col("p0") != F.col("p1")).alias("whole")), "stretch-kinds")
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT_STRETCHES).alias("hot"))
     wanted = saved(kinds.join(mixed, "h"), "wanted")
-    marks = _mark(saved(_cut(texts, wanted, wanted.count(), length), "stretches"), length)
+    cut = saved(_cut(texts, wanted, wanted.count(), length), "stretches")
+    marks = _mark(cut.where("w1 IS NULL").select("h", "sh", "at", "stretch"), length)
+    marks = marks.unionByName(_mark_hot(cut.where("w1 IS NOT NULL").select("h", "sh", "at", "w1", "w2")))
     part = kinds.where("not whole").select("h", "sh").join(marks, ["h", "sh"]).groupBy("h", "sh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     full = kinds.where("whole").select("h", "sh", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
     spans = repeated.select("h", "sh", "node", "l", "r").join(full.unionByName(part), ["h", "sh"])

@@ -97,6 +97,26 @@ def test_suffix_dedup(request, name):
     assert got == repeats_model(pairs(table))
 
 
+def test_suffix_dedup_shared_passage(spark, monkeypatch):
+    """A passage that many documents share, each with its own surroundings, is not gathered in one task."""
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", 10)
+    mark, largest = suffix_dedup._mark, []
+
+    def watched(stretches, length):
+        largest.append(max((r["count"] for r in stretches.groupBy(stretches.columns[0]).count().collect()), default=0))
+        return mark(stretches, length)
+
+    monkeypatch.setattr(suffix_dedup, "_mark", watched)
+    passage = " ".join(f"clause{i}" for i in range(35))
+    own = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 4
+    rows = [(i, own(i) + passage + own(-i - 1)) for i in range(60)] + [(60, own(60)), (61, own(61)[:100] + passage[:210]), (62, own(62) + own(62))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffix_dedup.remove_repeats(table)
+    got = by_row((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    assert got == repeats_model(rows)
+    assert largest and max(largest) <= 10
+
+
 def test_longest_previous():
     import numpy as np
 
