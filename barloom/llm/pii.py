@@ -25,25 +25,34 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word with a digit or a spelt-out at sign: what the contextual step looks at.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9(\[]*+(?:[0-9]|\(at\)|\[at\]))[^\x20\x09-\x0D]++"
+_AT, _DOT = r"(?:at|\(at\)|\[at\])", r"(?:\.|dot|\(dot\)|\[dot\])"
+_SPELT = rf"[A-Za-z0-9._%+-]++\x20{_AT}\x20[A-Za-z0-9-]++(?:\x20?{_DOT}\x20?[A-Za-z0-9-]++)++"
+_ENDS = r"(?=[.,;]?(?:[\x20\x09-\x0D]|$))"
+#: What the contextual step looks at: a spelt-out address, a dashed number, digit groups between blanks, or any word with
+#: a digit or a spelt-out at sign.
+CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{_SPELT}|[0-9]{{2,4}}[-.][0-9]{{3,4}}[-.][0-9]{{3,5}}{_ENDS}|\(?[0-9]{{2,5}}\)?(?:[\x20.-][0-9]{{2,5}}){{1,4}}{_ENDS}|(?=[^\x20\x09-\x0D0-9(\[]*+(?:[0-9]|\(at\)|\[at\]))[^\x20\x09-\x0D]++)"
 #: Shapes in which an unseen identifier of each kind may come.
 SHAPES = {
-    "email": r"^[A-Za-z0-9._%+-]+(?:\(at\)|\[at\])[A-Za-z0-9-]+(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]+)+",
+    "email": rf"^[A-Za-z0-9._%+-]+(?:\(at\)|\[at\])[A-Za-z0-9-]+(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]+)+|^{_SPELT}$",
     "ip": r"^\[?(?:[0-9]{1,3}\.){3}[0-9xX*]{1,3}(?::[0-9]{1,5})?\]?$|^(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F:]*$",
-    "card": r"^[0-9]{4}-?[0-9]{4}-?[0-9]{4}-?[0-9]{1,7}[.,;]?$",
-    "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{3,4}[-.][0-9]{3,5}[.,;]?$",
+    "card": r"^[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}[.,;]?$",
+    "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{3,4}[-.][0-9]{3,5}[.,;]?$|^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}$",
 }
 ROUNDS = 3
 TRUST = 0.6
 LEAST_SEEDS = 2
 
 
+def _last_word(text: Column) -> Column:
+    """The last word of a text, in lower case; empty where it has none."""
+    return F.lower(F.substring_index(F.rtrim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " ", -1))
+
+
 def _pieces(text: Column, form: str, kind: str, may: Column) -> Column:
-    """Array of (kind, i, gap, value, tail): each match, the length of the piece before it and that piece's end."""
+    """Array of (kind, i, gap, value, tail): each match, the length of the piece before it and that piece's last word."""
     found = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     before = F.slice(F.split(text, form, -1), F.lit(1), F.size(found))
-    rows = F.zip_with(found, before, lambda m, p: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), m.alias("value"), F.right(p, F.lit(48)).alias("tail")))
+    rows = F.zip_with(found, before, lambda m, p: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), m.alias("value"), _last_word(p).alias("tail")))
     rows = F.transform(rows, lambda x, i: F.struct(x.kind.alias("kind"), i.alias("i"), x.gap.alias("gap"), x.value.alias("value"), x.tail.alias("tail")))
     return F.when(may, rows).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,tail:string>>"))
 
@@ -72,16 +81,22 @@ def matches(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     t = F.coalesce(F.col(text), F.lit(""))
     digit = t.rlike("[0-9]")
     may = {"email": F.contains(t, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(t, F.lit("+")) & digit}
-    found = F.concat(*[_pieces(t, FORMS[k], k, may[k]) for k in KINDS], _pieces(t, CANDIDATE, "candidate", digit | F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]"))))
+    found = F.concat(*[_pieces(t, FORMS[k], k, may[k]) for k in KINDS], _pieces(t, CANDIDATE, "candidate", digit | F.contains(t, F.lit("at)")) | F.contains(t, F.lit("at]")) | F.contains(t, F.lit("dot ")) | t.rlike(r"\x20at\x20[A-Za-z0-9-]+\x20?\.")))
     table = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.md5(t.cast("binary")).alias("digest"), found.alias("found"))
     # row numbers are written with the rows, so that they don't depend on how files are split later
     table = saved(table.withColumn("row", F.monotonically_increasing_id()), "pii-matches")
     flat = table.where(F.size("found") > 0).select("row", F.inline("found"))
     size = F.length("value")
-    end = F.sum(F.col("gap") + size).over(Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    spans = flat.withColumn("end", end).withColumn("start", F.col("end") - size)
-    context = F.lower(F.regexp_extract("tail", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    return table.drop("found"), spans.select("row", "kind", "start", "end", "value", context.alias("pattern"))
+    order = Window.partitionBy("row", "kind").orderBy("i")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + size).over(upto)
+    word = F.when(F.col("tail") != "", F.col("tail"))
+    # the word right before, which may end another match, and the nearest one that stands between matches
+    near = F.coalesce(word, _last_word(F.lag("value").over(order)), F.lit(""))
+    far = F.coalesce(F.last(word, ignorenulls=True).over(upto), F.lit(""))
+    spans = flat.withColumns({"end": end, "near": near, "far": far}).withColumn("start", F.col("end") - size)
+    patterns = F.filter(F.array_distinct(F.array("near", "far")), lambda w: w != "")
+    return table.drop("found"), spans.select("row", "kind", "start", "end", "value", patterns.alias("patterns"))
 
 
 def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS) -> DataFrame:
@@ -93,8 +108,8 @@ def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least
     boxes = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("boxes"))  # one document's own matches
     loose = spans.where("kind = 'candidate'").join(boxes, "row", "left")
     loose = loose.where(~F.exists(F.coalesce("boxes", F.array().cast("array<struct<start:long,end:long>>")), lambda b: (b.start < F.col("end")) & (F.col("start") < b.end))).drop("boxes")
-    loose = saved(loose.where("pattern <> ''"), "pii-loose")
-    seeds = base.where("pattern <> ''").select("kind", "pattern", "value").distinct()
+    loose = saved(loose.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-loose")
+    seeds = base.select("kind", F.explode("patterns").alias("pattern"), "value").distinct()
     anything = loose.select(F.lit(None).cast("string").alias("kind"), "pattern", "value").distinct()
     behind = seeds.unionByName(anything).groupBy("pattern").agg(F.countDistinct("value").alias("behind"))
     strong = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)

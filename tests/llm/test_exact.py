@@ -163,6 +163,20 @@ def test_pii_spans_hold_base(docs):
         assert {(s.kind, s.start, s.end) for s in r.base} <= set(spans) and len(set(spans)) == len(spans)
 
 
+def test_pii_unseen_identifiers(spark):
+    """Unseen numbers and addresses of several words, and those right behind another number, are found by their context."""
+    seeds = [(i, f"tel +44 20 7946 {1000 + i} and mail bob{i}@example.org") for i in range(30)]
+    label = "tel" + "x" * 60
+    seeds += [(100 + i, f"{label} +44 20 7946 {2000 + i}") for i in range(30)]
+    unseen = {200: ["020 7946 0958"], 201: ["(555) 123-4567"], 202: ["555-123-4567", "555-987-6543"], 204: ["555-123-9999"]}
+    rows = [*seeds, *((k, "tel " + " ".join(v)) for k, v in unseen.items() if k != 204), (203, "mail jo at example dot org"), (204, f"{label} 555-123-9999"), (205, "room 020 7946 0958 is empty and mail at noon dot")]
+    unseen[203] = ["jo at example dot org"]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in sorted(r.spans, key=lambda s: s.start)] for r in pii.find_personal_data(table).collect()}
+    assert {k: got[k] for k in unseen} == unseen and got[205] == []
+
+
 def test_redaction(edge):
     out = pii.redact(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
