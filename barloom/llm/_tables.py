@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only where that is unset (single-machine tests)."""
+    """Folder named by spark.checkpoint.dir; on a local master (tests) a temporary one where that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(spark.sparkContext, "_barloom_shared", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="spark-shared-")

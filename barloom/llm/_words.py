@@ -58,7 +58,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def slices(texts: pa.Array, most: int = 1 << 21):
+def slices(texts: pa.Array, most: int = 1 << 19):
     """Row ranges of about ``most`` bytes each, so that working arrays stay small; a longer text is a range of its own."""
     _, offsets = text_bytes(texts)
     lo, n = 0, len(texts)

@@ -13,7 +13,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     A step joins each edge with its node's smallest neighbour, so a node with very many edges is split like any skewed
     join, and no list of neighbours is ever built. Steps are written to the shared folder; their number grows with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. The result is written; ``drop`` deletes it.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     print_ = _print(now)
@@ -30,7 +30,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if print_ == before:
             break
     tops = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
+    out = saved(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops.select("node", F.col("node").alias("component"))), name)
+    drop(now)
+    return out
 
 
 def _print(edges: DataFrame) -> tuple:
