@@ -8,12 +8,48 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.semantics import EPS, div, flag, ge, le, num
 
 
+#: Rows that a recursive mean may fold for each row; longer ones are made by ``smoothed``.
+FOLD_ROWS = 400
+
+
+def ema_weight(n: int) -> float:
+    return 2.0 / (max(int(n), 1) + 1)
+
+
+def sma_weight(n: int, m: float) -> float:
+    return min(max(m / max(int(n), 1), 0.0), 1.0)
+
+
+def smoothed(df: DataFrame, entity: str, order: str, value: str, weight: float, out: str) -> DataFrame:
+    """``df`` with the recursive mean ``out`` of ``value``: s = value * weight + s * (1 - weight) in the entity's order.
+
+    A null gives null and starts afresh. One pass over rows sorted by entity and order, the state carried from batch to
+    batch, so that the period doesn't matter and no entity's rows are held together.
+    """
+    inner = df.withColumn(out, F.col(value).cast("double"))
+    at, who = inner.columns.index(out), inner.columns.index(entity)
+
+    def run(batches):
+        state, last, begun = None, None, False
+        for batch in batches:
+            done = []
+            for name, v in zip(batch.column(who).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if not begun or name != last:
+                    state, last, begun = None, name, True
+                state = None if v is None else v if state is None else v * weight + state * (1 - weight)
+                done.append(state)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(done, pa.float64()))
+
+    return inner.repartition(entity).sortWithinPartitions(entity, order).mapInArrow(run, inner.schema)
+
+
 class Series:
     def __init__(self, entity: str, *order: str):
         self.entity, self.order = entity, order
@@ -46,8 +82,8 @@ class Series:
 
     def last(self, x, n: int) -> Column:
         """The n-th value from the entity's end, for all of its rows; looks ahead."""
-        values = F.transform(F.collect_list(F.struct(num(x).alias("v"))).over(self.every), lambda s: s.v)
-        return F.try_element_at(values, F.lit(-(self._n(n, 0) + 1)))
+        back = Window.partitionBy(self.entity).orderBy(*[F.desc(c) for c in self.order])
+        return F.nth_value(num(x), self._n(n, 0) + 1).over(back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
     def total(self, x, n: int) -> Column:
         x, n = num(x), self._n(n)
@@ -96,17 +132,20 @@ class Series:
         return F.when(full, F.when(high - low < EPS, 0.0).otherwise(F.try_divide((c - low) * 100, high - low)))
 
     def ema(self, x, n: int) -> Column:
-        return self._smooth(num(x), 2.0 / (self._n(n) + 1))
+        return self._smooth(num(x), ema_weight(n))
 
     def sma(self, x, n: int, m: int) -> Column:
-        return self._smooth(num(x), min(max(m / self._n(n), 0.0), 1.0))
+        return self._smooth(num(x), sma_weight(n, m))
 
     def _smooth(self, x: Column, a: float) -> Column:
         """Recursive mean; a null gives null and starts afresh.
 
-        Rows further back than the double's precision can't change a value, so the fold is over a bounded window.
+        Rows further back than the double's precision can't change a value, so the fold is over a bounded window. Where
+        that window is long, ``smoothed`` does the same in one pass.
         """
-        reach = 1 if a >= 1 else min(4000, math.ceil(math.log(1e-18) / math.log(1 - a)) + 1) if a > 0 else 4000
+        reach = 1 if a >= 1 else math.ceil(math.log(1e-18) / math.log(1 - a)) + 1 if a > 0 else math.inf
+        if reach > FOLD_ROWS:
+            raise ValueError("period too long for a column: use smoothed()")
         return F.aggregate(self._values(x, reach), F.lit(None).cast("double"), lambda s, v: F.when(v.isNull(), None).when(s.isNull(), v).otherwise(v * a + s * (1 - a)))
 
     def rank_high(self, x, n: int) -> Column:

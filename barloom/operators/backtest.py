@@ -14,9 +14,14 @@ TINY = 1e-12
 def residual(bars: DataFrame, industry: DataFrame, key: str, day: str, beta_market: float, beta_industry: float) -> DataFrame:
     """pct less beta times the day's market mean and less beta times the day's industry mean; rows without pct go."""
     known = bars.where("pct is not null").join(industry.select(key, "industry"), key)
+    return known.withColumn("residual", residual_of(day, beta_market, beta_industry))
+
+
+def residual_of(day: str, beta_market: float, beta_industry: float) -> Column:
+    """The residual of rows with pct and industry, null without pct."""
     market = F.avg("pct").over(Window.partitionBy(day))
     own = F.avg("pct").over(Window.partitionBy(day, "industry"))
-    return known.withColumn("residual", F.col("pct") - beta_market * market - beta_industry * own)
+    return F.col("pct") - beta_market * market - beta_industry * own
 
 
 def forward(df: DataFrame, value: str, key: str, day: str, p: int) -> Column:
@@ -98,11 +103,11 @@ def top_series(df: DataFrame, sizes: tuple[int, ...], rank: str, ahead: str, day
 def rule_days(universe: DataFrame, details: DataFrame, ahead: str, key: str, day: str, least: int) -> DataFrame:
     """Per rule and day: samples, mean score over the whole universe, mean of the triggered and their excess over the market.
 
-    Untriggered entities score 0; they are counted from the day, not made as rows.
+    Untriggered entities score 0; they are counted from the day, not made as rows. ``details`` carries ``ahead``.
     """
     u = universe.where(F.col(ahead).isNotNull()).select(key, day, ahead)
     market = u.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.avg(ahead).alias("market")).where(F.col("n") >= least)
-    hit = details.join(u, [key, day]).groupBy("rule", day).agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("s"), F.avg(ahead).alias("mean"))
+    hit = details.where(F.col(ahead).isNotNull()).groupBy("rule", day).agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("s"), F.avg(ahead).alias("mean"))
     return hit.join(market, day).select("rule", day, "n", "hits", (F.col("s") / F.col("n")).alias("avg_score"), "mean", (F.col("mean") - F.col("market")).alias("excess"))
 
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,15 +81,20 @@ def _combined(hits: Column, bonus: Column, by_hits: list[float], bonus_cap: floa
     return Scored(F.when(base == 0, 0.0).otherwise(capped(base + capped(bonus, bonus_cap), total_cap)), base != 0)
 
 
-def combination(s: Series, conditions: list[tuple[Column, float]], by_hits: list[float], scope: str = "LAST", n: int = 1, bonus_cap: float | None = None, total_cap: float | None = None) -> Scored:
+def combination(s: Series, conditions: list[tuple[Column, float]], by_hits: list[float], scope: str = "LAST", n: int = 1, k: int = 1, bonus_cap: float | None = None, total_cap: float | None = None) -> Scored:
     """Points by the number of conditions that hold and the bonuses of those.
 
     LAST looks at the row itself; ANY at the row of the window with most hits, the latest on ties; EACH sums base and
-    bonus over the window's rows that have a base, then caps.
+    bonus over the window's rows that have a base, then caps. CONSEC counts the conditions that each hold in a run of at
+    least ``k`` of the last ``n`` rows. Other scopes are an error.
     """
+    if scope not in ("LAST", "ANY", "EACH", "CONSEC"):
+        raise ValueError(f"no combination over scope {scope}")
+    if scope == "CONSEC":
+        conditions = [(consecutive(s, c, n, k), b) for c, b in conditions]
     hits = sum((c.cast("int") for c, _ in conditions), F.lit(0))
     bonus = sum((F.when(c, float(b)).otherwise(0.0) for c, b in conditions), F.lit(0.0))
-    if scope == "LAST":
+    if scope in ("LAST", "CONSEC"):
         return _combined(hits, bonus, by_hits, bonus_cap, total_cap)
     if scope == "ANY":
         best = F.max(F.struct(hits.alias("hits"), F.row_number().over(s.w).alias("row"), bonus.alias("bonus"))).over(_frame(s, n))
@@ -119,8 +125,9 @@ def score_panel(df: DataFrame, rules: list[Rule], keep: tuple[str, ...]) -> Data
     return staged.select(*keep, total.alias("total"), F.filter("all", lambda r: r.triggered).alias("details"))
 
 
-def rule_details(scored: DataFrame, entity: str, day: str) -> DataFrame:
-    return scored.select(entity, day, F.inline("details")).select(entity, day, "rule", "scene", "stage", "score")
+def rule_details(scored: DataFrame, entity: str, day: str, *carry: str) -> DataFrame:
+    """A row per triggered rule; ``carry`` columns of the scored row come along, so that it needn't be joined again."""
+    return scored.select(entity, day, *carry, F.inline("details")).select(entity, day, "rule", "scene", "stage", "score", *carry)
 
 
 @dataclass(frozen=True)
@@ -133,7 +140,7 @@ class Scene:
     fail: float
 
 
-def scene_stages(details: DataFrame, scenes: list[Scene], entity: str, day: str) -> DataFrame:
+def scene_stages(details: DataFrame, scenes: list[Scene], entity: str, day: str, *carry: str) -> DataFrame:
     """Stage of each scene that has triggered rules: fail before confirm before trigger before observe.
 
     Base, trigger and confirm rules add to stage_score, risk and fail rules to risk_score; a stage needs its kind of rule
@@ -141,7 +148,7 @@ def scene_stages(details: DataFrame, scenes: list[Scene], entity: str, day: str)
     """
     risky = F.col("stage").isin("risk", "fail")
     has = lambda kind: F.max(F.col("stage") == kind).alias(f"has_{kind}")
-    g = details.groupBy(entity, day, "scene").agg(F.sum(F.when(risky, 0.0).otherwise(F.col("score"))).alias("stage_score"), F.sum(F.when(risky, F.col("score")).otherwise(0.0)).alias("risk_score"), has("trigger"), has("confirm"), has("fail"))
+    g = details.groupBy(entity, day, "scene").agg(F.sum(F.when(risky, 0.0).otherwise(F.col("score"))).alias("stage_score"), F.sum(F.when(risky, F.col("score")).otherwise(0.0)).alias("risk_score"), has("trigger"), has("confirm"), has("fail"), *[F.max(c).alias(c) for c in carry])
     stage = confirm = risk = F.lit(None)
     for sc in scenes:
         up = 1.0 if sc.long else -1.0
@@ -149,20 +156,19 @@ def scene_stages(details: DataFrame, scenes: list[Scene], entity: str, day: str)
         mine = F.col("scene") == sc.name
         found = F.when(F.col("has_fail") & (bad >= sc.fail), "fail").when(F.col("has_confirm") & (value >= sc.confirm), "confirm").when(F.col("has_trigger") & (value >= sc.trigger), "trigger").when(F.col("has_trigger") & (value >= sc.observe), "observe")
         stage = F.when(mine, found).otherwise(stage)
-        confirm = F.when(mine, F.abs("stage_score") / sc.confirm).otherwise(confirm)
-        risk = F.when(mine, F.abs("risk_score") / sc.fail).otherwise(risk)
-    return g.select(entity, day, "scene", "stage_score", "risk_score", stage.alias("scene_stage"), confirm.cast("double").alias("confirm_strength"), risk.cast("double").alias("risk_intensity"))
+        confirm = F.when(mine, F.abs("stage_score") / sc.confirm if sc.confirm else 0.0).otherwise(confirm)
+        risk = F.when(mine, F.abs("risk_score") / sc.fail if sc.fail else 0.0).otherwise(risk)
+    return g.select(entity, day, "scene", "stage_score", "risk_score", stage.alias("scene_stage"), confirm.cast("double").alias("confirm_strength"), risk.cast("double").alias("risk_intensity"), *carry)
 
 
 def stage_weight(stage: Column) -> Column:
     return F.when(stage == "confirm", 3).when(stage == "trigger", 2).when(stage == "observe", 1).when(stage == "fail", 0).otherwise(-1)
 
 
-def rank_scenes(stages: DataFrame, totals: DataFrame, entity: str, day: str) -> DataFrame:
-    """Rank within (day, scene): stage, confirmation, net strength, net score, total, entity."""
-    joined = stages.join(totals.select(entity, day, "total"), [entity, day])
+def rank_scenes(stages: DataFrame, entity: str, day: str) -> DataFrame:
+    """Rank of stages that carry their ``total`` within (day, scene): stage, confirmation, net strength, net score, total, entity."""
     w = Window.partitionBy(day, "scene").orderBy(stage_weight(F.col("scene_stage")).desc(), F.desc("confirm_strength"), (F.col("confirm_strength") - F.col("risk_intensity")).desc(), (F.abs("stage_score") - F.abs("risk_score")).desc(), F.desc("total"), entity)
-    return joined.withColumn("scene_rank", F.row_number().over(w))
+    return stages.withColumn("scene_rank", F.row_number().over(w))
 
 
 def rank_days(df: DataFrame, entity: str, day: str, score: str, tie: str | None = None) -> DataFrame:
@@ -189,7 +195,7 @@ def convolution_rank(scores: DataFrame, kernel: list[float], entity: str, day: s
     """
     n = len(kernel)
     days = scores.select(day).distinct().withColumn("day_no", F.row_number().over(Window.orderBy(day)))  # one row per day
-    numbered = scores.join(F.broadcast(days), day) if days.count() <= 100_000 else scores.join(days, day)
+    numbered = scores.join(days, day)
     w = Window.partitionBy(entity).orderBy("day_no")
     lags = [F.lag(score, k).over(w) if k else F.col(score) for k in range(n)]
     smooth = sum((lag * weight for lag, weight in zip(lags, kernel, strict=True)), F.lit(0.0))
@@ -198,3 +204,29 @@ def convolution_rank(scores: DataFrame, kernel: list[float], entity: str, day: s
     raw = F.row_number().over(Window.partitionBy(day).orderBy(F.desc(score), F.asc(entity)))
     conv = F.row_number().over(Window.partitionBy(day).orderBy(F.desc("smooth"), F.asc(entity)))
     return ready.select(entity, day, score, "smooth", raw.alias("raw_rank"), conv.alias("conv_rank"), (raw - conv).alias("change"))
+
+
+def checked_kernel(kernel: list[float]) -> list[float]:
+    """Weights that sum to 1; negative weights and a zero sum are errors."""
+    if not kernel or any(not math.isfinite(x) or x < 0 for x in kernel) or sum(kernel) <= 0:
+        raise ValueError("kernel weights must be finite, not negative and not all zero")
+    return [x / sum(kernel) for x in kernel]
+
+
+def convolution_rank_on(scores: DataFrame, kernel: list[float], entity: str, day: str, score: str, on: Column) -> DataFrame:
+    """Smoothed ranking of one score day: ``on`` (a date literal), or the latest day before it that has scores.
+
+    The kernel is normalised. An error if fewer score days than weights end there; entities that miss one of those days
+    are not ranked. Only the window's days are read.
+    """
+    weights = checked_kernel(kernel)
+    n = len(weights)
+    days = [r[0] for r in scores.where(F.col(day) <= on).select(day).distinct().orderBy(F.desc(day)).limit(n).collect()]
+    if len(days) < n:
+        raise ValueError(f"only {len(days)} score days, the kernel has {n}")
+    weight = F.element_at(F.create_map(*[x for d, w in zip(days, weights, strict=True) for x in (F.lit(d), F.lit(w))]), F.col(day))
+    rows = scores.where(F.col(day).isin(days))
+    g = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(score) * weight).alias("smooth"), F.max(F.when(F.col(day) == F.lit(days[0]), F.col(score))).alias(score)).where(F.col("_n") == n)
+    raw = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(score), F.asc(entity)))
+    conv = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("smooth"), F.asc(entity)))
+    return g.select(entity, F.lit(days[0]).alias(day), score, "smooth", raw.alias("raw_rank"), conv.alias("conv_rank"), (raw - conv).alias("change"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.queries import backtest, market, scoring, series, state
+from barloom.queries import backtest, market, pages, scoring, series, state, validation
 
-MODULES = (series, scoring, backtest, market, state)
+MODULES = (series, scoring, backtest, market, state, pages, validation)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest as bt
 from barloom.operators import scoring as sc
-from barloom.queries.market import RANKED, ranked
-from barloom.queries.scoring import EVENT_SCORES, details, event_scores, stages
+from barloom.queries.market import RANKED
+from barloom.queries.scoring import EVENT_SCORES, SCENES, event_scores, total_panel
 from barloom.sources.fixtures import STOCKS, stocks, supplier_bars
 
 QUERIES: dict = {}
@@ -34,10 +34,18 @@ def residuals(spark, d):
 
 
 def universe(spark, d):
-    """code, day, total, rank and the residual of the next three rows."""
-    fw = residuals(spark, d)
-    fw = fw.withColumn("ahead", bt.forward(fw, "residual", "code", "day", 3)).select("code", "day", "ahead").where("ahead is not null")
-    return ranked(spark, d).select("code", "day", "total", "rank").join(fw, ["code", "day"])
+    """code, day, total, rank, details, industry, market_value and the residual of the next three rows.
+
+    One scored panel: ranks and residuals by day, then the next rows by code.
+    """
+    days = sc.rank_days(total_panel(spark, d).join(stocks(spark, d).drop("name"), "code"), "code", "day", "total", "j")
+    known = days.withColumn("residual", bt.residual_of("day", 0.5, 0.2)).where("pct is not null")
+    return known.withColumn("ahead", bt.forward(known, "residual", "code", "day", 3)).where("ahead is not null")
+
+
+def rule_days(spark, d):
+    u = universe(spark, d)
+    return bt.rule_days(u, sc.rule_details(u, "code", "day", "ahead"), "ahead", "code", "day", 2)
 
 
 @query(f"WITH {_RES} SELECT code, day, round(residual, 5) AS residual FROM re")
@@ -52,8 +60,7 @@ def b02_forward(spark, d):
 
 @query(f"WITH {_RD} SELECT rule, day, n, hits, round(avg_score, 5) AS avg_score, round(mean, 5) AS mean, round(excess, 5) AS excess FROM rd")
 def b06_rule_day(spark, d):
-    r = bt.rule_days(universe(spark, d), details(spark, d), "ahead", "code", "day", 2)
-    return r.select("rule", "day", "n", "hits", *[F.round(c, 5).alias(c) for c in ("avg_score", "mean", "excess")])
+    return rule_days(spark, d).select("rule", "day", "n", "hits", *[F.round(c, 5).alias(c) for c in ("avg_score", "mean", "excess")])
 
 
 @query(f"WITH {_IC} SELECT day, n, round(ic, 6) AS ic FROM ic")
@@ -105,13 +112,14 @@ def b15_topk(spark, d):
 
 @query(f"WITH {_FW}, sl AS (SELECT st.day, scene, coalesce(scene_stage, 'other') AS state, avg(ahead) AS m, count(*) AS n FROM st JOIN u ON st.code = u.code AND st.day = u.day GROUP BY ALL) SELECT scene, state, count(*) AS days, CAST(sum(n) AS BIGINT) AS samples, round(avg(m), 5) AS mean FROM sl GROUP BY ALL")
 def b17_scene_layers(spark, d):
-    s = stages(spark, d).join(universe(spark, d), ["code", "day"]).groupBy("day", "scene", F.coalesce("scene_stage", F.lit("other")).alias("state")).agg(F.avg("ahead").alias("m"), F.count(F.lit(1)).alias("n"))
+    found = sc.scene_stages(sc.rule_details(universe(spark, d), "code", "day", "ahead"), SCENES, "code", "day", "ahead")
+    s = found.groupBy("day", "scene", F.coalesce("scene_stage", F.lit("other")).alias("state")).agg(F.avg("ahead").alias("m"), F.count(F.lit(1)).alias("n"))
     return s.groupBy("scene", "state").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("samples"), F.round(F.avg("m"), 5).alias("mean"))
 
 
 @query(f"WITH {_RD}, dv AS (SELECT rule, excess * CASE WHEN sum(avg_score) OVER (PARTITION BY rule) < 0 THEN -1 ELSE 1 END AS v, row_number() OVER (PARTITION BY rule ORDER BY day DESC) AS back FROM rd), dg AS (SELECT rule, k AS span, count(*) FILTER (back <= k) AS n1, count(*) FILTER (back > k) AS n0, avg(v) FILTER (back <= k) AS a1, avg(v) FILTER (back > k) AS a0, var_samp(v) FILTER (back <= k) AS v1, var_samp(v) FILTER (back > k) AS v0 FROM dv CROSS JOIN (VALUES (20), (40), (60)) x(k) GROUP BY ALL) SELECT rule, span, n0 AS prior_days, round(a1, 5) AS recent, round(a0, 5) AS prior, CASE WHEN sqrt(v1 / n1 + v0 / n0) > 1e-12 THEN round((a1 - a0) / sqrt(v1 / n1 + v0 / n0), 4) END AS t FROM dg WHERE n0 >= 10")
 def b20_decay(spark, d):
-    return bt.decay(bt.rule_days(universe(spark, d), details(spark, d), "ahead", "code", "day", 2), "rule", "day")
+    return bt.decay(rule_days(spark, d), "rule", "day")
 
 
 KERNELS = {f"exp{n}_{h}": (n, h) for n in (3, 5) for h in (1.0, 2.0)}

@@ -13,7 +13,7 @@ from barloom.sources.fixtures import BARS, CONCEPTS, STOCKS, concepts, read, sto
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-RANKED = f"{_RULES}, rk AS (SELECT code, day, close, pct, j, total, CAST(row_number() OVER (PARTITION BY day ORDER BY total DESC, j ASC NULLS LAST, code) AS INT) AS rank FROM tot)"
+RANKED = f"{_RULES}, rk AS MATERIALIZED (SELECT code, day, close, pct, j, total, CAST(row_number() OVER (PARTITION BY day ORDER BY total DESC, j ASC NULLS LAST, code) AS INT) AS rank FROM tot)"
 
 
 def by_code():
@@ -35,15 +35,15 @@ def ranked(spark, d):
 
 @query(f"WITH {RANKED} SELECT d.code, d.day, d.rule, d.score, rk.rank, max(rk.rank) OVER (PARTITION BY d.day) AS max_rank FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day")
 def j02_contribution_join(spark, d):
-    joined = details(spark, d).join(ranked(spark, d).select("code", "day", "rank"), ["code", "day"], "left")
+    joined = sc.rule_details(ranked(spark, d), "code", "day", "rank")
     return joined.select("code", "day", "rule", "score", "rank", F.max("rank").over(Window.partitionBy("day")).alias("max_rank"))
 
 
 @query(f"WITH {RANKED}, mq AS (SELECT day, max(rank) AS top FROM rk GROUP BY day) SELECT rule, round(sum(score * (top + 1 - rank) / top), 4) AS total, round(sum(score * (top + 1 - rank) / top) / count(DISTINCT d.day), 4) AS per_day, round(avg(score * (top + 1 - rank) / top), 4) AS per_trigger FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day JOIN mq ON d.day = mq.day GROUP BY rule")
 def b19_contribution(spark, d):
-    full = ranked(spark, d).withColumn("top", F.max("rank").over(Window.partitionBy("day"))).select("code", "day", "rank", "top")
+    full = ranked(spark, d).withColumn("top", F.max("rank").over(Window.partitionBy("day")))
     value = F.col("score") * (F.col("top") + 1 - F.col("rank")) / F.col("top")
-    g = details(spark, d).join(full, ["code", "day"]).withColumn("v", value)
+    g = sc.rule_details(full, "code", "day", "rank", "top").withColumn("v", value)
     per = g.groupBy("rule", "day").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n")).groupBy("rule").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("days"), F.sum("n").alias("n"))
     return per.select("rule", F.round("s", 4).alias("total"), F.round(F.col("s") / F.col("days"), 4).alias("per_day"), F.round(F.col("s") / F.col("n"), 4).alias("per_trigger"))
 
@@ -85,12 +85,12 @@ def j10_asof_factor(spark, d):
     return supplier_bars(spark, d).select("code", "day", F.round(op.next_known(f, "code", "day"), 6).alias("factor"))
 
 
-@query(f"""WITH {_RULES}, ev AS (SELECT code, day, rule FROM d WHERE rule IN ('crossed', 'broken')), t AS (SELECT rule, day FROM ev WHERE code = 1),
+@query(f"""WITH {_RULES}, ev AS (SELECT code, day, rule FROM d ), t AS (SELECT rule, day FROM ev WHERE code = 1),
 b AS (SELECT ev.code, t.rule, t.day, min(abs(ev.day - t.day)) AS gap FROM ev JOIN t ON ev.rule = t.rule AND abs(ev.day - t.day) <= 2 WHERE ev.code <> 1 GROUP BY ALL),
 p AS (SELECT code, sum(3 - gap) AS points, count(*) AS matched FROM b GROUP BY code), n AS (SELECT code, count(*) AS n FROM ev WHERE code <> 1 GROUP BY code)
 SELECT p.code, matched, round(200.0 * points / 3 / (n + (SELECT count(*) FROM t)), 6)::DOUBLE AS similarity FROM p JOIN n ON p.code = n.code""")
 def j17_band_join(spark, d):
-    ev = details(spark, d).where(F.col("rule").isin("crossed", "broken")).select("code", "day", "rule")
+    ev = details(spark, d).select("code", "day", "rule")
     return op.sequence_similarity(ev, F.col("code") == 1, "code", "day", "rule", 2)
 
 
@@ -166,7 +166,7 @@ def a17_cosine(spark, d):
 
 @query(f"WITH {_RULES}, p AS (SELECT x.rule AS a, y.rule AS b, count(*) AS n FROM d x JOIN d y ON x.code = y.code AND x.day = y.day AND x.rule < y.rule GROUP BY ALL), s AS (SELECT rule, count(*) AS n FROM d GROUP BY rule) SELECT p.a, p.b, p.n AS both, round(p.n / (x.n + y.n - p.n), 6) AS jaccard, round(p.n * (SELECT count(*) FROM tot) / (x.n * y.n), 6) AS lift FROM p JOIN s x ON p.a = x.rule JOIN s y ON p.b = y.rule")
 def a18_rule_overlap(spark, d):
-    return op.rule_overlap(details(spark, d), "code", "day", "rule", total_panel(spark, d))
+    return op.rule_overlap(details(spark, d), "code", "day", "rule", supplier_bars(spark, d).select("code", "day"))
 
 
 @query(f"WITH {BARS} SELECT code, day, CAST(n AS INT) AS back, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS n FROM bars) WHERE n <= 3")
@@ -209,7 +209,7 @@ _SR = "CAST(row_number() OVER (PARTITION BY st.day, scene ORDER BY CASE scene_st
 
 @query(f"WITH {_RULES}, sr AS (SELECT st.code, st.day, scene, scene_stage, total, {_SR} AS scene_rank FROM st JOIN tot ON st.code = tot.code AND st.day = tot.day) SELECT * FROM sr WHERE scene_rank <= 5")
 def g02_scene_overview(spark, d):
-    return sc.rank_scenes(stages(spark, d), total_panel(spark, d), "code", "day").where("scene_rank <= 5").select("code", "day", "scene", "scene_stage", "total", "scene_rank")
+    return sc.rank_scenes(stages(spark, d), "code", "day").where("scene_rank <= 5").select("code", "day", "scene", "scene_stage", "total", "scene_rank")
 
 
 @query(f"WITH {_RULES}, gq AS (SELECT day, rule, count(*) AS n, sum(score) AS s, quantile_cont(score, 0.5) AS median FROM d WHERE abs(score) > 1e-12 GROUP BY ALL) SELECT day, rule, n, round(s, 6) AS total, round(median, 6) AS median, round(100.0 * n / sum(n) OVER (PARTITION BY day), 6) AS share FROM gq")
@@ -226,8 +226,8 @@ def g04_stage_ratio(spark, d):
 
 @query(f"WITH {RANKED} SELECT d.day, d.code, d.score, rank FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day WHERE rule = 'joined' AND abs(score) > 1e-12")
 def g05_triggered(spark, d):
-    hit = details(spark, d).where((F.col("rule") == "joined") & (F.abs("score") > 1e-12))
-    return hit.join(ranked(spark, d).select("code", "day", "rank"), ["code", "day"]).select("day", "code", "score", "rank")
+    every = sc.rule_details(ranked(spark, d), "code", "day", "rank")
+    return every.where((F.col("rule") == "joined") & (F.abs("score") > 1e-12)).select("day", "code", "score", "rank")
 
 
 @query(f"WITH {_BOARD}, n AS (SELECT concept, count(*) AS members FROM concepts GROUP BY concept) SELECT bp.concept, members, round(avg(performance), 6) AS mean FROM bp JOIN n ON bp.concept = n.concept WHERE members >= 2 GROUP BY ALL")
@@ -325,11 +325,11 @@ def m06_continuity_audit(spark, d):
     return a.groupBy("code").agg(F.count(F.lit(1)).alias("checked"), F.count_if(off).alias("broken"), F.max(off).alias("repair"))
 
 
-@query(f"WITH {BARS}, l AS (SELECT code, max(day) + 1 AS day, arg_max(close, day) * 1.05 AS close, true AS supposed FROM bars GROUP BY code), u AS (SELECT code, day, close, false AS supposed FROM bars UNION ALL SELECT * FROM l), m AS (SELECT *, avg(close) OVER w AS ma, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY code ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT code, day, round(close, 4) AS close, n = 5 AND close > ma + 1e-12 AS hit FROM m WHERE supposed")
+@query(f"WITH {BARS}, l AS (SELECT code, max(day) + 1 AS day, arg_max(close, day) * 1.05 AS close, true AS supposed FROM bars GROUP BY code), u AS (SELECT code, day, close, false AS supposed FROM bars UNION ALL SELECT * FROM l), m AS (SELECT *, avg(close) OVER w AS ma, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY code ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT code, day, round(ln(close), 5) AS level, n = 5 AND close > ma + 1e-12 AS hit FROM m WHERE supposed")
 def r26_what_if(spark, d):
     s = Series("code", "day")
     rows = op.what_if(supplier_bars(spark, d), "code", "day", 5.0)
-    return rows.withColumn("ma", s.mean(F.col("close"), 5)).where("supposed").select("code", "day", F.round("close", 4).alias("close"), F.coalesce(F.col("close") > F.col("ma") + 1e-12, F.lit(False)).alias("hit"))
+    return rows.withColumn("ma", s.mean(F.col("close"), 5)).where("supposed").select("code", "day", F.round(F.log("close"), 5).alias("level"), F.coalesce(F.col("close") > F.col("ma") + 1e-12, F.lit(False)).alias("hit"))
 
 
 @query(f"WITH {STOCKS}, {CONCEPTS}, w AS (SELECT concept FROM concepts WHERE code = 1), s AS (SELECT code, count(*) AS shared FROM concepts WHERE concept IN (SELECT concept FROM w) GROUP BY code) SELECT stocks.code, round(40.0 * coalesce(shared, 0) / (SELECT count(*) FROM w) + CASE WHEN industry = (SELECT industry FROM stocks WHERE code = 1) THEN 40 ELSE 0 END, 6)::DOUBLE AS likeness, 80 AS attainable FROM stocks LEFT JOIN s ON stocks.code = s.code WHERE stocks.code <> 1")

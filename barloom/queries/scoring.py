@@ -80,12 +80,12 @@ def total_panel(spark, sf_dir):
 _EACH = f"least(list_sum(list_transform(range(0, 5), lambda d: CASE WHEN len(lb) > d AND lb[len(lb) - d] THEN {_PTS.format(d='d')} ELSE 0 END)), 6)"
 _RULES = f"""{PANEL},
 r AS (SELECT *, {_HITS} AS hits, {_win('b', 5)} AS lb, {_win('t', 3)} AS lt FROM h),
-d AS (SELECT code, day, 'above' AS rule, 'trend' AS scene, 'base' AS stage, 1.0::DOUBLE AS score FROM r WHERE a
+d AS MATERIALIZED (SELECT code, day, 'above' AS rule, 'trend' AS scene, 'base' AS stage, 1.0::DOUBLE AS score FROM r WHERE a
   UNION ALL SELECT code, day, 'crossed', 'trend', 'trigger', CAST({_EACH} AS DOUBLE) FROM r WHERE list_contains(lb, true)
   UNION ALL SELECT code, day, 'joined', 'trend', 'confirm', CAST({_BASE.format(h='hits')} + {_BONUS} AS DOUBLE) FROM r WHERE hits > 0
   UNION ALL SELECT code, day, 'hot', 'heat', 'trigger', -2.0 FROM r WHERE list_contains(lt, true)
   UNION ALL SELECT code, day, 'broken', 'trend', 'fail', -4.0 FROM r WHERE NOT a AND t),
-tot AS (SELECT h.code, h.day, h.close, h.pct, h.j, 50 + coalesce(sum(score), 0) AS total FROM h LEFT JOIN d ON h.code = d.code AND h.day = d.day GROUP BY ALL),
+tot AS MATERIALIZED (SELECT h.code, h.day, h.close, h.pct, h.j, 50 + coalesce(sum(score), 0) AS total FROM h LEFT JOIN d ON h.code = d.code AND h.day = d.day GROUP BY ALL),
 gs AS (SELECT code, day, scene, coalesce(sum(score) FILTER (stage NOT IN ('risk', 'fail')), 0) AS stage_score, coalesce(sum(score) FILTER (stage IN ('risk', 'fail')), 0) AS risk_score,
       bool_or(stage = 'trigger') AS ht, bool_or(stage = 'confirm') AS hc, bool_or(stage = 'fail') AS hf FROM d GROUP BY ALL),
 st AS (SELECT *, CASE WHEN scene = 'trend' THEN CASE WHEN hf AND risk_score <= -4 THEN 'fail' WHEN hc AND stage_score >= 6 THEN 'confirm' WHEN ht AND stage_score >= 3 THEN 'trigger' WHEN ht AND stage_score >= 1 THEN 'observe' END
@@ -98,7 +98,8 @@ def details(spark, sf_dir):
 
 
 def stages(spark, sf_dir):
-    return sc.scene_stages(details(spark, sf_dir), SCENES, "code", "day")
+    """Scene rows with the total of their scored row."""
+    return sc.scene_stages(sc.rule_details(total_panel(spark, sf_dir), "code", "day", "total"), SCENES, "code", "day", "total")
 
 
 def r12_details(spark, sf_dir):
@@ -118,7 +119,7 @@ def r17_rank_plain(spark, sf_dir):
 
 
 def r18_scene_rank(spark, sf_dir):
-    return sc.rank_scenes(stages(spark, sf_dir), total_panel(spark, sf_dir), "code", "day").select("code", "day", "scene", "scene_rank")
+    return sc.rank_scenes(stages(spark, sf_dir), "code", "day").select("code", "day", "scene", "scene_rank")
 
 
 def event_scores(spark, sf_dir):
@@ -136,9 +137,14 @@ def r20_convolution(spark, sf_dir):
     return out.select("code", "day", "score", F.round("smooth", 5).alias("smooth"), "raw_rank", "conv_rank", "change")
 
 
+def r20_kernel_h30(spark, sf_dir):
+    out = sc.convolution_rank(event_scores(spark, sf_dir), sc.kernel_h30(), "code", "day", "score")
+    return out.select("code", "day", F.round("smooth", 4).alias("smooth"))
+
+
 def r21_convolution_one_date(spark, sf_dir):
-    out = sc.convolution_rank(event_scores(spark, sf_dir), K3, "code", "day", "score")
-    return out.groupBy("code").agg(F.max_by("conv_rank", "day").alias("conv_rank"), F.max("day").alias("day"))
+    out = sc.convolution_rank_on(event_scores(spark, sf_dir), [5.0, 3.0, 2.0], "code", "day", "score", F.lit("2024-01-20").cast("date"))
+    return out.select("code", "day", "score", F.round("smooth", 5).alias("smooth"), "raw_rank", "conv_rank", "change")
 
 
 _CONV = f"""{EVENT_SCORES},
@@ -166,6 +172,8 @@ QUERIES = {
     "r18_scene_rank": r18_scene_rank,
     "r20_convolution": r20_convolution,
     "r21_convolution_one_date": r21_convolution_one_date,
+    "r20_kernel_h30": r20_kernel_h30,
+    "r10_combo_consec": _rule(lambda a, b, t: sc.combination(S, conditions(a, b, t), BY_HITS, "CONSEC", 5, 2)),
 }
 _WEIGHT = "CASE scene_stage WHEN 'confirm' THEN 3 WHEN 'trigger' THEN 2 WHEN 'observe' THEN 1 WHEN 'fail' THEN 0 ELSE -1 END"
 ORACLE = {
@@ -186,5 +194,7 @@ ORACLE = {
     "r17_rank_plain": f"WITH {_RULES} SELECT code, day, CAST(row_number() OVER (PARTITION BY day ORDER BY total DESC, code) AS INT) AS rank FROM tot",
     "r18_scene_rank": f"WITH {_RULES} SELECT st.code, st.day, scene, CAST(row_number() OVER (PARTITION BY st.day, scene ORDER BY {_WEIGHT} DESC, confirm_strength DESC, confirm_strength - risk_intensity DESC, abs(stage_score) - abs(risk_score) DESC, total DESC, st.code) AS INT) AS scene_rank FROM st JOIN tot ON st.code = tot.code AND st.day = tot.day",
     "r20_convolution": f"WITH {_CONV} SELECT code, day, score, round(smooth, 5) AS smooth, CAST(raw_rank AS INT) AS raw_rank, CAST(conv_rank AS INT) AS conv_rank, CAST(raw_rank - conv_rank AS INT) AS change FROM k",
-    "r21_convolution_one_date": f"WITH {_CONV} SELECT code, CAST(arg_max(conv_rank, day) AS INT) AS conv_rank, max(day) AS day FROM k GROUP BY code",
+    "r21_convolution_one_date": f"WITH {EVENT_SCORES}, w AS (SELECT day, CASE n WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 ELSE 0.2 END AS weight, n FROM (SELECT day, row_number() OVER (ORDER BY day DESC) AS n FROM (SELECT DISTINCT day FROM sc WHERE day <= DATE '2024-01-20')) WHERE n <= 3), e AS (SELECT code, sum(score * weight) AS smooth, max(score) FILTER (n = 1) AS score FROM sc JOIN w USING (day) GROUP BY code HAVING count(*) = 3), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, code) AS raw_rank, row_number() OVER (ORDER BY smooth DESC, code) AS conv_rank FROM e) SELECT code, (SELECT max(day) FROM w) AS day, score, round(smooth, 5) AS smooth, CAST(raw_rank AS INT) AS raw_rank, CAST(conv_rank AS INT) AS conv_rank, CAST(raw_rank - conv_rank AS INT) AS change FROM r",
+    "r20_kernel_h30": f"WITH {EVENT_SCORES}, ax AS (SELECT day, row_number() OVER (ORDER BY day) AS no FROM (SELECT DISTINCT day FROM sc)), n AS (SELECT code, score, no FROM sc JOIN ax USING (day)), z AS (SELECT x.code, x.no, sum(y.score * (0.5 / 30 + CASE x.no - y.no WHEN 0 THEN 0.5 / 2.19 WHEN 1 THEN 0.35 / 2.19 WHEN 2 THEN 0.245 / 2.19 ELSE 0 END)) AS smooth, count(*) AS c FROM n x JOIN n y ON x.code = y.code AND y.no BETWEEN x.no - 29 AND x.no GROUP BY ALL) SELECT code, day, round(smooth, 4) AS smooth FROM z JOIN ax USING (no) WHERE c = 30",
+    "r10_combo_consec": _sql("CASE WHEN k > 0 THEN CASE k WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END + CASE WHEN qt THEN 2 ELSE 0 END ELSE 0 END", "k > 0") + f"(SELECT *, CAST(qa AS INT) + CAST(qb AS INT) + CAST(qt AS INT) AS k FROM (SELECT *, " + ", ".join(f"list_contains({_win('r' + c, 4)}, true) AS q{c}" for c in "abt") + " FROM (SELECT *, " + ", ".join(f"(len({_win(c, 2)}) = 2 AND NOT list_contains({_win(c, 2)}, false)) AS r{c}" for c in "abt") + " FROM h)))",
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import semantics as m
-from barloom.functions.series import Series, efficiency_ratio, kdj_j
+from barloom.functions.series import Series, efficiency_ratio, ema_weight, kdj_j, sma_weight, smoothed
+from barloom.operators.indicators import Indicator, incremental_chain, indicator_chain, lossy_chain
 from barloom.sources.fixtures import BARS, EVENT_SERIES, event_series, supplier_bars
 
 S = Series("u", "i")
@@ -131,9 +132,48 @@ def x12_warmup_prune(spark, sf_dir):
 
 S2 = B
 BW = "OVER (PARTITION BY code ORDER BY day)"
+def _long(weight: float):
+    return lambda spark, sf_dir: smoothed(event_series(spark, sf_dir), "u", "i", "x", weight, "r").select("u", "i", rnd(F.col("r") / 7, 5).alias("r"))
+
+
+def levels(spark, sf_dir):
+    """Logarithms of closes."""
+    return supplier_bars(spark, sf_dir).select("code", "day", F.log("close").alias("level"))
+
+
+CHAIN = [
+    Indicator("ma5", lambda: B.mean(F.col("level"), 5), 3, 4),
+    Indicator("gap", lambda: F.col("level") - F.col("ma5"), 3),
+    Indicator("swing", lambda: B.mean(F.col("gap"), 3), 3, 2),
+]
+
+
+def r23_indicator_chain(spark, sf_dir):
+    return indicator_chain(levels(spark, sf_dir), CHAIN).select("code", "day", "ma5", "gap", "swing")
+
+
+def r24_lossy_chain(spark, sf_dir):
+    """An indicator over a column that isn't there is left out, the others stay."""
+    out, failed = lossy_chain(levels(spark, sf_dir), [CHAIN[0], Indicator("broken", lambda: F.col("absent") + 1, 2), CHAIN[1]])
+    return out.select("code", "day", "ma5", "gap", F.lit(",".join(failed)).alias("failed"))
+
+
+def r25_incremental_chain(spark, sf_dir):
+    bars = levels(spark, sf_dir)
+    new = F.col("day") >= F.lit("1998-01-01").cast("date")
+    return incremental_chain(bars.where(~new), bars.where(new), CHAIN, "code", "day").select("code", "day", "ma5", "gap", "swing")
+
+
+QUERIES |= {"f24_ema_1000": _long(ema_weight(1000)), "f25_sma_1000": _long(sma_weight(1000, 1)), "f25_sma_first": _long(sma_weight(7, 0))}
+QUERIES |= {"r23_indicator_chain": r23_indicator_chain, "r24_lossy_chain": r24_lossy_chain, "r25_incremental_chain": r25_incremental_chain}
 QUERIES |= {"ind_kdj_j": ind_kdj_j, "ind_er20": ind_er20, "x12_warmup_prune": x12_warmup_prune}
 _B9 = "ROWS BETWEEN 8 PRECEDING AND CURRENT ROW"
+ORACLE |= {f"f2{k}": f"WITH {EVENT_SERIES} {_smooth(a)}".replace("* s), 6)", "* s) / 7, 5)") for k, a in (("4_ema_1000", 2 / 1001), ("5_sma_1000", 1 / 1000), ("5_sma_first", 0.0))}
+_CHAIN = f"{BARS}, c0 AS (SELECT code, day, ln(close) AS level FROM bars), c1 AS (SELECT code, day, level, round(CASE WHEN count(*) OVER w = 5 THEN avg(level) OVER w END, 3) AS ma5 FROM c0 WINDOW w AS (PARTITION BY code ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), c2 AS (SELECT *, round(level - ma5, 3) AS gap FROM c1), c3 AS (SELECT *, round(CASE WHEN count(gap) OVER w = 3 THEN avg(gap) OVER w END, 3) AS swing FROM c2 WINDOW w AS (PARTITION BY code ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
 ORACLE |= {
+    "r23_indicator_chain": f"WITH {_CHAIN} SELECT code, day, ma5, gap, swing FROM c3",
+    "r24_lossy_chain": f"WITH {_CHAIN} SELECT code, day, ma5, gap, 'broken' AS failed FROM c2",
+    "r25_incremental_chain": f"WITH {_CHAIN} SELECT code, day, ma5, gap, swing FROM c3 WHERE day >= DATE '1998-01-01'",
     "ind_kdj_j": f"""WITH {BARS},
 a AS (SELECT code, day, CASE WHEN count(*) OVER w = 9 THEN CASE WHEN max(high) OVER w - min(low) OVER w < 1e-12 THEN 0 ELSE 100 * (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) END END AS rsv
       FROM bars WINDOW w AS (PARTITION BY code ORDER BY day {_B9})),

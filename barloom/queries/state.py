@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from barloom.queries.market import RANKED, ranked
 from barloom.sources.fixtures import BARS, supplier_bars
 
-_DAILY = f"WITH {RANKED}, pr AS (SELECT *, lag(rank) OVER (PARTITION BY code ORDER BY day) AS before FROM rk), dr AS (SELECT day, year(day) AS y, avg(pct) / 10000 AS r FROM pr WHERE before <= 5 AND pct IS NOT NULL GROUP BY day)"
+_DAILY = f"WITH {RANKED}, pr AS (SELECT *, lag(rank) OVER (PARTITION BY code ORDER BY day) AS before FROM rk), dr AS (SELECT day, year(day) AS y, avg(pct) / 100 AS r FROM pr WHERE before <= 5 AND pct IS NOT NULL GROUP BY day)"
 
 
 def daily_returns(spark, d) -> DataFrame:
-    """day, y and r: mean return (in basis points of pct, so that values stay above 0) of entities that were in the top five on their last day."""
+    """day, y and r: mean return of entities that were in the top five on their last day."""
     held = ranked(spark, d).withColumn("before", F.lag("rank").over(Window.partitionBy("code").orderBy("day"))).where("before <= 5 and pct is not null")
-    return held.groupBy("day").agg((F.avg("pct") / 10000).alias("r")).withColumn("y", F.year("day"))
+    return held.groupBy("day").agg((F.avg("pct") / 100).alias("r")).withColumn("y", F.year("day"))
 
 
 def q10_drawdown(spark, d) -> DataFrame:
@@ -44,7 +44,7 @@ def i03_exact_round(spark, d) -> DataFrame:
 
 QUERIES = {"q10_drawdown": q10_drawdown, "q11_sharpe": q11_sharpe, "i03_exact_round": i03_exact_round}
 ORACLE = {
-    "q10_drawdown": f"{_DAILY}, nv AS (SELECT y, day, exp(sum(ln(1 + r)) OVER w) AS nav FROM dr WINDOW w AS (PARTITION BY y ORDER BY day)), pk AS (SELECT *, max(nav) OVER (PARTITION BY y ORDER BY day) AS peak FROM nv) SELECT CAST(y AS INT) AS y, round(max((peak - nav) / peak) * 100, 5) AS drawdown FROM pk GROUP BY y",
+    "q10_drawdown": f"{_DAILY}, nv AS (SELECT y, day, CASE WHEN min(r) OVER w > -1 THEN exp(sum(CASE WHEN r > -1 THEN ln(1 + r) END) OVER w) END AS nav FROM dr WINDOW w AS (PARTITION BY y ORDER BY day)), pk AS (SELECT *, max(nav) OVER (PARTITION BY y ORDER BY day) AS peak FROM nv) SELECT CAST(y AS INT) AS y, CASE WHEN count(nav) = count(*) THEN round(max((peak - nav) / peak) * 100, 5) END AS drawdown FROM pk GROUP BY y",
     "q11_sharpe": f"{_DAILY} SELECT CAST(y AS INT) AS y, count(*) AS n, CASE WHEN count(*) >= 2 AND stddev_samp(r) > 1e-12 THEN round(avg(r) / stddev_samp(r) * sqrt(252), 5) END AS sharpe FROM dr GROUP BY y",
     "i03_exact_round": f"WITH {BARS} SELECT code, day, CAST(printf('%.2f', close) AS DOUBLE) AS price FROM bars",
 }

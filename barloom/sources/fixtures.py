@@ -25,7 +25,9 @@ EVENT_SERIES = "s AS (SELECT user_id AS u, event_id AS i, value AS y, CASE WHEN
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: code, day, low, high, volume, amount, turnover, close, pre_close, pct."""
     dec = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day")).agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), dec("l_quantity").alias("volume"), dec("l_extendedprice").alias("amount"), (F.max("l_discount") * 100).alias("turnover"))
+    # dealt by code first, so that the grouping and every window by code that follows need no further shuffle
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity", "l_discount").repartition("code")
+    g = lines.groupBy("code", "day").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), dec("l_quantity").alias("volume"), dec("l_extendedprice").alias("amount"), (F.max("l_discount") * 100).alias("turnover"))
     g = g.withColumn("close", div(F.col("amount"), F.col("volume")))
     g = g.withColumn("pre_close", F.lag("close").over(Window.partitionBy("code").orderBy("day")))
     return g.withColumn("pct", F.when(F.col("pre_close") > 0, (F.col("close") / F.col("pre_close") - 1) * 100))
@@ -36,7 +38,7 @@ BARS = """g AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, min(l
   FROM lineitem GROUP BY ALL),
 g2 AS (SELECT *, CASE WHEN abs(volume) < 1e-12 THEN 0.0 ELSE amount / volume END AS close FROM g),
 g3 AS (SELECT *, lag(close) OVER (PARTITION BY code ORDER BY day) AS pre_close FROM g2),
-bars AS (SELECT *, CASE WHEN pre_close > 0 THEN (close / pre_close - 1) * 100 END AS pct FROM g3)"""
+bars AS MATERIALIZED (SELECT *, CASE WHEN pre_close > 0 THEN (close / pre_close - 1) * 100 END AS pct FROM g3)"""
 
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +51,9 @@ STOCKS = "stocks AS (SELECT s_suppkey AS code, s_name AS name, n_name AS industr
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-value dimension: code, concept (brands that a supplier ships on large lines)."""
-    l, p = read(spark, sf_dir, "lineitem").where("l_quantity >= 49"), read(spark, sf_dir, "part")
+    """Multi-value dimension: code, concept (brands that a supplier ships)."""
+    l, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     return l.join(p, l.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("code"), F.col("p_brand").alias("concept")).distinct()
 
 
-CONCEPTS = "concepts AS (SELECT DISTINCT l_suppkey AS code, p_brand AS concept FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49)"
+CONCEPTS = "concepts AS (SELECT DISTINCT l_suppkey AS code, p_brand AS concept FROM lineitem JOIN part ON l_partkey = p_partkey)"
