@@ -189,7 +189,7 @@ def b24_calibration(spark, d):
 _KV = ", ".join(f"('{name}', {len(w)}, [{', '.join(map(repr, w))}])" for name, w in va.kernel_grid())
 
 
-@query(f"""WITH {EVENT_SCORES}, ax AS (SELECT day, row_number() OVER (ORDER BY day) AS no FROM (SELECT DISTINCT day FROM sc)), n AS (SELECT code, day, score, no, lead(score) OVER (PARTITION BY code ORDER BY day) - score AS ahead FROM sc JOIN ax USING (day)),
+@query(f"""WITH {EVENT_SCORES}, ax AS (SELECT day, row_number() OVER (ORDER BY day) AS no FROM (SELECT DISTINCT day FROM sc)), n AS (SELECT code, day, score, no, 100 * ln(lead(score) OVER (PARTITION BY code ORDER BY day) / score) AS ahead FROM sc JOIN ax USING (day)),
 kn(kernel, w, weights) AS (VALUES {_KV}), z AS (SELECT kernel, x.code, x.no, sum(y.score * weights[x.no - y.no + 1]) AS smooth, count(*) AS c, any_value(w) AS w FROM n x JOIN kn ON true JOIN n y ON y.code = x.code AND y.no BETWEEN x.no - w + 1 AND x.no GROUP BY kernel, x.code, x.no),
 r AS (SELECT kernel, code, no, row_number() OVER (PARTITION BY kernel, no ORDER BY round(smooth, 9) DESC, code) AS r FROM z WHERE c = w), t AS (SELECT kernel, r.no, avg(ahead) AS m FROM r JOIN n ON n.code = r.code AND n.no = r.no WHERE r <= 5 AND ahead IS NOT NULL GROUP BY kernel, r.no),
 e AS (SELECT t.*, t.m - raw.m AS delta, t.no <= floor(0.7 * (SELECT max(no) FROM ax)) AS train, t.no > floor(0.7 * (SELECT max(no) FROM ax)) + 1 AS test FROM t LEFT JOIN t raw ON raw.kernel = 'raw' AND raw.no = t.no)
@@ -198,7 +198,7 @@ def b25_all_kernels(spark, d):
     """48 kernels: means before and after a chronological split with a gap of one day, and the paired difference to raw."""
     scores = event_scores(spark, d)
     axis = scores.select("day").distinct().withColumn("day_no", F.row_number().over(Window.orderBy("day")))  # one row per day
-    ahead = scores.join(axis, "day").select("code", "day_no", (F.lead("score").over(Window.partitionBy("code").orderBy("day")) - F.col("score")).alias("ahead"))
+    ahead = scores.join(axis, "day").select("code", "day_no", (100 * F.log(F.lead("score").over(Window.partitionBy("code").orderBy("day")) / F.col("score"))).alias("ahead"))
     best = va.kernel_tops(scores, va.kernel_grid(), "code", "day", "score", 5).join(ahead.where("ahead is not null"), ["code", "day_no"])
     t = best.groupBy("kernel", "day_no").agg(F.avg("ahead").alias("m"))
     raw = F.max(F.when(F.col("kernel") == "raw", F.col("m"))).over(Window.partitionBy("day_no"))
