@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what fixed forms find: e-mail and IP addresses, card and phone numbers. The word before a seed is a lexical
-pattern of its kind. Patterns and instances (values) form a bipartite graph over all documents; a pattern's score is the
-share of trusted instances among everything that stands behind it, an instance's is the chance that one of its patterns
-is right, and the two are computed from each other for some rounds. Values of the right shape with a high score, which
-the fixed forms miss, are added.
+Seeds are what fixed forms find: e-mail and IP addresses, card and phone numbers. The words before and after a seed are
+lexical patterns of its kind. Patterns and instances (values) form a bipartite graph over all documents; a pattern's score
+is the share of trusted instances among everything that stands at it, an instance's is the chance that one of its patterns
+is right. Instances of the right shape with a high score become seeds themselves: the words around them are patterns in
+the next round, which find further instances that no first seed's words lead to. Rounds go on until none is added.
 
 Positions come from splitting a text at the matches: the lengths of pieces and matches up to a match, summed over the
 document's matches, are its place in code points. Every form begins only where a run begins or the last match ended and
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._tables import saved
+from barloom.llm._tables import drop, saved
 
 KINDS = ("email", "ip", "card", "phone")
 FORMS = {
@@ -38,9 +38,13 @@ SHAPES = {
     "card": r"^[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}[.,;]?$",
     "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{3,4}[-.][0-9]{3,5}[.,;]?$|^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}$",
 }
-ROUNDS = 3
+#: Most rounds of the bootstrap; it ends before where a round adds nothing.
+ROUNDS = 5
+#: Score from which an instance is believed.
 TRUST = 0.6
+#: Distinct trusted instances that a pattern needs, and the score below which it says nothing.
 LEAST_SEEDS = 2
+LEAST_PATTERN = 0.2
 
 
 def _last_word(text: Column) -> Column:
@@ -48,13 +52,19 @@ def _last_word(text: Column) -> Column:
     return F.lower(F.substring_index(F.rtrim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " ", -1))
 
 
+def _first_word(text: Column) -> Column:
+    """The first word of a text, in lower case; empty where it has none."""
+    return F.lower(F.substring_index(F.ltrim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " ", 1))
+
+
 def _pieces(text: Column, form: str, kind: str, may: Column) -> Column:
-    """Array of (kind, i, gap, value, tail): each match, the length of the piece before it and that piece's last word."""
+    """Array of (kind, i, gap, value, tail, head): each match, the length of the piece before it, that piece's last word and the next piece's first."""
     found = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    before = F.slice(F.split(text, form, -1), F.lit(1), F.size(found))
-    rows = F.zip_with(found, before, lambda m, p: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), m.alias("value"), _last_word(p).alias("tail")))
-    rows = F.transform(rows, lambda x, i: F.struct(x.kind.alias("kind"), i.alias("i"), x.gap.alias("gap"), x.value.alias("value"), x.tail.alias("tail")))
-    return F.when(may, rows).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,tail:string>>"))
+    pieces = F.split(text, form, -1)
+    around = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.slice(pieces, F.lit(2), F.size(found)), lambda a, b: F.struct(F.length(a).alias("gap"), _last_word(a).alias("tail"), _first_word(b).alias("head")))
+    rows = F.zip_with(found, around, lambda m, p: F.struct(m.alias("value"), p.gap.alias("gap"), p.tail.alias("tail"), p.head.alias("head")))
+    rows = F.transform(rows, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x.gap.alias("gap"), x.value.alias("value"), x.tail.alias("tail"), x.head.alias("head")))
+    return F.when(may, rows).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,value:string,tail:string,head:string>>"))
 
 
 def _digits(value: Column) -> Column:
@@ -95,36 +105,48 @@ def matches(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     near = F.coalesce(word, _last_word(F.lag("value").over(order)), F.lit(""))
     far = F.coalesce(F.last(word, ignorenulls=True).over(upto), F.lit(""))
     spans = flat.withColumns({"end": end, "near": near, "far": far}).withColumn("start", F.col("end") - size)
-    patterns = F.filter(F.array_distinct(F.array("near", "far")), lambda w: w != "")
+    side = lambda mark, c: F.when(F.col(c) != "", F.concat(F.lit(mark), F.col(c)))
+    patterns = F.array_distinct(F.array_compact(F.array(side("<", "near"), side("<", "far"), side(">", "head"))))
     return table.drop("found"), spans.select("row", "kind", "start", "end", "value", patterns.alias("patterns"))
 
 
-def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS, least_pattern: float = LEAST_PATTERN) -> DataFrame:
     """Spans (row, kind, start, end) of unseen identifiers; ``spans`` has base matches and candidates with ``ok``.
 
-    The graph has one edge per kind, pattern and value, so repeated sentences count once.
+    The graph has one edge per kind, pattern and value, so repeated sentences count once. Seeds keep a score of 1.
     """
     base = spans.where("ok")
     boxes = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("boxes"))  # one document's own matches
     loose = spans.where("kind = 'candidate'").join(boxes, "row", "left")
     loose = loose.where(~F.exists(F.coalesce("boxes", F.array().cast("array<struct<start:long,end:long>>")), lambda b: (b.start < F.col("end")) & (F.col("start") < b.end))).drop("boxes")
     loose = saved(loose.withColumn("pattern", F.explode("patterns")).drop("patterns"), "pii-loose")
-    seeds = base.select("kind", F.explode("patterns").alias("pattern"), "value").distinct()
-    anything = loose.select(F.lit(None).cast("string").alias("kind"), "pattern", "value").distinct()
-    behind = seeds.unionByName(anything).groupBy("pattern").agg(F.countDistinct("value").alias("behind"))
-    strong = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
     shaped = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
-    edges = loose.select("pattern", "value", F.explode(shaped).alias("kind")).distinct()
-    edges = saved(edges.join(strong, ["kind", "pattern"]).join(behind, "pattern"), "pii-edges")
-    scored = edges.select("kind", "pattern", "value", "seeds", "behind", F.lit(0.0).alias("instance"))
-    for _ in range(rounds):
-        pattern = scored.groupBy("kind", "pattern").agg(((F.first("seeds") + F.sum("instance")) / (F.first("behind") + 1)).alias("p"))
-        joined = edges.join(pattern, ["kind", "pattern"])
-        instance = joined.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999)))))).alias("instance"))
-        scored = saved(edges.join(instance, ["kind", "value"]).select("kind", "pattern", "value", "seeds", "behind", "instance"), "pii-scores")
-    good = scored.where(F.col("instance") >= trust).select("kind", "pattern", "value").distinct()
+    seeds = base.select("kind", F.explode("patterns").alias("pattern"), "value").distinct()
+    found = loose.select("pattern", "value", F.explode(shaped).alias("kind")).distinct()
+    edges = saved(seeds.withColumn("seed", F.lit(True)).unionByName(found.withColumn("seed", F.lit(False))), "pii-edges")
+    everything = seeds.select("pattern", "value").unionByName(loose.select("pattern", "value"))
+    behind = saved(everything.groupBy("pattern").agg(F.countDistinct("value").alias("behind")), "pii-behind")
+    known = edges.where("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+    trusted, before, kept = known, 0, []
+    for _ in range(max(rounds, 1)):
+        support = edges.join(trusted, ["kind", "value"]).groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")).where(F.col("n") >= least_seeds)
+        pattern = support.join(behind, "pattern").select("kind", "pattern", (F.col("s") / (F.col("behind") + 1)).alias("p")).where(F.col("p") >= least_pattern)
+        pattern = saved(pattern, "pii-patterns")
+        chance = 1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999)))))
+        instance = edges.where("not seed").join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg(chance.alias("score")).where(F.col("score") >= trust)
+        instance = saved(instance, "pii-instances")
+        kept += [pattern, instance]
+        now = instance.count()
+        trusted = known.unionByName(instance.join(known, ["kind", "value"], "left_anti"))
+        if now == before:
+            break
+        before = now
     trim = F.length("value") - F.length(F.regexp_replace("value", "[.,;]+$", ""))
-    return loose.drop("kind").join(good, ["pattern", "value"]).select("row", "kind", "start", (F.col("end") - trim).alias("end")).distinct()
+    spots = loose.drop("kind").join(instance.select("kind", "value"), "value").join(pattern.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
+    out = saved(spots.select("row", "kind", "start", (F.col("end") - trim).alias("end")).distinct(), "pii-found")
+    for t in (loose, edges, behind, *kept):
+        drop(t)
+    return out
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

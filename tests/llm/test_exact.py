@@ -177,6 +177,18 @@ def test_pii_unseen_identifiers(spark):
     assert {k: got[k] for k in unseen} == unseen and got[205] == []
 
 
+def test_pii_bootstrap(spark):
+    """Found numbers become seeds: their other words are patterns that lead to numbers no first seed's words lead to."""
+    rows = [(i, f"tel +44 20 7946 {1000 + i} please") for i in range(30)]
+    rows += [(100 + i, f"tel 555-123-{2000 + i} please") for i in range(6)]
+    rows += [(200 + i, f"fon 555-123-{2000 + i} now") for i in range(6)]  # the same numbers behind another word
+    rows += [(300, "fon 555-777-8888 now"), (301, "shelf 555-777-9999 is full"), (302, "fon"), (303, None), (304, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal_data(table).collect()}
+    assert all(got[100 + i] == [("phone", 4, 16)] and got[200 + i] == [("phone", 4, 16)] for i in range(6))
+    assert got[300] == [("phone", 4, 16)] and got[301] == got[302] == got[303] == got[304] == []
+
+
 def test_redaction(edge):
     out = pii.redact(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
