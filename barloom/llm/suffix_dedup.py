@@ -6,7 +6,7 @@ stretches of windows behind an anchor that occurs twice can repeat, and all thei
 
 Stretches are dealt by anchor. In each task a suffix array over the windows of its distinct stretches is built by
 prefix doubling; previous and next smaller positions in suffix order give each window's longest earlier match, and a
-match of ``length`` bytes marks the later window and the earlier one it was matched with.
+match of ``length`` bytes marks the later window and, unless first copies are kept, the earlier one it was matched with.
 
 Anchors with very many distinct stretches are not gathered in a task. Their windows become rows of two 64-bit hashes,
 those that occur in two places are found by a partially aggregated minimum and maximum, and joined back.
@@ -61,10 +61,11 @@ def anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def ranks(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, rank) of every window of ``length`` bytes inside the stretches [begin, end) of ``raw``, by prefix doubling.
+def ranks(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Places of the windows of ``length`` bytes inside the stretches [begin, end) of ``raw``, and ranks by prefix doubling.
 
-    Equal windows have equal ranks and ranks are in byte order. ``length`` is at least 8.
+    The ranks are per doubling step (size, rank of the ``size`` bytes at each place), ``length`` last: equal strings have
+    equal ranks and ranks are in byte order. ``length`` is at least 8.
     """
 
     def places(size: int) -> np.ndarray:
@@ -76,45 +77,91 @@ def ranks(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> t
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
     at = places(8)
     value = np.ascontiguousarray(eight[at]).view(">u8").ravel().astype(np.uint64)
-    size = 8
-    rank = np.zeros(len(raw), np.int64)
+    size, steps = 8, []
     while True:
+        rank = np.zeros(len(raw), np.int32)
         rank[at] = np.unique(value, return_inverse=True)[1]
+        steps.append((size, rank))
         if size == length:
-            return at, rank[at]
+            return at, steps
         more = min(size, length - size)  # the last step overlaps
         size += more
         at = places(size)
         value = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[at + more].astype(np.uint64)
 
 
-def longest_previous(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each window the place of an earlier equal one, or -1.
+def smaller_neighbours(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest one before and after it with a smaller value: -1 and len(place) where there is none.
 
-    Windows sorted by rank and place are the suffix array cut at the window's length. Inside a run of equal windows the
-    previous smaller place in suffix order is the neighbour above and the next smaller one lies in another run, so the
-    longest-previous-factor entry reaches the full length exactly where that neighbour is in the same run.
+    Every entry begins at its neighbour and takes that one's pointer until it meets a smaller value; what lies between
+    is larger at any time, and pointers double their reach.
     """
-    order = np.lexsort((place, rank))
-    same = rank[order][1:] == rank[order][:-1]
-    out = np.full(len(place), -1)
-    out[order[1:][same]] = place[order[:-1][same]]
-    return out
-
-
-def marked_windows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """Places of windows with an earlier or a later equal one: those with a previous factor, and the matched ones."""
-    place, rank = ranks(raw, begin, end, length)
-    source = longest_previous(place, rank)
-    hit = source >= 0
-    return np.union1d(place[hit], source[hit])
+    n = len(place)
+    out = []
+    for step, none in ((-1, -1), (1, n)):
+        to = np.arange(n) + step
+        open_ = np.arange(n)
+        while len(open_):
+            inside = (to[open_] >= 0) & (to[open_] < n)
+            open_ = open_[inside]
+            open_ = open_[place[to[open_]] > place[open_]]
+            to[open_] = to[to[open_]]
+        out.append(np.where((to >= 0) & (to < n), to, none))
+    return out[0], out[1]
+
+
+def common_prefix(raw: np.ndarray, steps: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the windows at places a and b share from their beginning, the windows' length at most."""
+    length, whole = steps[-1]
+    equal = whole[a] == whole[b]
+    shared = np.zeros(len(a), np.int64)
+    for size, rank in reversed(steps[:-1]):
+        fits = shared + size <= length
+        x, y = np.where(fits, a + shared, a), np.where(fits, b + shared, b)
+        shared += np.where(fits & (rank[x] == rank[y]), size, 0)
+    same = np.ones(len(a), bool)
+    for _ in range(7):
+        same &= shared < length
+        x, y = np.where(same, a + shared, a), np.where(same, b + shared, b)
+        same &= raw[x] == raw[y]
+        shared += same
+    return np.where(equal, length, shared)
+
+
+def longest_previous(raw: np.ndarray, place: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Longest-previous-factor array: for each window the length of its longest match at an earlier place, and that place or -1.
+
+    Windows in suffix order (by rank, ties by place) have their longest earlier match at the previous or the next smaller
+    place in that order. Lengths end at the window's own.
+    """
+    order = np.lexsort((place, steps[-1][1][place]))
+    at = place[order]
+    factor, source = np.zeros(len(place), np.int64), np.full(len(place), -1)
+    for near in smaller_neighbours(at):
+        there = np.flatnonzero((near >= 0) & (near < len(at)))
+        shared = common_prefix(raw, steps, at[there], at[near[there]])
+        better = shared > factor[order[there]]
+        factor[order[there[better]]] = shared[better]
+        source[order[there[better]]] = at[near[there[better]]]
+    return factor, source
+
+
+def marked_windows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, keep_first: bool = False) -> np.ndarray:
+    """Places of windows whose previous factor is the whole window; unless the first is kept, also of those they were matched with."""
+    place, steps = ranks(raw, begin, end, length)
+    factor, source = longest_previous(raw, place, steps)
+    hit = factor == length
+    return place[hit] if keep_first else np.union1d(place[hit], source[hit])
 
 
 #: Distinct stretches behind one anchor above which its windows are aggregated by their hashes and not gathered in a task.
 HOT_STRETCHES = 20_000
-#: Rows of a text-free join side up to which it is sent to every task; beyond it the texts are shuffled to it.
-BROADCAST_ROWS = 1_000_000
-CHUNK = 4 << 20
+#: Bytes of a text-free join side up to which it is sent to every task; beyond it the texts it concerns are shuffled to it.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_IDS = 1_000_000
+#: Texts that a task remembers, to leave out copies it has met.
+REMEMBERED = 100_000
+CHUNK = 2 << 20
 
 
 def _text_table(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -138,9 +185,8 @@ def anchor_table(texts: DataFrame, length: int) -> DataFrame:
                 data = value.as_py().encode()
                 sizes.append(len(data))
                 shas.append(hashlib.sha256(data).hexdigest())
-                none.append(node in seen)
+                none.append(_met(seen, node))
                 if not none[-1]:
-                    seen.add(node)
                     raw = np.frombuffer(data, np.uint8)
                     h, first, last = anchors(raw, length)
                     parts.append((h, _stretch_hashes(raw, first, last + length), first, last))
@@ -162,22 +208,39 @@ def _stretch_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _with_lists(texts: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """(t, node, column) of the texts that ``lists`` (node, column: an array of structs of numbers) has; the side to send is measured."""
+    nodes, items, width = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0)), F.lit(len(lists.schema[column].dataType.elementType.fields))).first()
+    texts = texts.select("t", "node")
+    if 40 * nodes + (16 + 8 * width) * items <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(lists), "node").select("t", "node", column)
+    if nodes <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(lists.select("node")), "node", "left_semi")
+    return texts.join(lists, "node").select("t", "node", column)
+
+
+def _met(seen: set, node: int) -> bool:
+    """Whether the task has met the text shortly before."""
+    if node in seen:
+        return True
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add(node)
+    return False
 
 
-def _cut(texts: DataFrame, wanted: DataFrame, rows: int, length: int) -> DataFrame:
+def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Wanted stretches: (h, sh, at, stretch) with their bytes, or for hot anchors (h, sh, at, w1, w2), two hashes of each window."""
-    lists = wanted.groupBy("node").agg(F.collect_list(F.struct("h", "sh", "l", "r", "hot")).alias("w"))  # one document's own
+    lists = wanted.groupBy("node").agg(F.collect_list(F.struct("h", "sh", "l", "r", "hot", "o")).alias("w"))  # one document's own
+    lists = saved(lists, "cut-lists")
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             rows = []
             for value, node, w in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if node in seen:
+                if _met(seen, node):
                     continue
-                seen.add(node)
                 data = value.as_py().encode()
                 for x in w.as_py():
                     if x["hot"]:
@@ -186,36 +249,38 @@ def _cut(texts: DataFrame, wanted: DataFrame, rows: int, length: int) -> DataFra
                         keys = _stretch_hashes(raw, start - x["l"], start - x["l"] + length).view(np.int64).tolist()
                         for a, k in enumerate(keys):
                             second = hashlib.blake2b(raw[a : a + length].tobytes(), digest_size=8).digest()
-                            rows.append((x["h"], x["sh"], a, None, k, int.from_bytes(second, "little", signed=True)))
+                            rows.append((x["h"], x["sh"], a, None, k, int.from_bytes(second, "little", signed=True), x["o"], x["l"]))
                     else:
-                        rows.append((x["h"], x["sh"], 0, data[x["l"] : x["r"] + length], None, None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sh", "at", "stretch", "w1", "w2"])
+                        rows.append((x["h"], x["sh"], 0, data[x["l"] : x["r"] + length], None, None, x["o"], x["l"]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sh", "at", "stretch", "w1", "w2", "o", "l"])
 
-    joined = texts.select("t", "node").join(_sized(lists, rows), "node").select("t", "node", "w")
-    return joined.mapInArrow(run, "h long, sh long, at int, stretch binary, w1 long, w2 long")
+    joined = _with_lists(texts, lists, "w")
+    return joined.mapInArrow(run, "h long, sh long, at int, stretch binary, w1 long, w2 long, o long, l int")
 
 
-def _mark_hot(windows: DataFrame) -> DataFrame:
-    """(h, sh, a, b): each window of a hot anchor's stretches that equals another one; no task gathers a window's members."""
-    windows = windows.withColumn("p", F.xxhash64("h", "sh", "at"))
-    shared = windows.groupBy("w1", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w1", "w2")
-    return windows.join(shared, ["w1", "w2"]).select("h", "sh", F.col("at").alias("a"), F.col("at").alias("b"))
+def _mark_hot(windows: DataFrame, keep_first: bool) -> DataFrame:
+    """(h, sh, a, b): each window of a hot anchor's stretches that equals another (earlier) one; no task gathers a window's members."""
+    p = F.struct("o", (F.col("l") + F.col("at")).alias("place")) if keep_first else F.xxhash64("h", "sh", "at")
+    windows = windows.withColumn("p", p)
+    shared = saved(windows.groupBy("w1", "w2").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("w1", "w2", "p0"), "hot-windows")
+    met = windows.join(shared, ["w1", "w2"])
+    return (met.where("p <> p0") if keep_first else met).select("h", "sh", F.col("at").alias("a"), F.col("at").alias("b"))
 
 
-def _mark(stretches: DataFrame, length: int) -> DataFrame:
-    """(h, sh, a, b): runs of windows, counted from the stretch's first, that equal another stretch's window."""
+def _mark(stretches: DataFrame, length: int, keep_first: bool = False) -> DataFrame:
+    """(h, sh, a, b): runs of windows, counted from the stretch's first, that equal another (earlier) stretch's window."""
 
     def flush(rows):
         found, distinct = [], {}
         for r in rows:  # the same stretch may come from several tasks
             distinct[r[0], r[1]] = r
-        rows = list(distinct.values())
+        rows = sorted(distinct.values(), key=lambda r: (r[4], r[5]))
         sizes = np.array([len(r[3]) for r in rows], np.int64)
         end = np.cumsum(sizes)
         begin = end - sizes
-        at = marked_windows(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), begin, end, length)
+        at = marked_windows(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), begin, end, length, keep_first)
         if len(at):
             own = np.searchsorted(begin, at, "right") - 1
             first = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(own) > 0)]))
@@ -241,7 +306,7 @@ def _mark(stretches: DataFrame, length: int) -> DataFrame:
     return stretches.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, sh long, a int, b int")
 
 
-def _kept(texts: DataFrame, spans: DataFrame, rows: int, with_text: bool) -> DataFrame:
+def _kept(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
     """node, n_removed, n_spans, kept_sha256 (and kept bytes): each text without the union of its spans."""
     names = ["node", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
 
@@ -250,9 +315,8 @@ def _kept(texts: DataFrame, spans: DataFrame, rows: int, with_text: bool) -> Dat
         for batch in batches:
             rows = []
             for value, node, s in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if node in seen:
+                if _met(seen, node):
                     continue
-                seen.add(node)
                 data, parts, done, gone, runs = value.as_py().encode(), [], 0, 0, 0
                 reach = -1
                 for x in sorted((x["a"], x["b"]) for x in s.as_py()):
@@ -272,46 +336,61 @@ def _kept(texts: DataFrame, spans: DataFrame, rows: int, with_text: bool) -> Dat
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    joined = texts.select("t", "node").join(_sized(spans, rows), "node").select("t", "node", "s")
+    joined = _with_lists(texts, spans, "s")
     return joined.mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id", with_text: bool = False, keep_first: bool = False) -> DataFrame:
     """Per row of ``docs``: what remains when every byte covered by a repeated ``length``-byte string is removed.
 
-    A string is repeated if it also starts anywhere else, in the same document or another. Returns the key, n_bytes,
+    A string is repeated if it also starts anywhere else, in the same document or another; with ``keep_first`` only if it
+    starts earlier, in the order in which the rows are read, so that one copy of everything stays. Returns the key, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 and, on request, kept (bytes; null where nothing was
     removed). Null and empty texts have 0 bytes and keep nothing; texts below ``length`` bytes are kept; repeated rows
-    of at least ``length`` bytes are copies of each other and are removed.
+    of at least ``length`` bytes are copies of each other and are removed (with ``keep_first`` all but one). Extra columns
+    are not read; an empty table gives no rows. Texts are told apart by 64-bit hashes and their lengths.
     """
     if length < max(GRAM, 8):
         raise ValueError(f"length below {GRAM}")
     texts = _text_table(docs, text, key)
-    table = saved(anchor_table(texts, length), "anchors")
-    copies = table.groupBy("node", "n_bytes").agg(F.count(F.lit(1)).alias("copies"))
-    copied = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("node", F.lit(True).alias("copied"))
-    places = table.select("node", F.inline("stretches")).withColumn("p", F.xxhash64("node", "l"))
-    twice = places.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("h")
+    table = saved(anchor_table(texts, length).withColumn("row", F.monotonically_increasing_id()), "anchors")
+    copies = table.groupBy("node", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first_row"))
+    copied = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("node", "first_row", F.lit(True).alias("copied"))
+    places = table.select("node", F.col("row").alias("o"), F.inline("stretches")).withColumn("p", F.xxhash64("node", "l"))
+    if keep_first:  # tasks that met the same text have its stretches twice: the first row's stay
+        places = places.join(table.groupBy("node").agg(F.min("row").alias("o")), ["node", "o"], "left_semi")
+    # written before it is joined: two plain exchanges, whose hot keys Spark can split
+    twice = saved(places.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("h"), "repeated-anchors")
     repeated = saved(places.join(twice, "h"), "repeated")
-    kinds = repeated.groupBy("h", "sh").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.first("node").alias("node"), F.first("l").alias("l"), F.first("r").alias("r"))
-    kinds = saved(kinds.select("h", "sh", "node", "l", "r", (F.col("p0") != F.col("p1")).alias("whole")), "stretch-kinds")
+    which = F.struct("o", "l", "node", "r") if keep_first else F.struct("p", "o", "l", "node", "r")
+    kinds = repeated.groupBy("h", "sh").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min(which).alias("w"))
+    kinds = saved(kinds.select("h", "sh", "w.node", "w.l", "w.r", "w.o", (F.col("p0") != F.col("p1")).alias("whole")), "stretch-kinds")
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT_STRETCHES).alias("hot"))
     wanted = saved(kinds.join(mixed, "h"), "wanted")
-    cut = saved(_cut(texts, wanted, wanted.count(), length), "stretches")
-    marks = _mark(cut.where("w1 IS NULL").select("h", "sh", "at", "stretch"), length)
-    marks = marks.unionByName(_mark_hot(cut.where("w1 IS NOT NULL").select("h", "sh", "at", "w1", "w2")))
-    part = kinds.where("not whole").select("h", "sh").join(marks, ["h", "sh"]).groupBy("h", "sh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    full = kinds.where("whole").select("h", "sh", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    spans = repeated.select("h", "sh", "node", "l", "r").join(full.unionByName(part), ["h", "sh"])
-    runs = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("a"), (F.col("r") - F.col("l")).alias("b"))))
+    cut = saved(_cut(texts, wanted, length), "stretches")
+    marks = _mark(cut.where("w1 IS NULL").select("h", "sh", "at", "stretch", "o", "l"), length, keep_first)
+    marks = marks.unionByName(_mark_hot(cut.where("w1 IS NOT NULL").select("h", "sh", "at", "w1", "w2", "o", "l"), keep_first))
+    asked = kinds if keep_first else kinds.where("not whole")
+    part = asked.select("h", "sh").join(marks, ["h", "sh"]).groupBy("h", "sh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    all_of = F.array(F.struct(F.lit(0).alias("a"), (F.col("r") - F.col("l")).alias("b")))
+    if keep_first:  # of stretches that occur twice as a whole, the first keeps what has no earlier copy elsewhere
+        first = kinds.select("h", "sh", F.struct("node", "l").alias("first")).join(part, ["h", "sh"], "left")
+        spans = repeated.join(saved(first, "marked-stretches"), ["h", "sh"])
+        own = F.struct("node", "l") == F.col("first")
+        runs = F.when(~own, all_of).otherwise(F.coalesce("runs", F.array().cast("array<struct<a:int,b:int>>")))
+    else:
+        full = kinds.where("whole").select("h", "sh", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
+        marked = saved(full.unionByName(part), "marked-stretches")
+        spans = repeated.select("h", "sh", "node", "l", "r").join(marked, ["h", "sh"])
+        runs = F.coalesce("runs", all_of)
     spans = spans.select("node", F.transform(runs, lambda x: F.struct((F.col("l") + x.a).cast("long").alias("a"), (F.col("l") + x.b + length).cast("long").alias("b"))).alias("s"))
     spans = spans.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))  # one document's own
-    spans = saved(spans.join(copied, "node", "left_anti"), "spans")
-    kept = _kept(texts, spans, spans.count(), with_text)
+    spans = saved((spans if keep_first else spans.join(copied, "node", "left_anti")).where(F.size("s") > 0), "spans")
+    kept = _kept(texts, spans, with_text)
     kept = kept.dropDuplicates(["node"])
-    out = table.select("k", "node", "n_bytes", "sha").join(copied, "node", "left").join(kept, "node", "left")
+    out = table.select("k", "row", "node", "n_bytes", "sha").join(copied, "node", "left").join(kept, "node", "left")
     nothing = hashlib.sha256(b"").hexdigest()
-    gone = F.col("copied").isNotNull()
+    gone = F.col("copied").isNotNull() & (F.col("row") != F.col("first_row") if keep_first else F.lit(True))
     columns = [
         F.col("k").alias(key),
         "n_bytes",

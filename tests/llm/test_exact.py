@@ -97,14 +97,40 @@ def test_suffix_dedup(request, name):
     assert got == repeats_model(pairs(table))
 
 
+def first_model(rows, length=200):
+    """What stays if a string that starts earlier anywhere goes."""
+    seen, out = set(), []
+    for k, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            if b[j : j + length] in seen:
+                gone[j : j + length] = b"\1" * length
+            seen.add(b[j : j + length])
+        out.append((k, sum(gone), hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()))
+    return by_row(out)
+
+
+@pytest.mark.parametrize("hot", [10, 20_000])
+def test_suffix_dedup_keeps_first(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+    own = lambda i: hashlib.sha256(str(i).encode()).hexdigest() * 4
+    passage = " ".join(f"clause{i}" for i in range(60))
+    rows = [(0, own(0)), (1, passage + own(1)), (2, own(2) + passage), (3, passage + own(1)), (4, None), (5, "x" * 700), (6, own(6) + own(0) + own(6) + own(0)), (7, passage[50:400] + own(7))]
+    rows += [(20 + i, own(30 + i) + passage + own(-i - 40)) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = by_row((r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(table, keep_first=True).collect())
+    assert got == first_model(rows)
+
+
 def test_suffix_dedup_shared_passage(spark, monkeypatch):
     """A passage that many documents share, each with its own surroundings, is not gathered in one task."""
     monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", 10)
     mark, largest = suffix_dedup._mark, []
 
-    def watched(stretches, length):
+    def watched(stretches, length, keep_first):
         largest.append(max((r["count"] for r in stretches.groupBy(stretches.columns[0]).count().collect()), default=0))
-        return mark(stretches, length)
+        return mark(stretches, length, keep_first)
 
     monkeypatch.setattr(suffix_dedup, "_mark", watched)
     passage = " ".join(f"clause{i}" for i in range(35))
@@ -120,13 +146,15 @@ def test_suffix_dedup_shared_passage(spark, monkeypatch):
 def test_longest_previous():
     import numpy as np
 
-    raw = np.frombuffer(b"abcdefghij" * 5, np.uint8)
-    place, rank = suffix_dedup.ranks(raw, np.array([0]), np.array([len(raw)]), 12)
-    source = suffix_dedup.longest_previous(place, rank)
-    for p, s in zip(place, source, strict=True):
-        text = raw.tobytes()
-        earlier = [q for q in range(p) if text[q : q + 12] == text[p : p + 12]]
-        assert s == (max(earlier) if earlier else -1)
+    rng = np.random.default_rng(3)
+    for text in (b"abcdefghij" * 5, bytes(rng.integers(97, 99, 300, dtype=np.uint8)), b"x" * 60, bytes(rng.integers(97, 123, 200, dtype=np.uint8)) * 2):
+        raw, n = np.frombuffer(text, np.uint8), 20
+        place, steps = suffix_dedup.ranks(raw, np.array([0]), np.array([len(raw)]), n)
+        factor, source = suffix_dedup.longest_previous(raw, place, steps)
+        shared = lambda p, q, text=text, n=n: next((i for i in range(n) if text[p + i] != text[q + i]), n)
+        for p, f, s in zip(place.tolist(), factor.tolist(), source.tolist(), strict=True):
+            assert f == max((shared(p, q) for q in range(p)), default=0)
+            assert (s == -1) == (f == 0) and (s == -1 or (s < p and shared(p, s) == f))
 
 
 def luhn(d):
