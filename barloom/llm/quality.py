@@ -118,12 +118,16 @@ def votes(rule_list: list[Rule]) -> Column:
     return F.array(*[F.when(F.coalesce(r.bad, F.lit(False)), -1).when(F.coalesce(r.good, F.lit(False)), 1).otherwise(0) for r in rule_list])
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, trust: np.ndarray, prior_good: float = 0.85, rounds: int = 50, weight: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+#: Documents that the starting accuracies of the rules are worth.
+PRIOR_DOCUMENTS = 30.0
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, trust: np.ndarray, prior_good: float = 0.85, rounds: int = 200, weight: float = PRIOR_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of good for each vote pattern, and P(vote | class) as [class, rule, vote + 1].
 
     Two latent classes, votes independent given the class; a rule that abstains on a document says nothing about it.
-    Starting accuracies act as pseudo-documents worth ``weight``
-    of all documents, half of them in each class, which keeps the classes from swapping or drifting to another split.
+    Starting accuracies count as ``weight`` documents, half of them in each class, however many real ones there are: they
+    say which class is which, and the estimates come from the documents.
     """
     total, m = counts.sum(), patterns.shape[1]
     seen = np.stack([(counts[:, None] * (patterns == v)).sum(0) for v in (-1, 0, 1)], 1) / max(total, 1)
@@ -144,7 +148,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, trust: np.ndarray, prior_
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
         moved, post = np.abs(new - post).max(initial=0), new
         for k, p in ((0, 1 - post), (1, post)):
-            got = (hot * (counts * p)[:, None, None]).sum(0) + start[k] * weight * max(total, 1) / 2
+            got = (hot * (counts * p)[:, None, None]).sum(0) + start[k] * weight / 2
             like[k] = got / got.sum(1, keepdims=True)
         good = float(np.clip((counts * post).sum() / max(total, 1), 0.02, 0.98))
         if moved < 1e-9:
