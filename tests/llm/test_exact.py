@@ -359,6 +359,52 @@ def test_best_fit_decreasing():
     assert sharding.best_fit_decreasing([5, 4, 3, 3, 2, 2, 1], 10) == [0, 0, 1, 1, 1, 1, 0]
 
 
+def test_capacities():
+    """The tree gives the tightest bin, whatever the order in which bins come and go."""
+    import random
+
+    rng, tree, plain = random.Random(5), sharding.Capacities(), []
+    for i in range(400):
+        room = rng.randrange(100)
+        tree.add(room, i)
+        plain.append((room, i))
+        size = rng.randrange(60)
+        fits = sorted(x for x in plain if x[0] >= size)
+        assert tree.tightest(size) == (fits[0][1] if fits else None)
+        if fits:
+            plain.remove(fits[0])
+            plain.append((fits[0][0] - size, fits[0][1]))
+
+
+def test_shard_balance(more_docs):
+    """Shards differ by less than a hundredth, and no group is divided."""
+    rows = sharding.shard_groups(more_docs, 40, keep=("doc_id", "text")).collect()
+    total, where = defaultdict(int), defaultdict(set)
+    for r in rows:
+        total[r.shard] += r.size
+        where[r.text or ""].add(r.shard)
+    assert len(total) == 40 and max(total.values()) <= 1.01 * min(total.values()) and all(len(w) == 1 for w in where.values())
+
+
+def test_quality_estimates(more_docs, middle, spark):
+    """Accuracies of simulated rules are recovered, and verdicts agree with the labels of texts that pass the base rules."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    good = rng.random(40_000) < 0.8
+    caught = np.array([0.6, 0.5, 0.3, 0.4])
+    votes = np.where(good[:, None], np.where(rng.random((40_000, 4)) < 0.02, -1, 1), np.where(rng.random((40_000, 4)) < caught, -1, 1))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post, like = quality.estimate(patterns, counts.astype(float), np.full(4, 0.9))
+    assert np.abs(like[0][:, 0] - caught).max() < 0.05 and np.abs(like[1][:, 0] - 0.02).max() < 0.02
+    assert abs((counts * post).sum() / counts.sum() - 0.8) < 0.03
+    out = quality.score_quality(quality.quality_counts(more_docs)).where((F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words")))
+    labels = spark.read.parquet(f"{middle}/labels.parquet").select("doc_id", F.col("quality").alias("y")).where("y is not null")
+    rows = out.join(labels, "doc_id").select("quality", "y").collect()
+    assert sum((r.quality >= 0.5) == (r.y == 1) for r in rows) >= 0.98 * len(rows) > 0
+
+
 def test_mixing(table):
     rows = mixing.mix_sources(table, keep=("doc_id", "text", "source")).collect()
     assert len(rows) == table.count()
