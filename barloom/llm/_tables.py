@@ -38,3 +38,15 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(free)
+    return tuple(out)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm._tables import drop, saved
+from barloom.llm._tables import drop, free_names, saved
 
 KINDS = ("email", "ip", "card", "phone")
 FORMS = {
@@ -178,19 +178,20 @@ def redact(docs: DataFrame, text: str = "text", most_broadcast: int = 100_000) -
     Spans depend on the text alone, so they are joined by the text's digest. Overlapping spans become one, named after
     the first of them.
     """
+    digest, spans = free_names(docs, "digest", "spans")
     found = find_personal_data(docs, text, ())
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.no.alias("no"), s.end.alias("end"), s.kind.alias("kind"))))
     one = F.aggregate(ordered, F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>"), lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1).end > s.start), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, -1).start.alias("start"), F.greatest(F.element_at(a, -1).end, s.end).alias("end"), F.element_at(a, -1).kind.alias("kind"))))).otherwise(F.concat(a, F.array(F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))))
-    found = saved(found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("spans")).select(F.col("digest").alias("pii_digest"), one.alias("pii_spans")), "pii-redactions")
+    found = saved(found.where(F.size("spans") > 0).groupBy("digest").agg(F.first("spans").alias("spans")).select(F.col("digest").alias(digest), one.alias(spans)), "pii-redactions")
     if found.limit(most_broadcast + 1).count() <= most_broadcast:
         found = F.broadcast(found)
-    joined = docs.join(found, F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("pii_digest"), "left")
+    joined = docs.join(found, F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col(digest), "left")
     t = docs[text]
-    upto = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at("pii_spans", i).end)
-    parts = F.transform("pii_spans", lambda s, i: F.concat(F.substring(t, (upto(i) + 1).cast("int"), (s.start - upto(i)).cast("int")), F.lit("["), F.upper(s.kind), F.lit("]")))
-    last = F.element_at("pii_spans", -1).end
+    upto = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(spans, i).end)
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(t, (upto(i) + 1).cast("int"), (s.start - upto(i)).cast("int")), F.lit("["), F.upper(s.kind), F.lit("]")))
+    last = F.element_at(spans, -1).end
     clean = F.concat(F.array_join(parts, ""), F.substring(t, (last + 1).cast("int"), F.length(t)))
-    return joined.select(*[F.when(F.col("pii_spans").isNull(), t).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col(spans).isNull(), t).otherwise(clean).alias(c) if c == text else docs[c] for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.llm import media_gif, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
+from barloom.llm import media_gif, mixing, ngram_join, packing, pii, pipeline, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_mixing_sources": mixing.op1_mixing_sources,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_gif_media": media_gif.op3_gif_media,

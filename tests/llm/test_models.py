@@ -70,7 +70,7 @@ def test_oracles(spark, small, name):
 
 
 def test_pipeline(spark, small):
-    import corpus_pipeline
+    from barloom.llm import pipeline as corpus_pipeline
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = docs
@@ -84,7 +84,7 @@ def test_pipeline(spark, small):
 
 
 def test_pipeline_keeps_one_of_each_group(spark, small):
-    import corpus_pipeline
+    from barloom.llm import pipeline as corpus_pipeline
     from barloom.llm.ngram_join import near_duplicates
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -92,3 +92,23 @@ def test_pipeline_keeps_one_of_each_group(spark, small):
     component = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
     got = [component[r.doc_id] for r in kept.collect()]
     assert sorted(got) == sorted(set(component.values()))
+
+
+@pytest.mark.parametrize("name", ["edge", "empty"])
+def test_stages_on_hostile_tables(request, spark, small, name):
+    """Every stage on nulls, empty and long texts, repeated rows and clashing names, and on an empty table."""
+    from barloom.llm import pipeline
+
+    table = request.getfixturevalue(name)
+    clash = ["_score", "_key", "_other", "_again", "score", "key", "other", "again", "digest", "spans", "pii_spans", "pii_digest", "component_id", "source_size_"]
+    docs = table.withColumns({c: F.lit("x") for c in clash if c not in table.columns})
+    for stage, f in pipeline.STAGES[:-1]:
+        out = f(spark, docs, small)
+        assert out.columns == docs.columns, stage
+        rows = out.collect()
+        assert all(r[c] == "x" for r in rows for c in clash if c not in table.columns), stage
+        if name == "edge" and stage in ("pii", "near_duplicates"):
+            ids = {r.doc_id for r in rows}
+            assert {1, 2, 3, 9, None} <= ids and (stage == "pii" or 7 not in ids)
+    packed = pipeline.STAGES[-1][1](spark, docs, small)
+    assert packed.isEmpty() == (name == "empty")
