@@ -1,71 +1,5 @@
-"""A corpus from raw documents to packed sequences: toxic and near-duplicate documents go, personal data is masked,
-sources are mixed to weights and what remains is packed. Each stage's result is written and read back by the next."""
+"""The corpus pipeline; it is written in barloom.llm.pipeline."""
 
-from __future__ import annotations
+from barloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from barloom.llm._tables import saved
-from barloom.llm.mixing import mixed_documents
-from barloom.llm.ngram_join import few, near_duplicates
-from barloom.llm.packing import pack_documents, tokenizer_path
-from barloom.llm.pii import redact
-from barloom.llm.toxicity import score_toxicity, train
-
-#: Documents with at least this score go.
-TOXIC = 0.4
-
-#: The packing rule and the fitted classifier can't be written in SQL.
-ORACLE_SQL = None
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; the classifier learns from the table of labels."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, out="_score").where(F.col("_score") < TOXIC).drop("_score")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component; of rows equal in id and text, one."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
-    named = docs.withColumn("_key", key)
-    found = saved(near_duplicates(named, key="_key"), "components")
-    others = found.where(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_other"))
-    again = found.groupBy("_key").count().where("count > 1").select(F.col("_key").alias("_again"))
-    first = named.join(few(others), F.col("_key") == F.col("_other"), "left_anti")
-    again = few(again)
-    single = first.join(again, F.col("_key") == F.col("_again"), "left_anti")
-    repeated = first.join(again, F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
-    return single.unionByName(repeated).drop("_key")
-
-
-def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
-    return redact(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences and their places; see barloom.llm.packing."""
-    return pack_documents(docs, tokenizer_path())
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("pii", mask_personal_data),
-    ("mixing", mix),
-    ("packing", pack),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
