@@ -1,8 +1,9 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Nodes of the tree are contexts of up to two preceding words. As in the classic construction a context must have at
-least the share ``P_MIN`` of all tokens, so there are at most 1/P_MIN of each length however large the corpus is; it is
-kept if its next-symbol distribution diverges from its parent's by more than the counts explain. Next symbols are
+Nodes of the tree are contexts of preceding words, one pass for each length for as long as longer ones are frequent. As in
+the classic construction a context must have at least the share ``P_MIN`` of all tokens, so there are at most 1/P_MIN of
+each length however large the corpus is; it is kept if its next-symbol distribution diverges from its parent's by more
+than the counts explain. Next symbols are
 smoothed into the parent's distribution, down to the root, which knows every training token. A text is scored from the
 longest suffix state of each token.
 
@@ -27,6 +28,8 @@ HEAD = 1e-6
 P_MIN = 1e-4
 #: Pseudo-count of the parent's distribution in a context.
 STRENGTH = 5.0
+#: Words of the longest context that is looked for.
+MOST_WORDS = 8
 END = np.uint64(0x1D8E4E27C47D124F)
 SEVERAL = 3_000_000
 
@@ -83,9 +86,9 @@ def count_words(train: DataFrame) -> DataFrame:
 class Tree:
     """Model arrays, bounded by HEAD and P_MIN: see the module's text.
 
-    ``head`` sorted hashes of the head words, ``count`` theirs, ``letter`` the number of a frequent word or -1;
-    ``state1`` state of a frequent word or -1; ``pairs`` sorted keys of kept two-word contexts and ``pair_state`` theirs;
-    ``entry`` sorted keys state * letters + next letter, ``entry_n`` their counts; per state its parent (-1: root), the
+    ``head`` sorted hashes of the head words, ``count`` theirs, ``letter`` the number of a frequent word or -1; ``levels``
+    per context length the sorted keys of frequent contexts and their states or -1: a key is the number of the context
+    without its last word, times letters, plus that word's letter; ``entry`` sorted keys state * letters + next letter, ``entry_n`` their counts; per state its parent (-1: root), the
     sum of its explicit counts and the weight of the parent's distribution.
     """
 
@@ -95,9 +98,7 @@ class Tree:
     count: np.ndarray
     letter: np.ndarray
     letters: int
-    state1: np.ndarray
-    pairs: np.ndarray
-    pair_state: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray]]
     entry: np.ndarray
     entry_n: np.ndarray
     parent: np.ndarray
@@ -118,23 +119,36 @@ class Tree:
         at = self.places(h)
         return np.where(at >= 0, self.letter[at] if len(self.letter) else -1, -1)
 
+    def contexts(self, letter: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+        """Number of the frequent context of ``depth`` words that ends with each token, or -1."""
+        now = letter
+        for d, (keys, _) in enumerate(self.levels[1:depth], 1):
+            before = np.full(len(letter), -1)
+            before[1:] = now[:-1]
+            key = before * self.letters + letter
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            ok = (before >= 0) & (letter >= 0) & (place >= d)
+            now = np.where(ok & (keys[at] == key), at, -1) if len(keys) else np.full(len(letter), -1)
+        return now
+
     def states(self, letter: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Longest kept context before each token; -1 is the root."""
-        one = np.full(len(letter), -1)
-        one[1:] = letter[:-1]
-        one[place < 1] = -1
-        two = np.full(len(letter), -1)
-        two[2:] = letter[:-2]
-        two[place < 2] = -1
-        out = np.where(one >= 0, self.state1[one] if len(self.state1) else -1, -1)
-        if len(self.pairs):
-            key = two * self.letters + one
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            out = np.where((two >= 0) & (one >= 0) & (self.pairs[at] == key), self.pair_state[at], out)
+        out = np.full(len(letter), -1)
+        for depth, (_, state) in enumerate(self.levels, 1):
+            if not len(state):
+                continue
+            ends = self.contexts(letter, place, depth)
+            before = np.full(len(letter), -1)
+            before[1:] = ends[:-1]
+            before[place < 1] = -1
+            found = np.where(before >= 0, state[before], -1)
+            out = np.where(found >= 0, found, out)
         return out
 
     def numbers(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         key = state * self.letters + letter
+        if not len(self.entry):
+            return np.zeros(len(key), np.int64)
         at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
         return np.where((letter >= 0) & (self.entry[at] == key), self.entry_n[at], 0)
 
@@ -158,7 +172,7 @@ def _empty(total: int, kinds: int, head: np.ndarray, count: np.ndarray, least: f
     letter[frequent] = np.arange(int(frequent.sum()))
     none = np.zeros(0, np.int64)
     m = int(frequent.sum())
-    return Tree(total, kinds, head, count, letter, max(m, 1), np.full(m, -1), none, none, none, none, none, none, none)
+    return Tree(total, kinds, head, count, letter, max(m, 1), [(np.arange(m), np.full(m, -1))], none, none, none, none, none)
 
 
 def _contexts(counts: dict[int, tuple[np.ndarray, np.ndarray]], size: dict[int, float], parent_p, parent_of, threshold: float):
@@ -192,17 +206,8 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
         at = np.argsort(got.k.to_numpy(np.int64))
         return got.k.to_numpy(np.int64)[at], got.n.to_numpy(np.int64)[at]
 
-    shared = context.broadcast(tree)
-
-    def pair_keys(texts):
-        h, _, place = sequence(texts)
-        letter = shared.value.letters_of(h)
-        ok = (place[1:] >= 1) & (letter[1:] >= 0) & (letter[:-1] >= 0)
-        return (letter[:-1] * m + letter[1:])[ok]
-
-    key, n = count(pair_keys)
     threshold = math.log(max(total, 2))
-    nodes, entries, entry_n, parent, explicit, weight = [], [], [], [], [], []
+    entries, entry_n, parent, explicit, weight = [], [], [], [], []
 
     def add(letter, n, rest, up):
         s = len(parent)
@@ -213,11 +218,6 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
         weight.append(float(rest) + STRENGTH)
         return s
 
-    def seal():
-        tree.entry = np.concatenate(entries) if entries else np.zeros(0, np.int64)
-        tree.entry_n = np.concatenate(entry_n) if entry_n else np.zeros(0, np.int64)
-        tree.parent, tree.explicit, tree.weight = np.array(parent, np.int64), np.array(explicit), np.array(weight)
-
     def grouped(key, n):
         if not len(key):
             return {}
@@ -225,39 +225,43 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
         return {int(key[a] // m): (key[a:b] % m, n[a:b].astype(float)) for a, b in zip(at, [*at[1:], len(key)], strict=True)}
 
     root_p = tree.root(letter_count)
-    singles = grouped(key, n)
-    singles.pop(end_letter, None)
-    for c, letter, counts, rest in _contexts(singles, {c: letter_count[c] for c in singles}, lambda _, x: root_p[x], lambda c: None, threshold):
-        tree.state1[c] = add(letter, counts, rest, -1)
-    seal()
-    # two-word contexts: pairs with enough tokens, counted in one more pass
-    often = key[n >= max(p_min * total, 1)]
-    often = often[(often // m != end_letter) & (often % m != end_letter)]
-    size = dict(zip(often.tolist(), n[np.isin(key, often)].tolist(), strict=True))
-    if len(often):
-        pairs = context.broadcast(np.sort(often))
-
-        def triple_keys(texts):
+    size = {int(c): letter_count[c] for c in range(len(tree.levels[0][0]))}
+    words_of = np.arange(len(tree.levels[0][0]))[:, None]  # letters of each context
+    for depth in range(1, MOST_WORDS + 1):
+        shared = context.broadcast(tree)
+
+        def next_keys(texts, depth=depth, shared=shared):
             h, _, place = sequence(texts)
             letter = shared.value.letters_of(h)
-            two = letter[:-2] * m + letter[1:-1]
-            at = np.minimum(np.searchsorted(pairs.value, two), len(pairs.value) - 1)
-            ok = (place[2:] >= 2) & (letter[:-2] >= 0) & (letter[1:-1] >= 0) & (letter[2:] >= 0) & (pairs.value[at] == two)
-            return (at * m + letter[2:])[ok]
-
-        key3, n3 = count(triple_keys)
-        names = np.sort(often)
-        found = {int(names[i]): v for i, v in grouped(key3, n3).items()}
-
-        def up_p(c, letter):
-            return tree.probability(np.full(len(letter), tree.state1[c % m]), letter, root_p[letter])
-
-        kept = []
+            ends = shared.value.contexts(letter, place, depth)
+            ok = (place[1:] >= 1) & (ends[:-1] >= 0) & (letter[1:] >= 0)
+            return (ends[:-1] * m + letter[1:])[ok]
+
+        key, n = count(next_keys)
+        found = {c: v for c, v in grouped(key, n).items() if words_of[c, -1] != end_letter}
+        # the longest kept context of fewer words: that of the last depth - 1 letters
+        above = np.full(len(words_of), -1)
+        if depth > 1 and len(words_of):
+            at = np.tile(np.arange(depth - 1), len(words_of)).reshape(len(words_of), depth - 1)
+            flat = tree.states(np.append(words_of[:, 1:], np.full((len(words_of), 1), end_letter), 1).ravel(), np.append(at, np.full((len(words_of), 1), depth - 1), 1).ravel())
+            above = flat.reshape(len(words_of), depth)[:, -1]
+
+        def up_p(c, letter, above=above):
+            return root_p[letter] if above[c] < 0 else tree.probability(np.full(len(letter), above[c]), letter, root_p[letter])
+
+        state = np.full(len(tree.levels[-1][0]), -1)
         for c, letter, counts, rest in list(_contexts(found, size, up_p, lambda c: c, threshold)):
-            kept.append((c, add(letter, counts, rest, int(tree.state1[c % m]))))
-        seal()
-        kept.sort()
-        tree.pairs, tree.pair_state = np.array([c for c, _ in kept], np.int64), np.array([s for _, s in kept], np.int64)
+            state[c] = add(letter, counts, rest, int(above[c]))
+        tree.levels[-1] = (tree.levels[-1][0], state)
+        tree.entry = np.concatenate(entries) if entries else np.zeros(0, np.int64)
+        tree.entry_n = np.concatenate(entry_n) if entry_n else np.zeros(0, np.int64)
+        tree.parent, tree.explicit, tree.weight = np.array(parent, np.int64), np.array(explicit), np.array(weight)
+        often = (n >= max(p_min * total, 1)) & (key % m != end_letter) & np.isin(key // m, list(found))
+        if not often.any():
+            break
+        words_of = np.append(words_of[key[often] // m], (key[often] % m)[:, None], 1)
+        size = dict(enumerate(n[often].tolist()))
+        tree.levels.append((key[often], np.full(int(often.sum()), -1)))
     return tree
 
 

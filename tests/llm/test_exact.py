@@ -424,3 +424,38 @@ def test_mixed_documents(edge):
     assert out.columns == edge.columns
     want = sum(r.taken // r.size for r in mixing.mix_sources(edge).collect() if r.size)
     assert sum(1 for r in out.collect() if WORD.search(r.text or "")) == want
+
+
+def test_lm_tree(spark):
+    """Probabilities of a state sum to 1 with the root's share of unknown words, and contexts are as long as they tell something."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    plain = [" ".join(rng.choice("abcdef") for _ in range(40)) for _ in range(200)]
+    # after "x y z" comes "q", after "w y z" comes "r": only three words tell
+    told = ["x y z q " * 10 + "w y z r " * 10 for _ in range(60)]
+    train = spark.createDataFrame([(t,) for t in plain + told], "t string")
+    tree = suffix_tree_lm.fit(train, suffix_tree_lm.count_words(train))
+    assert len(tree.levels) >= 3 and max((tree.levels[2][1] >= 0).sum(), 0) > 0
+    letters = np.arange(tree.letters)
+    c = np.zeros(tree.letters)
+    c[tree.letter[tree.letter >= 0]] = tree.count[tree.letter >= 0]
+    rest = 1 - tree.root(c).sum()
+    for s in range(len(tree.parent)):
+        p = tree.probability(np.full(tree.letters, s), letters, tree.root(c))
+        unknown, up = rest, s
+        chain = []
+        while up >= 0:
+            chain.append(up)
+            up = tree.parent[up]
+        for k in reversed(chain):
+            unknown *= tree.weight[k] / (tree.explicit[k] + tree.weight[k])
+        assert (p > 0).all() and abs(p.sum() + unknown - 1) < 1e-9
+    h, _, place = suffix_tree_lm.sequence(pa.array(["x y z q", "w y z q"]))
+    letter = tree.letters_of(h)
+    state = tree.states(letter, place)
+    p = tree.probability(state, letter, tree.root(c[letter]))
+    assert p[3] > 0.8 and p[8] < 0.1
