@@ -32,7 +32,7 @@ SUFFIX_BINS = 64
 #: Ids up to which a join side is sent to every task (16 MB of longs); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Cross-component pairs per posting above which another hub round comes before they are enumerated.
-PAIRS_PER_POSTING = 4
+PAIRS_PER_POSTING = 32
 #: Digests of sets that a task remembers, to leave out postings of copies it has met.
 REMEMBERED = 100_000
 #: Bytes of shingle hashes in one Arrow batch.
