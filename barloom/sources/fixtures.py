@@ -24,7 +24,8 @@ EVENT_SERIES = "s AS (SELECT user_id AS u, event_id AS i, value AS y, CASE WHEN
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: code, day, low, high, volume, amount, turnover, close, pre_close, pct."""
-    dec = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    # sums of cents are exact, as those of decimals are, and stay in longs
+    dec = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")) / 100
     # dealt by code first, so that the grouping and every window by code that follows need no further shuffle
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity", "l_discount").repartition("code")
     g = lines.groupBy("code", "day").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), dec("l_quantity").alias("volume"), dec("l_extendedprice").alias("amount"), (F.max("l_discount") * 100).alias("turnover"))
