@@ -7,6 +7,13 @@ than the counts explain. Next symbols are
 smoothed into the parent's distribution, down to the root, which knows every training token. A text is scored from the
 longest suffix state of each token.
 
+Above the words the tree has a level of phrases, which grows with the corpus. A phrase ends where a hash of its last two
+words says so, after about ``PHRASE`` words, or with the text; so equal passages have equal phrases, and no phrase begins
+another. Its context is the whole phrase before it in the text. (context, phrase) pairs are counted over all training
+documents; those seen ``LEAST`` times are explicit symbols, a context that diverges from the words' distribution is a
+state, and what its explicit symbols leave falls back to the product of the words' probabilities. These tables are
+written and joined, never broadcast but for keys above the share ``HOT`` of all tokens, at most 1/HOT of them.
+
 All counts are over all training documents. Words above ``HEAD`` of the tokens (at most 1/HEAD of them) are sent to every
 task; the others, each too rare to be skewed, are joined by word.
 """
@@ -22,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm._tables import saved
-from barloom.llm._words import Words, slices, text_bytes
+from barloom.llm._words import Words, mix, slices, text_bytes
 
 HEAD = 1e-6
 P_MIN = 1e-4
@@ -32,6 +39,12 @@ STRENGTH = 5.0
 MOST_WORDS = 8
 END = np.uint64(0x1D8E4E27C47D124F)
 SEVERAL = 3_000_000
+#: Words of a phrase on average.
+PHRASE = 8
+#: Times that a phrase is seen after its context to be a symbol of its own there.
+LEAST = 2
+HOT = 1e-5
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sequence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,8 +278,24 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
     return tree
 
 
+def phrases(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of every phrase of the tokens ``h`` of texts ``of``; each text's last token ends one."""
+    ends = np.ones(len(h), bool)
+    ends[:-1] = of[1:] != of[:-1]
+    inside = of[1:] == of[:-1]
+    ends[1:] |= inside & ((mix(h[1:] + h[:-1] * STEP) >> np.uint64(32)) % np.uint64(PHRASE) == 0)
+    first = np.flatnonzero(np.append(True, ends[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    at = (np.arange(len(h)) - np.repeat(first, size)).astype(np.uint64)
+    return first, mix(np.add.reduceat(mix(h + at * STEP), first) + size.astype(np.uint64))
+
+
 def _scores(texts: pa.Array, tree: Tree) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known head tokens, base and score without the tail's root part; per tail word: text, hash, count."""
+    """Per text: tokens, known head tokens, base and score without the tail's root part; per tail word: text, hash, count.
+
+    Last the phrases that have one before them: text, that one's hash, own hash, log10 probability by words without the
+    tail's part, tail words in it (offsets, hashes).
+    """
     n = len(texts)
     h, of, place = sequence(texts)
     at = tree.places(h)
@@ -285,7 +314,53 @@ def _scores(texts: pa.Array, tree: Tree) -> tuple[np.ndarray, ...]:
     new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(order)))
-    return np.bincount(of, minlength=n), np.bincount(of, in_head, n).astype(np.int64), np.bincount(of, logs, n), np.bincount(of, score, n), of[order[first]], h[order[first]], times
+    begin, x = phrases(h, of)
+    follows = np.flatnonzero(np.append(False, of[begin[1:]] == of[begin[:-1]]))
+    number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+    mine = tail[np.isin(number[tail], follows)]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(number[mine], minlength=len(begin))[follows])])
+    after = of[begin[follows]], x[follows - 1], x[follows], np.add.reduceat(score, begin)[follows], ends, h[mine]
+    return np.bincount(of, minlength=n), np.bincount(of, in_head, n).astype(np.int64), np.bincount(of, logs, n), np.bincount(of, score, n), of[order[first]], h[order[first]], times, after
+
+
+def phrase_states(seen: DataFrame, total: int, log_tail: float) -> tuple[DataFrame, DataFrame]:
+    """(s, size, weight): contexts whose next phrases diverge from the words' distribution; (s, x, n): symbols seen LEAST times.
+
+    In the test a tail word counts as probable as a head word at least is (``log_tail``), which it is less than.
+    """
+    by_words = F.col("q") + F.size("tail") * log_tail
+    symbols = seen.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n"), F.max(by_words).alias("q")).where(F.col("n") >= LEAST)
+    symbols = saved(symbols, "lm-symbols")
+    sizes = seen.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST)
+    ln_q = F.col("q") * math.log(10)
+    per = symbols.groupBy("s").agg(F.sum("n").alias("explicit"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * (F.log("n") - ln_q)).alias("part"), F.sum(F.exp(ln_q)).alias("mass"))
+    rest = F.col("size") - F.col("explicit")
+    other = F.when(rest > 0, rest * F.log(rest / (F.col("size") * F.greatest(1 - F.col("mass"), F.lit(1e-12))))).otherwise(0.0)
+    gain = 2 * (F.col("part") - F.col("explicit") * F.log("size") + other)
+    diverges = gain > F.col("kinds") + 3 * F.sqrt(2 * F.col("kinds")) + math.log(max(total, 2))
+    states = per.join(sizes, "s").where(diverges).select("s", "size", (rest + STRENGTH).alias("weight"))
+    return saved(states, "lm-states"), symbols.select("s", "x", "n")
+
+
+def phrase_gains(scored: DataFrame, words: DataFrame, tree: Tree, head: float) -> DataFrame:
+    """(row, gain): by how much phrase states change the log10 probability of each text that meets one."""
+    norm = tree.total + 0.1 * (tree.kinds + 1)
+    bar = HOT * tree.total
+    states, symbols = phrase_states(scored.where("learn").select(F.inline("phrases")), tree.total, math.log10((head * tree.total + 0.1) / norm))
+    places = scored.select("row", F.posexplode("phrases").alias("i", "p")).select("row", "i", "p.*")
+    hot = F.broadcast(states.where(F.col("size") >= bar))
+    cool = places.join(hot.select("s"), "s", "left_anti").join(states.where(F.col("size") < bar), "s")
+    met = saved(places.join(hot, "s").unionByName(cool), "lm-met")
+    often = met.join(F.broadcast(symbols.where(F.col("n") >= bar)), ["s", "x"], "left")
+    seldom = often.where("n is null").drop("n").join(symbols.where(F.col("n") < bar), ["s", "x"], "left")
+    found = often.where("n is not null").unionByName(seldom).select("row", "i", "q", "size", "weight", F.coalesce("n", F.lit(0)).alias("n"))
+    log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(norm))
+    rare = met.select("row", "i", F.explode("tail").alias("w")).join(words, "w", "left").groupBy("row", "i").agg(F.sum(log).alias("rare"))
+    q = F.col("q") + F.coalesce("rare", F.lit(0.0))
+    gain = F.log10((F.col("n") + F.col("weight") * F.pow(F.lit(10.0), q)) / (F.col("size") + STRENGTH))
+    # a long phrase's probability is 0 as a double; without a count of its own only the logarithm is needed
+    gain = F.when(F.col("n") > 0, gain - q).otherwise(F.log10(F.col("weight") / (F.col("size") + STRENGTH)))
+    return found.join(rare, ["row", "i"], "left").groupBy("row").agg(F.sum(gain).alias("gain"))
 
 
 def score_documents(docs: DataFrame, is_training, text: str = "text", key: str = "doc_id", p_min: float = P_MIN, head: float = HEAD) -> DataFrame:
@@ -309,18 +384,24 @@ def score_documents(docs: DataFrame, is_training, text: str = "text", key: str =
         for batch in batches:
             for lo, hi in slices(batch.column(2)):
                 part = batch.slice(lo, hi - lo)
-                tokens, known, base, score, of, h, times = _scores(part.column(2), shared.value)
+                tokens, known, base, score, of, h, times, after = _scores(part.column(2), shared.value)
                 counts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))])
                 inner = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names=["w", "m"])
                 lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner).cast(word)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(number + np.arange(hi - lo)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), lists], names=["k", "learn", "row", "n_tokens", "known", "base", "score", "tail"])
+                text_of, s, x, q, ends, rare = after
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare.view(np.int64)))
+                inner = pa.StructArray.from_arrays([pa.array(s.view(np.int64)), pa.array(x.view(np.int64)), pa.array(q), rare], names=["s", "x", "q", "tail"])
+                counts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=hi - lo))])
+                following = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(number + np.arange(hi - lo)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), lists, following], names=["k", "learn", "row", "n_tokens", "known", "base", "score", "tail", "phrases"])
                 number += hi - lo
 
-    scored = saved(rows.mapInArrow(run, f"k {kind}, learn boolean, row long, n_tokens long, known long, base double, score double, tail array<struct<w:long,m:long>>"), "lm-scores")
+    scored = saved(rows.mapInArrow(run, f"k {kind}, learn boolean, row long, n_tokens long, known long, base double, score double, tail array<struct<w:long,m:long>>, phrases array<struct<s:long,x:long,q:double,tail:array<long>>>"), "lm-scores")
     tail = scored.select("row", F.inline("tail")).join(words, "w", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(tree.total + 0.1 * (tree.kinds + 1)))
     rest = tail.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * log).alias("rest"))
-    out = scored.drop("tail").join(rest, "row", "left")
+    gains = phrase_gains(scored, words, tree, head)
+    out = scored.drop("tail", "phrases").join(rest, "row", "left").join(gains, "row", "left")
     plus = F.coalesce("rest", F.lit(0.0))
     return out.select(
         F.col("k").alias(key),
@@ -329,7 +410,7 @@ def score_documents(docs: DataFrame, is_training, text: str = "text", key: str =
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base") + plus).alias("base_score"),
-        (F.col("score") + plus).alias("score"),
+        (F.col("score") + plus + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

@@ -459,3 +459,62 @@ def test_lm_tree(spark):
     state = tree.states(letter, place)
     p = tree.probability(state, letter, tree.root(c[letter]))
     assert p[3] > 0.8 and p[8] < 0.1
+
+
+@pytest.mark.parametrize("head", [1e-6, 0.004])
+def test_lm_phrases(spark, head):
+    """Scores with phrase states against a plain model over words; without frequent words the tree's part is the base."""
+    import math
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    pick = random.Random(5)
+    fresh = lambda n: [f"w{pick.randrange(400)}" for _ in range(n)]
+    shared = [fresh(90) for _ in range(4)]
+    rows = [(i, " ".join(fresh(30) + shared[i % 4] * (i % 3 > 0) + fresh(20))) for i in range(60)]
+    rows += [(100 + i, " ".join(shared[0])) for i in range(12)] + [(200, ""), (201, None), (202, "a " * 300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_tree_lm.score_documents(table, F.col("doc_id") % 5 != 0, p_min=2.0, head=head).collect()}
+
+    def split(t):
+        h, of, _ = suffix_tree_lm.sequence(pa.array([t]))
+        first = [*suffix_tree_lm.phrases(h, of)[0], len(h)]
+        words = [*WORD.findall(lower(t or "")), None]
+        return [tuple(words[a:b]) for a, b in zip(first, first[1:], strict=False)]
+
+    texts = {k: split(t) for k, t in rows}
+    learn = {k: k % 5 != 0 for k, _ in rows}
+    c = Counter(w for k, parts in texts.items() if learn[k] for x in parts for w in x)
+    total = sum(c.values())
+    p = lambda w: (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
+    least = (head * total + 0.1) / (total + 0.1 * (len(c) + 1))
+    log_q = lambda x: sum(math.log10(p(w)) for w in x)
+    bound = lambda x: sum(math.log(p(w) if c[w] >= head * total else least) for w in x)
+    seen = Counter((s, x) for k, parts in texts.items() if learn[k] for s, x in zip(parts, parts[1:], strict=False))
+    size = Counter()
+    for (s, _), n in seen.items():
+        size[s] += n
+    states = {}
+    for s, m in size.items():
+        symbols = {x: n for (y, x), n in seen.items() if y == s and n >= 2}
+        if symbols:
+            rest = m - sum(symbols.values())
+            gain = 2 * sum(n * (math.log(n / m) - bound(x)) for x, n in symbols.items())
+            gain += 2 * rest * math.log(rest / (m * max(1 - sum(math.exp(bound(x)) for x in symbols), 1e-12))) if rest else 0
+            if gain > len(symbols) + 3 * math.sqrt(2 * len(symbols)) + math.log(total):
+                states[s] = symbols, rest + 5.0, m + 5.0
+    assert len(states) > 20
+    better = 0
+    for k, parts in texts.items():
+        want = sum(log_q(x) for x in parts)
+        assert abs(got[k].base_score - want) < 1e-6 * (1 + abs(want))
+        for s, x in zip(parts, parts[1:], strict=False):
+            if s in states:
+                symbols, weight, whole = states[s]
+                want += math.log10((symbols.get(x, 0) + weight * 10 ** log_q(x)) / whole) - log_q(x)
+        assert abs(got[k].score - want) < 1e-6 * (1 + abs(want))
+        better += got[k].held_out and got[k].score > got[k].base_score + 10
+    assert better >= 5
