@@ -44,6 +44,8 @@ PHRASE = 8
 #: Times that a phrase is seen after its context to be a symbol of its own there.
 LEAST = 2
 HOT = 1e-5
+#: Words of 64 bits, 2 ** this many, in the filter that keeps phrases without a state from being shuffled.
+FILTER_BITS = 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -342,12 +344,21 @@ def phrase_states(seen: DataFrame, total: int, log_tail: float) -> tuple[DataFra
     return saved(states, "lm-states"), symbols.select("s", "x", "n")
 
 
+def perhaps_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose hash s may be among those of ``keys``: all that are, and others the more often the more keys there are."""
+    word = lambda s: F.shiftrightunsigned(s, 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(s & 63 AS int))")
+    bits = keys.groupBy(word("s").alias("word")).agg(F.bit_or(bit).alias("bits"))  # at most 2 ** FILTER_BITS rows
+    return rows.join(F.broadcast(bits), word("s") == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def phrase_gains(scored: DataFrame, words: DataFrame, tree: Tree, head: float) -> DataFrame:
     """(row, gain): by how much phrase states change the log10 probability of each text that meets one."""
     norm = tree.total + 0.1 * (tree.kinds + 1)
     bar = HOT * tree.total
     states, symbols = phrase_states(scored.where("learn").select(F.inline("phrases")), tree.total, math.log10((head * tree.total + 0.1) / norm))
     places = scored.select("row", F.posexplode("phrases").alias("i", "p")).select("row", "i", "p.*")
+    places = perhaps_in(places, states)
     hot = F.broadcast(states.where(F.col("size") >= bar))
     cool = places.join(hot.select("s"), "s", "left_anti").join(states.where(F.col("size") < bar), "s")
     met = saved(places.join(hot, "s").unionByName(cool), "lm-met")
