@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import media_gif, mixing, ngram_join, packing, pii, pipeline, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
+from barloom.llm import bpe, media_gif, mixing, ngram_join, packing, pii, pipeline, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 
