@@ -46,6 +46,15 @@ def test_any_ids(ids):
     assert MINE.decode(array("I", ids).tobytes()) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_many_texts():
+    """Slices of texts, long runs by the heap, and a memory that starts again."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab  é\n'.x1中", k=rng.randrange(400))) for _ in range(300)] + ["".join(rng.choices("ab", k=700)), *ODD]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [array("I", x).tolist() for x in MINE.encode_all(texts, slice_bytes=900)] == want
+    assert len(MINE.known) < 3000
+
+
 def test_cuts_are_forced():
     """No token of a text reaches over a cut, and cuts are many."""
     rng = random.Random(1)
@@ -54,7 +63,7 @@ def test_cuts_are_forced():
     for i in LIBRARY.encode(text).ids:
         at += len(MINE.tokens[i])
         ends.add(at)
-    cut = MINE.cuts(text.encode())
+    cut = MINE.cuts([text.encode()])[0]
     assert set(cut[1:]) <= ends and len(cut) > 490
 
 
