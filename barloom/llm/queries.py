@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, media_gif, merkle, mixing, ngram_join, packing, pii, pipeline, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
+from barloom.llm import bpe, lexical, media_gif, merkle, mixing, ngram_join, packing, pii, pipeline, quality, sharding, suffix_dedup, suffix_tree_lm, toxicity
 
 
 def queries() -> dict:
@@ -18,10 +18,11 @@ def queries() -> dict:
         "op8_pii": pii.op8_pii,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
         "op13_bpe": bpe.op13_bpe,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing_sources": mixing.OP1_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
+    return {"op1_mixing_sources": mixing.OP1_SQL, "op11_lexical_search": lexical.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
