@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back, for plans that need it several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, by: str):
         self.spark, self.path, self.by = spark, path, by
