@@ -23,7 +23,7 @@ def tail_rows(history: DataFrame, quotes: DataFrame, key: str, day: str, n: int)
     """
     from pyspark.sql import Window
 
-    mine = history.join(F.broadcast(quotes.select(key, F.col(day).alias("_day"))), key).where(F.col(day) < F.col("_day")).drop("_day")
+    mine = history.join(quotes.select(key, F.col(day).alias("_day")), key).where(F.col(day) < F.col("_day")).drop("_day")
     rows = mine.withColumn("live", F.lit(False)).unionByName(quotes.withColumn("live", F.lit(True)), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(F.desc(day))
     return rows.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
@@ -32,20 +32,26 @@ def tail_rows(history: DataFrame, quotes: DataFrame, key: str, day: str, n: int)
 def deltas(stream: DataFrame, key: str, order: str, total: str) -> DataFrame:
     """(key, order, delta, fell): differences of a running total by key; a total that falls starts anew and says so.
 
-    The last total of a key is kept as state. Rows come in order from batch to batch.
+    The last total of a key and its place are kept as state. A row that comes after a later one of an earlier batch has null
+    delta and fell and changes nothing. A key's rows of one micro-batch are held together.
     """
     kind = stream.schema[key].dataType.simpleString()
     when = stream.schema[order].dataType.simpleString()
 
     def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0.0
+        last, place = state.get if state.exists else (0.0, None)
         rows = pd.concat(list(frames)).sort_values(order)
-        before = rows[total].shift(1, fill_value=last)
-        fell = rows[total] < before
-        state.update((float(rows[total].iloc[-1]),))
-        yield pd.DataFrame({key: rows[key], order: rows[order], "delta": (rows[total] - before).where(~fell, rows[total]), "fell": fell})
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {when}, delta double, fell boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+        late = rows[order] <= place if place is not None else pd.Series(False, rows.index)
+        if late.any():
+            yield pd.DataFrame({key: rows[key], order: rows[order], "delta": None, "fell": None})[late]
+        rows = rows[~late]
+        if len(rows):
+            before = rows[total].shift(1, fill_value=last)
+            fell = rows[total] < before
+            state.update((float(rows[total].iloc[-1]), rows[order].iloc[-1]))
+            yield pd.DataFrame({key: rows[key], order: rows[order], "delta": (rows[total] - before).where(~fell, rows[total]), "fell": fell})
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {when}, delta double, fell boolean", f"last double, place {when}", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(spark: SparkSession, frame: DataFrame, mode: str, out: str) -> DataFrame:
