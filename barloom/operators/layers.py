@@ -69,12 +69,15 @@ def rule_points(universe: DataFrame, rules: list[str], ahead: str, key: str, day
     return out.select("rule", day, "n", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("avg_score"), "mean", (F.col("mean") - F.col("_market")).alias("excess"), "spread", "ic")
 
 
-def summary(points: DataFrame, by: str, day: str, lags: int) -> DataFrame:
-    """Per ``by``: days, spread_mean, ic_mean, ic_std, icir and ic_t (Bartlett weights over ``lags``)."""
+def summary(points: DataFrame, by: str, day: str, lags: int | None = None) -> DataFrame:
+    """Per ``by``: days, spread_mean, ic_mean, ic_std, icir and ic_t, the plain t or the one with Bartlett weights over ``lags``."""
     g = points.groupBy(by).agg(F.count(F.lit(1)).alias("days"), F.avg("spread").alias("spread_mean"))
-    ic = mean_std_t(points, "ic", by).select(F.col(by).alias("_a"), F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), F.col("ir").alias("icir"))
+    ic = mean_std_t(points, "ic", by).select(F.col(by).alias("_a"), F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), F.col("ir").alias("icir"), F.col("t").alias("ic_t"))
+    out = g.join(ic, F.col(by) == F.col("_a"), "left").drop("_a")
+    if lags is None:
+        return out
     t = newey_west(points, "ic", day, by, lags).select(F.col(by).alias("_b"), F.col("t").alias("ic_t"))
-    return g.join(ic, F.col(by) == F.col("_a"), "left").join(t, F.col(by) == F.col("_b"), "left").drop("_a", "_b")
+    return out.drop("ic_t").join(t, F.col(by) == F.col("_b"), "left").drop("_b")
 
 
 def rank_points(universe: DataFrame, score: str, ahead: str, key: str, day: str, least: int = 2) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest as bt
+from barloom.operators import calibration as ca
 from barloom.operators import layers as la
 from barloom.operators import scoring as sc
 from barloom.queries.backtest import _FW, _IC, universe
-from barloom.queries.scoring import SCENES, rules
+from barloom.queries.scoring import SCENES, S, panel, rules
 from barloom.queries.validation import _LC, _nw, b04_er_change
 from barloom.queries.validation import ORACLE as VALIDATION_SQL
 from barloom.sources.store import kept
@@ -52,9 +53,9 @@ def b06_rule_points(spark, d):
     return rounded(points(spark, d), "rule", "day", "n", "hits", avg_score=5, mean=5, excess=5, spread=5, ic=6)
 
 
-@query(f"WITH {_POINTS}, {_nw('pt', 'rule', 'ic', 2)}, summed AS (SELECT rule, count(*) AS days, avg(spread) AS spread_mean, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std FROM pt GROUP BY rule) SELECT summed.rule, days, round(spread_mean, 5) AS spread_mean, round(ic_mean, 5) AS ic_mean, round(ic_std, 5) AS ic_std, round(CASE WHEN ic_std > 1e-12 THEN ic_mean / ic_std END, 5) AS icir, round(t, 4) AS ic_t FROM summed LEFT JOIN nw ON nw.rule = summed.rule")
+@query(f"WITH {_POINTS}, summed AS (SELECT rule, count(*) AS days, avg(spread) AS spread_mean, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, count(ic) AS k FROM pt GROUP BY rule) SELECT rule, days, round(spread_mean, 5) AS spread_mean, round(ic_mean, 5) AS ic_mean, round(ic_std, 5) AS ic_std, round(CASE WHEN ic_std > 1e-12 THEN ic_mean / ic_std END, 5) AS icir, round(CASE WHEN ic_std > 1e-12 THEN ic_mean / ic_std * sqrt(k) END, 4) AS ic_t FROM summed")
 def b06_rule_summary(spark, d):
-    return rounded(la.summary(kept(points(spark, d), "points"), "rule", "day", 2), "rule", "days", spread_mean=5, ic_mean=5, ic_std=5, icir=5, ic_t=4)
+    return rounded(la.summary(kept(points(spark, d), "points"), "rule", "day"), "rule", "days", spread_mean=5, ic_mean=5, ic_std=5, icir=5, ic_t=4)
 
 
 @query(f"WITH {_IC}, o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY total, code) AS i, count(*) OVER (PARTITION BY day) AS m FROM u), sp AS (SELECT day, CASE WHEN count(*) >= 2 AND max(total) - min(total) >= 1e-12 THEN avg(ahead) FILTER (i > m - m // 2) - avg(ahead) FILTER (i <= m // 2) END AS spread FROM o GROUP BY day), pt AS (SELECT 'total' AS score, ic.day, ic, spread FROM ic JOIN sp ON sp.day = ic.day), {_nw('pt', 'score', 'ic', 2)} SELECT g.score, days, round(spread_mean, 5) AS spread_mean, round(ic_mean, 5) AS ic_mean, round(ic_std, 5) AS ic_std, round(ic_mean / ic_std, 5) AS icir, round(t, 4) AS ic_t FROM (SELECT score, count(*) AS days, avg(spread) AS spread_mean, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std FROM pt GROUP BY score) g JOIN nw ON nw.score = g.score")
@@ -85,3 +86,50 @@ def b17_scene_points(spark, d):
 def b20_decay_status(spark, d):
     """Every window of every rule, those with too few days as well."""
     return rounded(la.decay_status(points(spark, d), "rule", "day", (20, 40, 60, 100_000)), "rule", "span", "recent_days", "prior_days", "status", recent=5, prior=5, change=5, t=4)
+
+
+def _scope_sql(c) -> str:
+    """Score of a candidate in every row of h, null where it doesn't trigger."""
+    w = "OVER (PARTITION BY code ORDER BY day ROWS BETWEEN {} PRECEDING AND CURRENT ROW)".format
+    run = f"(sum(CAST(a AS INT)) {w(c.run - 1)} = {c.run})"
+    if c.scope == "each":
+        return f"nullif(CAST(sum(CAST(a AS INT)) {w(c.rows - 1)} AS DOUBLE), 0)"
+    if c.scope == "recent":
+        return "CASE " + " ".join(f"WHEN coalesce(lag(a, {i}) OVER (PARTITION BY code ORDER BY day), false) THEN {p!r}" for i, p in enumerate(ca.decay_points(c.rows))) + " END"
+    found = {"last": "a", "any": f"bool_or(a) {w(c.rows - 1)}", "consec": run}[c.scope]
+    return f"CASE WHEN {found} THEN 1.0::DOUBLE END" if c.scope != "consec" else f"CASE WHEN bool_or(r{c.run}) {w(c.rows - c.run)} THEN 1.0::DOUBLE END"
+
+
+_RUNS = ", ".join(f"sum(CAST(a AS INT)) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) = {k} AS r{k}" for k in (2, 3))
+_CAND = " UNION ALL ".join(f"SELECT '{c.name}' AS rule, code, day, {_scope_sql(c)} AS score FROM hr" for c in ca.CANDIDATES)
+_SCOPE_OF = "split_part(rule, '-', 1)"
+_HALF = "round({} * 2) / 2"
+_CALIBRATION = f"""{_FW}, hr AS (SELECT code, day, a, {_RUNS} FROM h), cd AS (SELECT * FROM ({_CAND}) WHERE score IS NOT NULL),
+mk AS (SELECT day, count(*) AS n, avg(ahead) AS market FROM u GROUP BY day HAVING count(*) >= 2),
+ur AS (SELECT x.rule, u.code, u.day, ahead, n, market, cd.score AS hit, coalesce(cd.score, 0) AS score FROM u JOIN mk ON mk.day = u.day CROSS JOIN (SELECT DISTINCT rule FROM cd) x LEFT JOIN cd ON cd.rule = x.rule AND cd.code = u.code AND cd.day = u.day),
+ux AS (SELECT *, {_RR.format(by='rule, day', v='score')} AS rx, {_RR.format(by='rule, day', v='ahead')} AS ry FROM ur),
+pt AS (SELECT rule, day, avg(ahead) FILTER (hit IS NOT NULL) AS mean, avg(ahead) FILTER (hit IS NOT NULL) - market AS excess, CASE WHEN var_pop(rx) > 1e-12 AND var_pop(ry) > 1e-12 THEN corr(rx, ry) END AS ic FROM ux GROUP BY rule, day, market),
+pn AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY day) <= count(*) OVER (PARTITION BY rule) // 2 AS early FROM pt WHERE excess IS NOT NULL),
+da AS (SELECT rule, count(*) AS nd, avg(mean) AS residual_mean, avg(excess) AS excess_mean, stddev_samp(excess) AS daily_std, avg(excess) FILTER (early) AS early_mean, avg(excess) FILTER (NOT early) AS late_mean FROM pn GROUP BY rule),
+ii AS (SELECT rule, avg(ic) AS ic_mean, CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / stddev_samp(ic) * sqrt(count(ic)) END AS ic_t FROM pt WHERE ic IS NOT NULL GROUP BY rule),
+hh AS (SELECT cd.rule, cd.day, cd.score, ahead FROM cd JOIN u ON u.code = cd.code AND u.day = cd.day),
+bs AS (SELECT rule, score, avg(ahead) AS r, lag(avg(ahead)) OVER (PARTITION BY rule ORDER BY score) AS b FROM hh GROUP BY rule, score HAVING count(*) >= 30),
+mo AS (SELECT rule, count(*) FILTER (r + 1e-12 >= b) / nullif(count(b), 0) AS monotonicity FROM bs GROUP BY rule),
+se AS (SELECT rule, count(*) AS samples, count(DISTINCT day) AS days, avg(score) AS multiplier FROM hh GROUP BY rule),
+g5 AS (SELECT *, excess_mean - 1.28 * daily_std / sqrt(nd) AS edge, CASE WHEN early_mean > 0 AND late_mean > 0 THEN 1.0 WHEN early_mean > 0 OR late_mean > 0 THEN 0.5 ELSE 0.0 END * CASE {_SCOPE_OF} WHEN 'each' THEN greatest(0.25, coalesce(monotonicity, 0.25)) WHEN 'recent' THEN 0.5 + coalesce(monotonicity, 0.5) * 0.5 ELSE 1.0 END AS weight,
+  early_mean > 0 AND late_mean > 0 AS stable, samples >= 100 AND days >= 20 AS enough FROM se LEFT JOIN da USING (rule) LEFT JOIN ii USING (rule) LEFT JOIN mo USING (rule)),
+g6 AS (SELECT *, CASE WHEN edge > 0 AND daily_std > 1e-12 THEN edge / daily_std ELSE 0 END AS unit FROM g5),
+g7 AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN NOT coalesce(edge > 0, false) THEN 'no_edge' WHEN NOT stable THEN 'unstable' ELSE 'reliable' END AS status,
+  CASE WHEN enough THEN (unit + CASE WHEN ic_t > 0 THEN ic_t / sqrt(nd) ELSE 0 END * 0.15) * weight ELSE 0 END AS calibration_score, CASE WHEN enough THEN {_HALF.format('least(10.0, 40 * unit * weight)')} ELSE 0 END AS total_points FROM g6)
+SELECT rule, samples, days, round(residual_mean, 5) AS residual_mean, round(excess_mean, 5) AS excess_mean, round(daily_std, 4) AS daily_std, round(edge, 5) AS edge, round(early_mean, 5) AS early_mean, round(late_mean, 5) AS late_mean, round(ic_mean, 5) AS ic_mean, round(ic_t, 4) AS ic_t, round(monotonicity, 6) AS monotonicity, round(multiplier, 6) AS multiplier,
+  {_HALF.format('least(10.0, total_points / multiplier)')} AS points, total_points::DOUBLE AS total_points, round(calibration_score, 6) AS calibration_score, status,
+  row_number() OVER (ORDER BY CASE status WHEN 'reliable' THEN 0 WHEN 'unstable' THEN 1 ELSE 2 END, calibration_score DESC, rule) = 1 AND status IN ('reliable', 'unstable') AS best FROM g7"""
+
+
+@query(f"WITH {_CALIBRATION}")
+def b24_all_scopes(spark, d):
+    """Sixteen scopes of one condition, with suggested points and the one to take."""
+    scopes = panel(spark, d).select("code", "day", ca.candidate_details(S, F.col("a"), ca.CANDIDATES, 1.0).alias("details"))
+    u = kept(universe(spark, d).select("code", "day", "ahead").join(scopes, ["code", "day"]), "scopes")
+    out = ca.calibrate(u, ca.CANDIDATES, 1.0, "ahead", "code", "day", 2)
+    return rounded(out, "rule", "samples", "days", "status", "best", "points", "total_points", residual_mean=5, excess_mean=5, daily_std=4, edge=5, early_mean=5, late_mean=5, ic_mean=5, ic_t=4, monotonicity=6, multiplier=6, calibration_score=6)

@@ -224,7 +224,7 @@ def g04_stage_ratio(spark, d):
     return g.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("day", "scene")), 6))
 
 
-@query(f"WITH {RANKED} SELECT d.day, d.code, d.score, rank FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day WHERE rule = 'joined' AND abs(score) > 1e-12")
+@query(f"WITH {RANKED}, dx AS MATERIALIZED (SELECT code, day, rule, score FROM d) SELECT dx.day, dx.code, dx.score, rank FROM dx JOIN rk ON dx.code = rk.code AND dx.day = rk.day WHERE rule = 'joined' AND abs(score) > 1e-12")
 def g05_triggered(spark, d):
     every = sc.rule_details(ranked(spark, d), "code", "day", "rank")
     return every.where((F.col("rule") == "joined") & (F.abs("score") > 1e-12)).select("day", "code", "score", "rank")

@@ -85,13 +85,14 @@ def p05_market_value(spark, d):
     return stocks(spark, d).where(v.isNotNull()).select("code", F.when(v < 500, "small").when(v < 2000, "middle").otherwise("large").alias("size"), v.between(0, 5000).alias("within"))
 
 
-_PARTS = "pc AS (SELECT l_suppkey % 7 + l_linenumber * 10 AS code, list(DISTINCT p_brand) AS brands FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0 GROUP BY ALL)"
+_PARTS = "pc AS (SELECT o_custkey AS code, list(DISTINCT p_brand) AS brands FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
 def brand_lists(spark, d):
-    """Groups of lines with their list of brands."""
-    lines = read(spark, d, "lineitem").where("l_orderkey % 50 = 0").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.groupBy((F.col("l_suppkey") % 7 + F.col("l_linenumber") * 10).alias("code")).agg(F.collect_set("p_brand").alias("brands"))
+    """Customers with the list of brands that they bought."""
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = lines.join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return bought.groupBy(F.col("o_custkey").alias("code")).agg(F.collect_set("p_brand").alias("brands"))
 
 
 @query(f"WITH {_PARTS} SELECT code FROM pc WHERE list_has_any(brands, ['Brand#11', 'Brand#12']) AND list_has_all(brands, ['Brand#5']) AND NOT list_has_any(brands, ['Brand#3'])")
@@ -190,7 +191,7 @@ def g10a_detail(spark, d):
     return mine.select("code", "day", F.round(F.log("close"), 5).alias("level"), F.round("total", 5).alias("total"), "rank")
 
 
-@query(f"WITH {_RULES}, meta(rule, scene) AS (VALUES ('above', 'trend'), ('crossed', 'trend'), ('joined', 'trend'), ('hot', 'heat'), ('broken', 'trend')), t AS (SELECT rule, score FROM d WHERE code = 1 AND day = (SELECT max(day) FROM tot WHERE code = 1)) SELECT meta.rule, meta.scene, t.rule IS NOT NULL AS triggered, coalesce(score, 0) AS score FROM meta LEFT JOIN t ON meta.rule = t.rule")
+@query(f"WITH {_RULES}, meta(rule, scene) AS (VALUES ('above', 'trend'), ('crossed', 'trend'), ('joined', 'trend'), ('hot', 'heat'), ('broken', 'trend')), dx AS MATERIALIZED (SELECT code, day, rule, score FROM d), tx AS MATERIALIZED (SELECT code, day FROM tot), t AS (SELECT rule, score FROM dx WHERE code = 1 AND day = (SELECT max(day) FROM tx WHERE code = 1)) SELECT meta.rule, meta.scene, t.rule IS NOT NULL AS triggered, coalesce(score, 0) AS score FROM meta LEFT JOIN t ON meta.rule = t.rule")
 def g10e_triggered_split(spark, d):
     known = spark.createDataFrame([("above", "trend"), ("crossed", "trend"), ("joined", "trend"), ("hot", "heat"), ("broken", "trend")], "rule string, scene string")
     last = op.newest(total_panel(spark, d).where("code = 1"), "code", "day")
