@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.rounding import exact_round2
 from barloom.queries.market import RANKED, ranked
 from barloom.sources.fixtures import BARS, supplier_bars
 
@@ -33,13 +33,8 @@ def q11_sharpe(spark, d) -> DataFrame:
 
 
 def i03_exact_round(spark, d) -> DataFrame:
-    """Two digits of the exact decimal expansion of a double, ties to even: no built-in function does this."""
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"code": b["code"], "day": b["day"], "price": [None if pd.isna(x) else float(f"{x:.2f}") for x in b["close"]]})
-
-    return supplier_bars(spark, d).select("code", "day", "close").mapInPandas(run, "code long, day date, price double")
+    """Two digits of the exact decimal expansion of a double, ties to even."""
+    return supplier_bars(spark, d).select("code", "day", exact_round2(F.col("close")).alias("price"))
 
 
 QUERIES = {"q10_drawdown": q10_drawdown, "q11_sharpe": q11_sharpe, "i03_exact_round": i03_exact_round}
