@@ -295,8 +295,8 @@ def phrases(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _scores(texts: pa.Array, tree: Tree) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known head tokens, base and score without the tail's root part; per tail word: text, hash, count.
 
-    Last the phrases that have one before them: text, that one's hash, own hash, log10 probability by words without the
-    tail's part, tail words in it (offsets, hashes).
+    Last all phrases (text, hash), and of those that have one before them the text, the log10 probability by words without
+    the tail's part, and the tail words in it: offsets, places among the text's tail words.
     """
     n = len(texts)
     h, of, place = sequence(texts)
@@ -316,12 +316,14 @@ def _scores(texts: pa.Array, tree: Tree) -> tuple[np.ndarray, ...]:
     new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
     first = np.flatnonzero(new)
     times = np.diff(np.append(first, len(order)))
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(new) - 1 - np.searchsorted(of[order[first]], of[order])
     begin, x = phrases(h, of)
     follows = np.flatnonzero(np.append(False, of[begin[1:]] == of[begin[:-1]]))
     number = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
     mine = tail[np.isin(number[tail], follows)]
     ends = np.concatenate([[0], np.cumsum(np.bincount(number[mine], minlength=len(begin))[follows])])
-    after = of[begin[follows]], x[follows - 1], x[follows], np.add.reduceat(score, begin)[follows], ends, h[mine]
+    after = of[begin], x, of[begin[follows]], np.add.reduceat(score, begin)[follows], ends, kind[mine]
     return np.bincount(of, minlength=n), np.bincount(of, in_head, n).astype(np.int64), np.bincount(of, logs, n), np.bincount(of, score, n), of[order[first]], h[order[first]], times, after
 
 
@@ -330,10 +332,13 @@ def phrase_states(seen: DataFrame, total: int, log_tail: float) -> tuple[DataFra
 
     In the test a tail word counts as probable as a head word at least is (``log_tail``), which it is less than.
     """
+    # pairs seen LEAST times, without what only they need; the rest is counted among the contexts that have one
+    pairs = saved(seen.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("s").distinct(), "lm-contexts")
+    near = perhaps_in(seen, pairs)
     by_words = F.col("q") + F.size("tail") * log_tail
-    symbols = seen.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n"), F.max(by_words).alias("q")).where(F.col("n") >= LEAST)
+    symbols = near.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n"), F.max(by_words).alias("q")).where(F.col("n") >= LEAST)
     symbols = saved(symbols, "lm-symbols")
-    sizes = seen.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST)
+    sizes = near.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST)
     ln_q = F.col("q") * math.log(10)
     per = symbols.groupBy("s").agg(F.sum("n").alias("explicit"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * (F.log("n") - ln_q)).alias("part"), F.sum(F.exp(ln_q)).alias("mass"))
     rest = F.col("size") - F.col("explicit")
@@ -356,8 +361,13 @@ def phrase_gains(scored: DataFrame, words: DataFrame, tree: Tree, head: float) -
     """(row, gain): by how much phrase states change the log10 probability of each text that meets one."""
     norm = tree.total + 0.1 * (tree.kinds + 1)
     bar = HOT * tree.total
-    states, symbols = phrase_states(scored.where("learn").select(F.inline("phrases")), tree.total, math.log10((head * tree.total + 0.1) / norm))
-    places = scored.select("row", F.posexplode("phrases").alias("i", "p")).select("row", "i", "p.*")
+    # a phrase's context is the one before it; its tail words are kept as places among the text's
+    many = F.greatest(F.size("phrases") - 1, F.lit(0))
+    words_at = F.transform("rare", lambda at: F.transform(at, lambda i: F.get(F.col("tail"), i)["w"]))
+    following = F.arrays_zip(F.slice("phrases", F.lit(1), many).alias("s"), F.slice("phrases", F.lit(2), many).alias("x"), F.col("q"), words_at.alias("tail"))
+    short = F.arrays_zip(F.slice("phrases", F.lit(1), many).alias("s"), F.slice("phrases", F.lit(2), many).alias("x"), F.col("q"), F.col("rare").alias("tail"))
+    states, symbols = phrase_states(scored.where("learn").select(F.inline(short)), tree.total, math.log10((head * tree.total + 0.1) / norm))
+    places = scored.select("row", F.posexplode(following).alias("i", "p")).select("row", "i", "p.*")
     places = perhaps_in(places, states)
     hot = F.broadcast(states.where(F.col("size") >= bar))
     cool = places.join(hot.select("s"), "s", "left_anti").join(states.where(F.col("size") < bar), "s")
@@ -399,20 +409,19 @@ def score_documents(docs: DataFrame, is_training, text: str = "text", key: str =
                 counts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))])
                 inner = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names=["w", "m"])
                 lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner).cast(word)
-                text_of, s, x, q, ends, rare = after
-                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare.view(np.int64)))
-                inner = pa.StructArray.from_arrays([pa.array(s.view(np.int64)), pa.array(x.view(np.int64)), pa.array(q), rare], names=["s", "x", "q", "tail"])
-                counts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=hi - lo))])
-                following = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(number + np.arange(hi - lo)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), lists, following], names=["k", "learn", "row", "n_tokens", "known", "base", "score", "tail", "phrases"])
+                text_of, x, after_of, q, ends, rare = after
+                lists_of = lambda of, values, n=hi - lo: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
+                rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.int32()))
+                columns = [part.column(0), part.column(1), pa.array(number + np.arange(hi - lo)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), lists, lists_of(text_of, pa.array(x.view(np.int64))), lists_of(after_of, pa.array(q)), lists_of(after_of, rare)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "learn", "row", "n_tokens", "known", "base", "score", "tail", "phrases", "q", "rare"])
                 number += hi - lo
 
-    scored = saved(rows.mapInArrow(run, f"k {kind}, learn boolean, row long, n_tokens long, known long, base double, score double, tail array<struct<w:long,m:long>>, phrases array<struct<s:long,x:long,q:double,tail:array<long>>>"), "lm-scores")
+    scored = saved(rows.mapInArrow(run, f"k {kind}, learn boolean, row long, n_tokens long, known long, base double, score double, tail array<struct<w:long,m:long>>, phrases array<long>, q array<double>, rare array<array<int>>"), "lm-scores")
     tail = scored.select("row", F.inline("tail")).join(words, "w", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(tree.total + 0.1 * (tree.kinds + 1)))
     rest = tail.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * log).alias("rest"))
     gains = phrase_gains(scored, words, tree, head)
-    out = scored.drop("tail", "phrases").join(rest, "row", "left").join(gains, "row", "left")
+    out = scored.drop("tail", "phrases", "q", "rare").join(rest, "row", "left").join(gains, "row", "left")
     plus = F.coalesce("rest", F.lit(0.0))
     return out.select(
         F.col("k").alias(key),

@@ -61,7 +61,8 @@ def test_toxicity_repeated_id(spark):
 @pytest.mark.parametrize("name", list(registered.oracle_sql()))
 def test_oracles(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want = con.execute(registered.oracle_sql()[name]).df()
     got = registered.queries()[name](spark, small).toPandas()[list(want.columns)]
     key = list(want.columns)
