@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._tables import saved
+from barloom.llm._tables import drop, saved
 from barloom.llm._words import Words, mix, slices, text_bytes
 
 HEAD = 1e-6
@@ -70,29 +71,60 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return kinds, np.bincount(at, counts, len(kinds)).astype(np.int64)
 
 
-def _counted(batches, column: int, keys_of, name: str):
-    """Rows (key, n): sums over the task, given out whenever many distinct keys are held."""
+def _counted(all_keys, name: str):
+    """Rows (key, n): sums over the arrays of keys of a task, given out whenever many distinct keys are held."""
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for batch in batches:
-        texts = batch.column(column)
-        for lo, hi in slices(texts):
-            keys = keys_of(texts.slice(lo, hi - lo))
-            held.append(_sum_by(keys, np.ones(len(keys))))
-            if sum(len(k) for k, _ in held) > SEVERAL:
-                held = [_sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                if len(held[0][0]) > SEVERAL // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=[name, "n"])
-                    held = []
+    for keys in all_keys:
+        held.append(_sum_by(keys, np.ones(len(keys))))
+        if sum(len(k) for k, _ in held) > SEVERAL:
+            held = [_sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+            if len(held[0][0]) > SEVERAL // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], names=[name, "n"])
+                held = []
     if held:
         k, c = _sum_by(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=[name, "n"])
 
 
+def parts_of(batches):
+    """The first column of Arrow batches, some texts at a time."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(0)):
+            yield batch.column(0).slice(lo, hi - lo)
+
+
+def letters_table(train: DataFrame, tree: Tree) -> tuple[DataFrame, type]:
+    """Written table of the letters of every text, so that the passes over longer and longer contexts don't read words again."""
+    shared, kind = train.sparkSession.sparkContext.broadcast(tree), np.dtype("<i2" if tree.letters < 2**15 else "<i4")
+
+    def run(batches):
+        for texts in parts_of(batches):
+            h, _, place = sequence(texts)
+            raw, first = shared.value.letters_of(h).astype(kind).tobytes(), np.flatnonzero(place == 0) * kind.itemsize
+            cut = [*first.tolist(), len(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], names=["letters"])
+
+    return saved(train.mapInArrow(run, "letters binary"), "lm-letters"), kind
+
+
+def letter_parts(batches, kind):
+    """(letter, place in the text) of all tokens of some texts at a time."""
+    for batch in batches:
+        texts = batch.column(0)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize)])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + (1 << 17), "right")) - 1)
+            letter = np.frombuffer(b"".join(texts.slice(lo, hi - lo).to_pylist()), kind).astype(np.int64)
+            yield letter, np.arange(len(letter)) - np.repeat(ends[lo:hi] - ends[lo], np.diff(ends[lo : hi + 1]))
+            lo = hi
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(w, c): how often each token, END included, occurs in column t of ``train``."""
 
     def run(batches):
-        yield from _counted(batches, 0, lambda t: sequence(t)[0].view(np.int64), "w")
+        yield from _counted((sequence(t)[0].view(np.int64) for t in parts_of(batches)), "w")
 
     return saved(train.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("c")), "unigrams")
 
@@ -213,11 +245,13 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
     letter_count = np.zeros(m)
     letter_count[tree.letter[tree.letter >= 0]] = tree.count[tree.letter >= 0]
 
+    written, kind = letters_table(train, tree)
+
     def count(keys_of) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
-            yield from _counted(batches, 0, keys_of, "k")
+            yield from _counted((keys_of(letter, place) for letter, place in letter_parts(batches, kind)), "k")
 
-        got = train.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # frequent words only
+        got = written.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # frequent words only
         at = np.argsort(got.k.to_numpy(np.int64))
         return got.k.to_numpy(np.int64)[at], got.n.to_numpy(np.int64)[at]
 
@@ -245,9 +279,7 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
     for depth in range(1, MOST_WORDS + 1):
         shared = context.broadcast(tree)
 
-        def next_keys(texts, depth=depth, shared=shared):
-            h, _, place = sequence(texts)
-            letter = shared.value.letters_of(h)
+        def next_keys(letter, place, depth=depth, shared=shared):
             ends = shared.value.contexts(letter, place, depth)
             ok = (place[1:] >= 1) & (ends[:-1] >= 0) & (letter[1:] >= 0)
             return (ends[:-1] * m + letter[1:])[ok]
@@ -277,6 +309,7 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
         words_of = np.append(words_of[key[often] // m], (key[often] % m)[:, None], 1)
         size = dict(enumerate(n[often].tolist()))
         tree.levels.append((key[often], np.full(int(often.sum()), -1)))
+    drop(written)
     return tree
 
 
@@ -330,15 +363,17 @@ def _scores(texts: pa.Array, tree: Tree) -> tuple[np.ndarray, ...]:
 def phrase_states(seen: DataFrame, total: int, log_tail: float) -> tuple[DataFrame, DataFrame]:
     """(s, size, weight): contexts whose next phrases diverge from the words' distribution; (s, x, n): symbols seen LEAST times.
 
+    ``seen`` has the (s, x) of every phrase, its log10 probability q by words and the number of its tail words.
+
     In the test a tail word counts as probable as a head word at least is (``log_tail``), which it is less than.
     """
     # pairs seen LEAST times, without what only they need; the rest is counted among the contexts that have one
     pairs = saved(seen.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("s").distinct(), "lm-contexts")
     near = perhaps_in(seen, pairs)
-    by_words = F.col("q") + F.size("tail") * log_tail
-    symbols = near.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n"), F.max(by_words).alias("q")).where(F.col("n") >= LEAST)
-    symbols = saved(symbols, "lm-symbols")
-    sizes = near.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST)
+    by_words = F.col("q") + F.col("tail") * log_tail
+    counted = saved(near.groupBy("s", "x").agg(F.count(F.lit(1)).alias("n"), F.max(by_words).alias("q")), "lm-symbols")
+    symbols = counted.where(F.col("n") >= LEAST)
+    sizes = counted.groupBy("s").agg(F.sum("n").alias("size")).where(F.col("size") >= LEAST)
     ln_q = F.col("q") * math.log(10)
     per = symbols.groupBy("s").agg(F.sum("n").alias("explicit"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * (F.log("n") - ln_q)).alias("part"), F.sum(F.exp(ln_q)).alias("mass"))
     rest = F.col("size") - F.col("explicit")
@@ -365,7 +400,7 @@ def phrase_gains(scored: DataFrame, words: DataFrame, tree: Tree, head: float) -
     many = F.greatest(F.size("phrases") - 1, F.lit(0))
     words_at = F.transform("rare", lambda at: F.transform(at, lambda i: F.get(F.col("tail"), i)["w"]))
     following = F.arrays_zip(F.slice("phrases", F.lit(1), many).alias("s"), F.slice("phrases", F.lit(2), many).alias("x"), F.col("q"), words_at.alias("tail"))
-    short = F.arrays_zip(F.slice("phrases", F.lit(1), many).alias("s"), F.slice("phrases", F.lit(2), many).alias("x"), F.col("q"), F.col("rare").alias("tail"))
+    short = F.arrays_zip(F.slice("phrases", F.lit(1), many).alias("s"), F.slice("phrases", F.lit(2), many).alias("x"), F.col("q"), F.transform("rare", F.size).alias("tail"))
     states, symbols = phrase_states(scored.where("learn").select(F.inline(short)), tree.total, math.log10((head * tree.total + 0.1) / norm))
     places = scored.select("row", F.posexplode(following).alias("i", "p")).select("row", "i", "p.*")
     places = perhaps_in(places, states)
