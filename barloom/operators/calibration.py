@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.series import Series
 from barloom.operators import scoring as sc
 from barloom.operators.backtest import TINY, mean_std_t
-from barloom.operators.layers import rule_points
+from barloom.operators.layers import NOISE, rule_points
 from barloom.sources.store import kept
 
-
 @dataclass(frozen=True)
 class Candidate:
     """A scope (last, any, each, consec, recent) over ``rows`` rows; consec needs a run of ``run``."""
@@ -82,15 +81,15 @@ def calibrate(universe: DataFrame, candidates: list[Candidate], sign: float, ahe
         g = g.join(other, "rule", "left")
     g = g.fillna(0, ["samples", "days"])
     edge = F.col("excess_mean") * sign - z * F.col("daily_std") / F.sqrt("_n")
-    a, b = F.col("early_mean") * sign > 0, F.col("late_mean") * sign > 0
+    a, b = F.col("early_mean") * sign > NOISE, F.col("late_mean") * sign > NOISE
     both = F.col("early_mean").isNotNull() & F.col("late_mean").isNotNull()
     stable = F.when(both & a & b, 1.0).when(both & (a | b), 0.5).otherwise(0.0)
     shape = F.when(F.col("scope") == "each", F.greatest(F.lit(0.25), F.coalesce("monotonicity", F.lit(0.25)))).when(F.col("scope") == "recent", 0.5 + F.coalesce("monotonicity", F.lit(0.5)) * 0.5).otherwise(1.0)
     g = g.withColumns({"_edge": edge, "_stable": stable, "_shape": shape, "_enough": (F.col("samples") >= samples) & (F.col("days") >= days)})
-    unit = F.when((F.col("_edge") > 0) & (F.col("daily_std") > TINY), F.col("_edge") / F.col("daily_std")).otherwise(0.0)
+    unit = F.when((F.col("_edge") > NOISE) & (F.col("daily_std") > TINY), F.col("_edge") / F.col("daily_std")).otherwise(0.0)
     support = F.when(F.col("ic_t") > 0, F.col("ic_t") / F.sqrt(F.greatest("_n", F.lit(1)))).otherwise(0.0)
     weight = F.col("_stable") * F.col("_shape")
-    status = F.when(~F.col("_enough"), "insufficient").when(~F.coalesce(F.col("_edge") > 0, F.lit(False)), "no_edge").when(F.col("_stable") < 1, "unstable").otherwise("reliable")
+    status = F.when(~F.col("_enough"), "insufficient").when(~F.coalesce(F.col("_edge") > NOISE, F.lit(False)), "no_edge").when(F.col("_stable") < 1, "unstable").otherwise("reliable")
     total = F.when(F.col("_enough"), to_half(F.least(F.lit(10.0), scale * unit * weight))).otherwise(0.0)
     g = g.withColumns({"edge": F.col("_edge") * sign, "status": status, "calibration_score": F.when(F.col("_enough"), (unit + support * 0.15) * weight).otherwise(0.0), "total_points": total * sign})
     each_ = F.when(F.col("multiplier") > TINY, to_half(F.least(F.lit(10.0), F.abs("total_points") / F.col("multiplier")))).otherwise(0.0)

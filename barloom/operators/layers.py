@@ -13,6 +13,9 @@ from barloom.sources.store import kept
 #: Places of scene states in their order; states not listed, and none, count as observe.
 STATE_RANK = {"fail": 0, "observe": 1, "trigger": 2, "confirm": 3}
 
+#: Means and changes of returns up to this are 0: a sum of doubles depends on the order of its rows.
+NOISE = 1e-9
+
 
 def rule_points(universe: DataFrame, rules: list[str], ahead: str, key: str, day: str, least: int = 1) -> DataFrame:
     """A row per rule and day of at least ``least`` entities: n, hits, avg_score, mean, excess, spread and ic.
@@ -124,6 +127,6 @@ def decay_status(points: DataFrame, rule: str, day: str, windows: tuple[int, ...
     error = F.sqrt(F.col("v1") / F.col("recent_days") + F.col("v0") / F.col("prior_days"))
     change = F.col("a1") - F.col("a0")
     g = g.select(rule, "span", "recent_days", "prior_days", *[F.when(enough, x).alias(c) for c, x in (("recent", F.col("a1")), ("prior", F.col("a0")), ("change", change), ("t", F.when(error > TINY, change / error)))])
-    falls, low = F.col("change") < 0, F.col("recent") < 0
-    status = F.when(F.col("change").isNull(), "insufficient").when(falls & (F.col("t") <= -2), "significant_decay").when(falls & low, "decay").when(falls, "weakening").when(low, "weak").when(F.col("change") > 0, "improving").otherwise("stable")
+    falls, low = F.col("change") < -NOISE, F.col("recent") < -NOISE
+    status = F.when(F.col("change").isNull(), "insufficient").when(falls & (F.col("t") <= -2), "significant_decay").when(falls & low, "decay").when(falls, "weakening").when(low, "weak").when(F.col("change") > NOISE, "improving").otherwise("stable")
     return g.withColumn("status", status)

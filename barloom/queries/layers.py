@@ -28,7 +28,8 @@ def query(sql: str):
 
 
 def rounded(df, *keys, **digits):
-    return df.select(*keys, *[F.round(c, n).alias(c) for c, n in digits.items()])
+    """``keys`` and the other columns to so many digits, zero without a sign."""
+    return df.select(*keys, *[(F.round(c, n) + 0.0).alias(c) for c, n in digits.items()])
 
 
 RULE_NAMES = ["above", "crossed", "joined", "hot", "broken"]
@@ -82,7 +83,7 @@ def b17_scene_points(spark, d):
     return rounded(la.scene_points(found, "ahead", "day"), "scene", "day", "n", spread=5, ic=6)
 
 
-@query(f"WITH {_POINTS}, dv AS (SELECT rule, v, row_number() OVER (PARTITION BY rule ORDER BY day DESC) AS back FROM (SELECT rule, day, excess * CASE WHEN sum(avg_score) OVER (PARTITION BY rule) < 0 THEN -1 ELSE 1 END AS v FROM pt) WHERE v IS NOT NULL), dg AS (SELECT rule, k AS span, count(*) FILTER (back <= k) AS recent_days, count(*) FILTER (back > k) AS prior_days, avg(v) FILTER (back <= k) AS a1, avg(v) FILTER (back > k) AS a0, var_samp(v) FILTER (back <= k) AS v1, var_samp(v) FILTER (back > k) AS v0 FROM dv CROSS JOIN (VALUES (20), (40), (60), (100000)) x(k) GROUP BY ALL), ds AS (SELECT *, recent_days = span AND prior_days >= 10 AS ok, sqrt(v1 / recent_days + v0 / prior_days) AS e FROM dg), dt AS (SELECT rule, span, recent_days, prior_days, CASE WHEN ok THEN a1 END AS recent, CASE WHEN ok THEN a0 END AS prior, CASE WHEN ok THEN a1 - a0 END AS change, CASE WHEN ok AND e > 1e-12 THEN (a1 - a0) / e END AS t FROM ds) SELECT rule, span, recent_days, prior_days, round(recent, 5) AS recent, round(prior, 5) AS prior, round(change, 5) AS change, round(t, 4) AS t, CASE WHEN change IS NULL THEN 'insufficient' WHEN change < 0 AND t <= -2 THEN 'significant_decay' WHEN change < 0 AND recent < 0 THEN 'decay' WHEN change < 0 THEN 'weakening' WHEN recent < 0 THEN 'weak' WHEN change > 0 THEN 'improving' ELSE 'stable' END AS status FROM dt")
+@query(f"WITH {_POINTS}, dv AS (SELECT rule, v, row_number() OVER (PARTITION BY rule ORDER BY day DESC) AS back FROM (SELECT rule, day, excess * CASE WHEN sum(avg_score) OVER (PARTITION BY rule) < 0 THEN -1 ELSE 1 END AS v FROM pt) WHERE v IS NOT NULL), dg AS (SELECT rule, k AS span, count(*) FILTER (back <= k) AS recent_days, count(*) FILTER (back > k) AS prior_days, avg(v) FILTER (back <= k) AS a1, avg(v) FILTER (back > k) AS a0, var_samp(v) FILTER (back <= k) AS v1, var_samp(v) FILTER (back > k) AS v0 FROM dv CROSS JOIN (VALUES (20), (40), (60), (100000)) x(k) GROUP BY ALL), ds AS (SELECT *, recent_days = span AND prior_days >= 10 AS ok, sqrt(v1 / recent_days + v0 / prior_days) AS e FROM dg), dt AS (SELECT rule, span, recent_days, prior_days, CASE WHEN ok THEN a1 END AS recent, CASE WHEN ok THEN a0 END AS prior, CASE WHEN ok THEN a1 - a0 END AS change, CASE WHEN ok AND e > 1e-12 THEN (a1 - a0) / e END AS t FROM ds) SELECT rule, span, recent_days, prior_days, round(recent, 5) AS recent, round(prior, 5) AS prior, round(change, 5) AS change, round(t, 4) AS t, CASE WHEN change IS NULL THEN 'insufficient' WHEN change < -1e-9 AND t <= -2 THEN 'significant_decay' WHEN change < -1e-9 AND recent < -1e-9 THEN 'decay' WHEN change < -1e-9 THEN 'weakening' WHEN recent < -1e-9 THEN 'weak' WHEN change > 1e-9 THEN 'improving' ELSE 'stable' END AS status FROM dt")
 def b20_decay_status(spark, d):
     """Every window of every rule, those with too few days as well."""
     return rounded(la.decay_status(points(spark, d), "rule", "day", (20, 40, 60, 100_000)), "rule", "span", "recent_days", "prior_days", "status", recent=5, prior=5, change=5, t=4)
@@ -116,12 +117,12 @@ hh AS (SELECT cd.rule, cd.day, cd.score, ahead FROM cd JOIN u ON u.code = cd.cod
 bs AS (SELECT rule, score, avg(ahead) AS r, lag(avg(ahead)) OVER (PARTITION BY rule ORDER BY score) AS b FROM hh GROUP BY rule, score HAVING count(*) >= 30),
 mo AS (SELECT rule, count(*) FILTER (r + 1e-12 >= b) / nullif(count(b), 0) AS monotonicity FROM bs GROUP BY rule),
 se AS (SELECT rule, count(*) AS samples, count(DISTINCT day) AS days, avg(score) AS multiplier FROM hh GROUP BY rule),
-g5 AS (SELECT *, excess_mean - 1.28 * daily_std / sqrt(nd) AS edge, CASE WHEN early_mean > 0 AND late_mean > 0 THEN 1.0 WHEN early_mean > 0 OR late_mean > 0 THEN 0.5 ELSE 0.0 END * CASE {_SCOPE_OF} WHEN 'each' THEN greatest(0.25, coalesce(monotonicity, 0.25)) WHEN 'recent' THEN 0.5 + coalesce(monotonicity, 0.5) * 0.5 ELSE 1.0 END AS weight,
-  early_mean > 0 AND late_mean > 0 AS stable, samples >= 100 AND days >= 20 AS enough FROM se LEFT JOIN da USING (rule) LEFT JOIN ii USING (rule) LEFT JOIN mo USING (rule)),
-g6 AS (SELECT *, CASE WHEN edge > 0 AND daily_std > 1e-12 THEN edge / daily_std ELSE 0 END AS unit FROM g5),
-g7 AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN NOT coalesce(edge > 0, false) THEN 'no_edge' WHEN NOT stable THEN 'unstable' ELSE 'reliable' END AS status,
+g5 AS (SELECT *, excess_mean - 1.28 * daily_std / sqrt(nd) AS edge, CASE WHEN early_mean > 1e-9 AND late_mean > 1e-9 THEN 1.0 WHEN early_mean > 1e-9 OR late_mean > 1e-9 THEN 0.5 ELSE 0.0 END * CASE {_SCOPE_OF} WHEN 'each' THEN greatest(0.25, coalesce(monotonicity, 0.25)) WHEN 'recent' THEN 0.5 + coalesce(monotonicity, 0.5) * 0.5 ELSE 1.0 END AS weight,
+  early_mean > 1e-9 AND late_mean > 1e-9 AS stable, samples >= 100 AND days >= 20 AS enough FROM se LEFT JOIN da USING (rule) LEFT JOIN ii USING (rule) LEFT JOIN mo USING (rule)),
+g6 AS (SELECT *, CASE WHEN edge > 1e-9 AND daily_std > 1e-12 THEN edge / daily_std ELSE 0 END AS unit FROM g5),
+g7 AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN NOT coalesce(edge > 1e-9, false) THEN 'no_edge' WHEN NOT stable THEN 'unstable' ELSE 'reliable' END AS status,
   CASE WHEN enough THEN (unit + CASE WHEN ic_t > 0 THEN ic_t / sqrt(nd) ELSE 0 END * 0.15) * weight ELSE 0 END AS calibration_score, CASE WHEN enough THEN {_HALF.format('least(10.0, 40 * unit * weight)')} ELSE 0 END AS total_points FROM g6)
-SELECT rule, samples, days, round(residual_mean, 5) AS residual_mean, round(excess_mean, 5) AS excess_mean, round(daily_std, 4) AS daily_std, round(edge, 5) AS edge, round(early_mean, 5) AS early_mean, round(late_mean, 5) AS late_mean, round(ic_mean, 5) AS ic_mean, round(ic_t, 4) AS ic_t, round(monotonicity, 6) AS monotonicity, round(multiplier, 6) AS multiplier,
+SELECT rule, samples, days, round(residual_mean, 5) AS residual_mean, round(excess_mean, 5) + 0.0 AS excess_mean, round(daily_std, 4) AS daily_std, round(edge, 5) + 0.0 AS edge, round(early_mean, 5) + 0.0 AS early_mean, round(late_mean, 5) + 0.0 AS late_mean, round(ic_mean, 5) AS ic_mean, round(ic_t, 4) AS ic_t, round(monotonicity, 6) AS monotonicity, round(multiplier, 6) AS multiplier,
   {_HALF.format('least(10.0, total_points / multiplier)')} AS points, total_points::DOUBLE AS total_points, round(calibration_score, 6) AS calibration_score, status,
   row_number() OVER (ORDER BY CASE status WHEN 'reliable' THEN 0 WHEN 'unstable' THEN 1 ELSE 2 END, calibration_score DESC, rule) = 1 AND status IN ('reliable', 'unstable') AS best FROM g7"""
 
