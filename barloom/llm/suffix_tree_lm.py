@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -166,30 +167,39 @@ class Tree:
         at = self.places(h)
         return np.where(at >= 0, self.letter[at] if len(self.letter) else -1, -1)
 
-    def contexts(self, letter: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-        """Number of the frequent context of ``depth`` words that ends with each token, or -1."""
-        now = letter
-        for d, (keys, _) in enumerate(self.levels[1:depth], 1):
-            before = np.full(len(letter), -1)
-            before[1:] = now[:-1]
-            key = before * self.letters + letter
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            ok = (before >= 0) & (letter >= 0) & (place >= d)
-            now = np.where(ok & (keys[at] == key), at, -1) if len(keys) else np.full(len(letter), -1)
-        return now
+    def contexts(self, letter: np.ndarray, place: np.ndarray):
+        """For 1, 2, ... words the tokens with which a frequent context of so many ends, and its number there.
+
+        Only tokens after one that ended a context of one word less are looked at again.
+        """
+        at = np.flatnonzero(letter >= 0)
+        now = letter[at]
+        yield at, now
+        for keys, _ in self.levels[1:]:
+            at, now = self.followed(at, now, letter, place)
+            key = now * self.letters + letter[at]
+            where = np.searchsorted(keys, key)
+            known = np.append(keys, -1)[where] == key
+            at, now = at[known], where[known]
+            yield at, now
+
+    @staticmethod
+    def followed(at: np.ndarray, now: np.ndarray, letter: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens after ``at``, where they are frequent and of the same text, and the ``now`` before them."""
+        inside = at + 1 < len(letter)
+        at, now = at[inside] + 1, now[inside]
+        ok = (letter[at] >= 0) & (place[at] >= 1)
+        return at[ok], now[ok]
 
     def states(self, letter: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Longest kept context before each token; -1 is the root."""
         out = np.full(len(letter), -1)
-        for depth, (_, state) in enumerate(self.levels, 1):
-            if not len(state):
-                continue
-            ends = self.contexts(letter, place, depth)
-            before = np.full(len(letter), -1)
-            before[1:] = ends[:-1]
-            before[place < 1] = -1
-            found = np.where(before >= 0, state[before], -1)
-            out = np.where(found >= 0, found, out)
+        for (at, now), (_, state) in zip(self.contexts(letter, place), self.levels, strict=True):
+            found = state[now]
+            kept = (found >= 0) & (at + 1 < len(letter))
+            after, found = at[kept] + 1, found[kept]
+            same = place[after] >= 1
+            out[after[same]] = found[same]
         return out
 
     def numbers(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -280,9 +290,9 @@ def fit(train: DataFrame, words: DataFrame, p_min: float = P_MIN, head: float =
         shared = context.broadcast(tree)
 
         def next_keys(letter, place, depth=depth, shared=shared):
-            ends = shared.value.contexts(letter, place, depth)
-            ok = (place[1:] >= 1) & (ends[:-1] >= 0) & (letter[1:] >= 0)
-            return (ends[:-1] * m + letter[1:])[ok]
+            at, now = next(islice(shared.value.contexts(letter, place), depth - 1, None))
+            at, now = Tree.followed(at, now, letter, place)
+            return now * m + letter[at]
 
         key, n = count(next_keys)
         found = {c: v for c, v in grouped(key, n).items() if words_of[c, -1] != end_letter}
