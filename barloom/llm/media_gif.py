@@ -70,7 +70,7 @@ def lzw_encode(samples: bytes) -> bytes:
 
 
 def lzw_decode(stream: bytes, min_size: int, most: int) -> np.ndarray:
-    """Samples of a code stream, at most ``most``; what is missing after a broken or short stream is 0."""
+    """Samples of a code stream, at most ``most``. Raises ValueError for a stream that ends or breaks before."""
     if not 1 <= min_size <= 11:
         raise ValueError(f"LZW code size {min_size}")
     clear = 1 << min_size
@@ -107,7 +107,7 @@ def lzw_decode(stream: bytes, min_size: int, most: int) -> np.ndarray:
         step = 4200
     got = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
     if len(got) < most:
-        got = np.concatenate([got, np.zeros(most - len(got), np.uint8)])
+        raise ValueError(f"LZW stream has {len(got)} of {most} samples")
     return got
 
 
@@ -176,7 +176,8 @@ def decode_gif(data: bytes):
     """Frames of a GIF in order, composed on the canvas.
 
     Disposal 2 clears the frame's box before the next frame, disposal 3 restores what was there before it; samples of
-    the transparent index leave the canvas as it is. Raises ValueError for data that is no GIF.
+    the transparent index leave the canvas as it is. Raises ValueError for data that is no GIF, and after the frames before
+    the break for data that ends or breaks before its trailer.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
@@ -240,8 +241,11 @@ def decode_gif(data: bytes):
                 rgb, alpha = kept
             number, now = number + 1, now + delay
             delay, disposal, clear_index = 0, 0, -1
+        elif kind == 0x3B:
+            return
         else:
             break
+    raise ValueError("broken before its trailer")
 
 
 def colour_histogram(rgb: np.ndarray, alpha: np.ndarray | None = None) -> np.ndarray:

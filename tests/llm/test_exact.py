@@ -281,6 +281,24 @@ def test_gif_frames_rules(spark):
     assert sum(rows[0].histogram) == 2 and [(r.doc_id, r.frame) for r in rows[4:]] == [(2, -1), (3, -1)]
 
 
+def test_gif_frames_broken(spark):
+    """Cut and corrupt data: frames before the break, then one row with the reason."""
+    import random
+
+    rng = random.Random(4)
+    samples = bytes(rng.randrange(256) for _ in range(64 * 40))
+    whole = media_gif.encode_gif(samples, rows=16)  # frames of 16, 16 and 8 rows
+    first = whole.index(b"\x21\xf9", 800 + len(whole) // 4)  # the second frame's control block
+    torn = bytearray(whole)
+    body = whole.index(b"\x2c", first) + 11
+    torn[body + 20 : body + 24] = b"\xff\xff\xff\xff"
+    data = [(1, bytearray(whole)), (2, bytearray(whole[: first + 300])), (3, bytearray(whole[:-1])), (4, torn), (5, bytearray(whole[:20])), (6, bytearray(whole[: first + 3])), (7, bytearray(whole[: first // 2 + 390]))]  # 7: in the first frame
+    rows = media_gif.gif_frames(spark.createDataFrame(data, "doc_id long, gif binary")).collect()
+    frames = {k: [r.frame for r in rows if r.doc_id == k] for k, _ in data}
+    assert frames == {1: [0, 1, 2], 2: [0, -1], 3: [0, 1, 2, -1], 4: [0, -1], 5: [-1], 6: [0, -1], 7: [-1]}
+    assert all((r.error is None) == (r.frame >= 0) for r in rows)
+
+
 def test_lm_base(table):
     from pyspark.sql import functions as F
 
