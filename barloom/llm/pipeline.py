@@ -57,7 +57,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; a null source is a source, and one without any word is kept once. Rows equal in id and text are taken or left together."""
+    """Documents as often as the mix of sources takes them; a null source is a source, and one without any word is kept once. Of rows equal in id and text as many are taken as the budget allows."""
     return mixed_documents(docs)
 
 
