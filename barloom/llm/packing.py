@@ -33,19 +33,33 @@ class PieceIds(dict):
     vocabulary's own split pattern has the same classes in every Unicode version; other texts, and those with a special
     token's string, go to the tokenizer whole. A new pre-token is merged by the tokenizer's own merge ranks; where its
     ids don't follow the merge order, so that they are no ranks, the tokenizer itself encodes it. The memory is bounded:
-    beyond ``most`` pre-tokens it starts again.
+    beyond ``most`` pre-tokens it starts again. A file with another pre-tokenizer, a normaliser, special tokens that
+    don't begin with ``<|``, or other rules of merging has every text encoded whole by the tokenizer.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         known = [chr(i) for i in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]]
         pick = lambda kind: "".join(re.escape(c) for c in known if unicodedata.category(c)[0] == kind)
         letters, numbers = pick("L"), pick("N")
-        self.other = re.compile(f"[^{''.join(re.escape(c) for c in known)}]|<\\|")
+        splits = self._splits(path)
+        self.other = re.compile(f"[^{''.join(re.escape(c) for c in known)}]|<\\|" if splits else "")
         self.split = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^\t\n\r {letters}{numbers}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+").findall
-        self.encode_piece = self._by_ranks(path) or (lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.encode_piece = (splits and self._by_ranks(path)) or (lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _splits(path: str) -> bool:
+        """Whether the file splits texts as this class does."""
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        byte_level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+        return plain and byte_level and not file.get("normalizer") and all(t["content"].startswith("<|") for t in file.get("added_tokens") or ())
 
     @staticmethod
     def _by_ranks(path: str):
