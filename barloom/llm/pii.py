@@ -13,6 +13,8 @@ takes its runs possessively, so that long runs cost linear time.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,6 @@ SHAPES = {
     "card": r"^[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}[.,;]?$",
     "phone": r"^\(?[0-9]{2,4}\)?[-.][0-9]{3,4}[-.][0-9]{3,5}[.,;]?$|^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){1,4}$",
 }
-#: Most rounds of the bootstrap; it ends before where a round adds nothing.
-ROUNDS = 5
 #: Score from which an instance is believed.
 TRUST = 0.6
 #: Distinct trusted instances that a pattern needs, and the score below which it says nothing.
@@ -110,10 +110,11 @@ def matches(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return table.drop("found"), spans.select("row", "kind", "start", "end", "value", patterns.alias("patterns"))
 
 
-def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS, least_pattern: float = LEAST_PATTERN) -> DataFrame:
+def discover(spans: DataFrame, rounds: int | None = None, trust: float = TRUST, least_seeds: int = LEAST_SEEDS, least_pattern: float = LEAST_PATTERN) -> DataFrame:
     """Spans (row, kind, start, end) of unseen identifiers; ``spans`` has base matches and candidates with ``ok``.
 
-    The graph has one edge per kind, pattern and value, so repeated sentences count once. Seeds keep a score of 1.
+    The graph has one edge per kind, pattern and value, so repeated sentences count once. Seeds keep a score of 1. Scores
+    never fall from round to round, so instances are only added; the rounds end where one adds none, or after ``rounds``.
     """
     base = spans.where("ok")
     boxes = base.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("boxes"))  # one document's own matches
@@ -128,14 +129,16 @@ def discover(spans: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, least
     behind = saved(everything.groupBy("pattern").agg(F.countDistinct("value").alias("behind")), "pii-behind")
     known = edges.where("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
     trusted, before, kept = known, 0, []
-    for _ in range(max(rounds, 1)):
+    for _ in itertools.count() if rounds is None else range(max(rounds, 1)):
         support = edges.join(trusted, ["kind", "value"]).groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")).where(F.col("n") >= least_seeds)
         pattern = support.join(behind, "pattern").select("kind", "pattern", (F.col("s") / (F.col("behind") + 1)).alias("p")).where(F.col("p") >= least_pattern)
         pattern = saved(pattern, "pii-patterns")
         chance = 1 - F.exp(F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999)))))
         instance = edges.where("not seed").join(pattern, ["kind", "pattern"]).groupBy("kind", "value").agg(chance.alias("score")).where(F.col("score") >= trust)
         instance = saved(instance, "pii-instances")
-        kept += [pattern, instance]
+        for t in kept:
+            drop(t)
+        kept = [pattern, instance]
         now = instance.count()
         trusted = known.unionByName(instance.join(known, ["kind", "value"], "left_anti"))
         if now == before:

@@ -217,6 +217,20 @@ def test_pii_bootstrap(spark):
     assert got[300] == [("phone", 4, 16)] and got[301] == got[302] == got[303] == got[304] == []
 
 
+def test_pii_long_chain(spark):
+    """Each word leads to numbers that also stand behind the next word: seven rounds are needed and taken."""
+    around = lambda step, value: [f"{w}{'klmnopqr'[step]} {value} {w}{'klmnopqr'[step]}" for w in ("west", "east")]
+    texts = [t for i in range(30) for t in around(0, f"+44 20 7946 {1000 + i}")]
+    texts += [t for step in range(7) for i in range(6) for side in (0, 1) for t in around(step + side, f"555-{200 + step}-{2000 + i}")]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal_data(table).where("size(spans) = 1").count()
+    assert found == len(rows)
+    spans = pii.matches(table, "text", ("doc_id",))[1]
+    spans = spans.withColumn("ok", pii.valid(spans.kind, spans.value))
+    assert pii.discover(spans, rounds=5).count() < len(rows) - 60
+
+
 def test_redaction(edge):
     out = pii.redact(edge)
     assert out.columns == edge.columns and out.count() == edge.count()
@@ -328,6 +342,28 @@ def test_lm_is_better_than_base(more_docs):
     assert a > b
 
 
+def test_packing_hostile(edge, tmp_path):
+    """Every row of the hostile table, and files with other pre-tokenizers, against the tokenizer."""
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    path = Path(packing.tokenizer_path())
+    other = tmp_path / "prefix.json"
+    file = json.loads(path.read_text(encoding="utf-8"))
+    file["pre_tokenizer"]["add_prefix_space"] = True
+    other.write_text(json.dumps(file), encoding="utf-8")
+    rows = [(i, r.text) for i, r in enumerate(edge.collect())]
+    table = edge.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    for file in (path, other, path.with_name("word_bpe_49k.json")):
+        tok, got = Tokenizer.from_file(str(file)), defaultdict(list)
+        for r in sorted(packing.tokenize_pieces(table, str(file), with_ids=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+            got[r.doc_id] += r.ids
+        for i, text in rows:
+            assert got[i] == [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_packing(table):
     import json
 
@@ -437,6 +473,20 @@ def test_mixing(table):
         assert abs(taken[s] - t) <= largest[s] + 1
 
 
+def test_mixing_copies(spark):
+    """600 copies of one row beside another source: as many copies are taken as the budget allows."""
+    rows = [(7, "a", " ".join(["w"] * 10))] * 600 + [(i, "b", " ".join(["v"] * 10)) for i in range(600)] + [(1, None, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    want = {"a": 4000, "b": 8000, None: 0}
+    got = defaultdict(int)
+    for r in mixing.mix_sources(table, keep=("source",)).collect():
+        assert r.taken in {"a": (0, 10), "b": (10, 20), None: (0,)}[r.source]
+        got[r.source] += r.taken
+    assert got == want
+    mixed = {r.source: r["count"] for r in mixing.mixed_documents(table).groupBy("source").count().collect()}
+    assert mixed == {"a": 400, "b": 800, None: 3}
+
+
 def test_mixed_documents(edge):
     out = mixing.mixed_documents(edge)
     assert out.columns == edge.columns
