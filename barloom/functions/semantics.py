@@ -6,6 +6,8 @@ is null or NaN (``ne`` is true for NaN); a quotient by (nearly) zero is 0; AND a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +81,19 @@ def div(a, b) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(F.abs(b) < EPS, 0.0).otherwise(F.try_divide(a, b))
 
 
+def ieee_div(a, b) -> Column:
+    """a / b where zero has reciprocals: infinity by the sign of a, NaN for 0 / 0; null if a side is null."""
+    a, b = num(a), num(b)
+    by_zero = F.when(a > 0, F.lit(math.inf)).when(a < 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
+    return F.when(a.isNotNull() & (b == 0), F.when(F.isnan(a), a).otherwise(by_zero)).otherwise(F.try_divide(a, b))
+
+
+def ieee_log(x) -> Column:
+    """Natural logarithm: minus infinity at 0 and NaN below, where Spark's is null; null stays."""
+    x = num(x)
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.log(x))
+
+
 def larger(a, b) -> Column:
     """MAX: null if a side is null; NaN gives way to a number."""
     a, b = num(a), num(b)

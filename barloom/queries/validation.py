@@ -198,7 +198,7 @@ def b25_all_kernels(spark, d):
     """48 kernels: means before and after a chronological split with a gap of one day, and the paired difference to raw."""
     scores = event_scores(spark, d)
     axis = scores.select("day").distinct().withColumn("day_no", F.row_number().over(Window.orderBy("day")))  # one row per day
-    ahead = scores.join(axis, "day").select("code", "day_no", (100 * F.log(F.lead("score").over(Window.partitionBy("code").orderBy("day")) / F.col("score"))).alias("ahead"))
+    ahead = scores.join(axis, "day").select("code", "day_no", (100 * m.ieee_log(m.ieee_div(F.lead("score").over(Window.partitionBy("code").orderBy("day")), F.col("score")))).alias("ahead"))
     best = va.kernel_tops(scores, va.kernel_grid(), "code", "day", "score", 5).join(ahead.where("ahead is not null"), ["code", "day_no"])
     t = best.groupBy("kernel", "day_no").agg(F.avg("ahead").alias("m"))
     raw = F.max(F.when(F.col("kernel") == "raw", F.col("m"))).over(Window.partitionBy("day_no"))
