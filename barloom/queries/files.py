@@ -140,7 +140,8 @@ def minute_answers(spark, d):
     e = e.withColumns({"no": F.row_number().over(w), "cents": cents, "total": F.sum(cents).over(w), "lot": F.when(F.col("user_id") % 3 == 0, 1).otherwise(100)})
     minute = 570 + F.col("no")
     time = F.concat(F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lpad((minute % 60).cast("string"), 2, "0"))
-    row = F.concat_ws(" ", time, F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100), (F.col("no") * F.lit(100) / F.col("lot")).cast("long").cast("string"), F.when((F.col("user_id") % 10 == 3) & (F.col("no") == 2), F.lit("0")).when((F.col("user_id") % 10 == 4) & (F.col("no") == 1), F.lit(None).cast("string")).otherwise(F.col("total").cast("string")))
+    falls = (F.col("user_id") % 10 == 3) & (F.col("no") == 2)  # both totals, as the first amount may be 0
+    row = F.concat_ws(" ", time, F.format_string("%d.%02d", F.floor(F.col("cents") / 100), F.col("cents") % 100), F.when(falls, F.lit("0")).otherwise((F.col("no") * F.lit(100) / F.col("lot")).cast("long").cast("string")), F.when(falls, F.lit("0")).when((F.col("user_id") % 10 == 4) & (F.col("no") == 1), F.lit(None).cast("string")).otherwise(F.col("total").cast("string")))
     g = e.groupBy("user_id", "date").agg(F.sort_array(F.collect_list(F.struct("no", row.alias("row"))))["row"].alias("rows"))
     k = F.col("user_id") % 10
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"))

@@ -19,6 +19,11 @@ def _previous(points: Column, i: Column, name: str) -> Column:
     return F.when(i == 0, 0.0).otherwise(F.get(points, i - 1)[name])
 
 
+def _once(value: Column, name: str) -> Column:
+    """A column that is made once a row; as a plain one its expression would be copied to each place that uses it."""
+    return F.explode(F.array(value)).alias(name)
+
+
 def minute_series(raw: DataFrame, key: str, text: str) -> DataFrame:
     """Points of every answer: key, date, no (from 0), time, price, vol, amount, average_price, and error.
 
@@ -37,7 +42,7 @@ def minute_series(raw: DataFrame, key: str, text: str) -> DataFrame:
     point = lambda r: F.struct(
         F.when(fields(r)[0].rlike("^([01][0-9]|2[0-3])[0-5][0-9]$"), F.concat(F.substring(fields(r)[0], 1, 2), F.lit(":"), F.substring(fields(r)[0], 3, 2))).alias("time"),
         F.size(fields(r)).alias("fields"), _number(F.get(fields(r), F.lit(1))).alias("price"), _number(F.get(fields(r), F.lit(2))).alias("vol"), _number(F.get(fields(r), F.lit(3))).alias("amount"))
-    p = p.withColumn("_p", F.transform("_rows", point)).withColumn("_day", F.when(F.col("_date").rlike("^[0-9]{8}$"), F.try_to_date(F.col("_date"), "yyyyMMdd")))
+    p = p.select("_key", "_j", "_absent", F.when(F.col("_date").rlike("^[0-9]{8}$"), F.try_to_date(F.col("_date"), "yyyyMMdd")).alias("_day"), _once(F.transform("_rows", point), "_p"))
     points = F.col("_p")
     fell = F.exists(F.transform(points, lambda x, i: (x["vol"] < _previous(points, i, "vol")) | (x["amount"] < _previous(points, i, "amount"))), lambda b: F.coalesce(b, F.lit(False)))
     error = (
@@ -48,14 +53,15 @@ def minute_series(raw: DataFrame, key: str, text: str) -> DataFrame:
         .when(F.exists(points, lambda x: x["time"].isNull()), "bad time")
         .when(F.exists(points, lambda x: x["price"].isNull() | x["vol"].isNull() | x["amount"].isNull()), "bad number")
         .when(fell, "total falls"))
-    p = p.withColumn("error", error)
+    p = p.select("_key", "_day", "_p", _once(error, "error"))
     first = F.get(F.filter(points, lambda x: x["vol"] > 0), F.lit(0))
-    off = lambda unit: F.abs(first["amount"] / (first["vol"] * unit) - first["price"]) / first["price"]
+    # null at a price of 0, where the price can't tell
+    off = lambda unit: F.try_divide(F.abs(F.try_divide(first["amount"], first["vol"] * unit) - first["price"]), first["price"])
     known = (first["price"] > 0) & (first["amount"] > 0)
     unit = F.when(known & (off(100.0) > MOST_DEVIATION) & (off(1.0) < off(100.0)), 1.0).otherwise(100.0)
     made = F.transform(points, lambda x, i: F.struct(
         i.alias("no"), x["time"].alias("time"), x["price"].alias("price"), (x["vol"] - _previous(points, i, "vol")).alias("vol"), (x["amount"] - _previous(points, i, "amount")).alias("amount"),
         F.when(x["vol"] > 0, x["amount"] / (x["vol"] * F.col("_unit"))).alias("average_price")))
-    out = p.withColumn("_unit", unit).withColumn("_made", F.when(F.col("error").isNull(), made).otherwise(F.array(F.lit(None).cast("struct<no:int,time:string,price:double,vol:double,amount:double,average_price:double>"))))
+    out = p.select("*", _once(unit, "_unit")).withColumn("_made", F.when(F.col("error").isNull(), made).otherwise(F.array(F.lit(None).cast("struct<no:int,time:string,price:double,vol:double,amount:double,average_price:double>"))))
     out = out.select(F.col("_key").alias(key), F.when(F.col("error").isNull(), F.col("_day")).alias("date"), F.explode("_made").alias("_m"), "error")
     return out.select(key, "date", "_m.*", "error")

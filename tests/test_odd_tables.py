@@ -35,3 +35,9 @@ def test_kernels_over_scores_of_0(spark, tmp_path):
     rows = [(1 + u * 40 + d, START + dt.timedelta(days=d), u, 0.0 if (u, d) in ((2, 5), (3, 7), (3, 8)) else 10.0 + (u * 7 + d * d) % 11) for u in range(7) for d in range(20)]
     out = same_as_sql(spark, tmp_path, "b25_all_kernels", rows)
     assert any("inf" in r or "nan" in r for r in out)
+
+
+def test_minutes_of_price_0(spark, tmp_path):
+    at = lambda k: START + dt.timedelta(minutes=k)
+    rows = [(i, at(i), u, v) for i, (u, v) in enumerate([(6, 0.0), (6, 3.5), (7, 0.0), (9, 2.0), (9, 0.0), (13, 0.0), (13, 4.0)], 1)]
+    assert len(same_as_sql(spark, tmp_path, "s13_minutes", rows)) == 6
