@@ -342,7 +342,7 @@ _SPEED = "min(value) OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGIN
 
 @query(f"SELECT event_id, user_id, CASE WHEN {_SPEED} > 0 THEN round((value / {_SPEED} - 1) * 100, 6) END AS speed FROM events")
 def m09_speed(spark, d):
-    e = read(spark, d, "events").withColumn("s", F.unix_timestamp("ts"))
+    e = read(spark, d, "events").withColumn("s", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))  # nearest second
     low = F.min("value").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0))
     return e.select("event_id", "user_id", F.when(low > 0, F.round((F.col("value") / low - 1) * 100, 6)).alias("speed"))
 

@@ -41,3 +41,9 @@ def test_minutes_of_price_0(spark, tmp_path):
     at = lambda k: START + dt.timedelta(minutes=k)
     rows = [(i, at(i), u, v) for i, (u, v) in enumerate([(6, 0.0), (6, 3.5), (7, 0.0), (9, 2.0), (9, 0.0), (13, 0.0), (13, 4.0)], 1)]
     assert len(same_as_sql(spark, tmp_path, "s13_minutes", rows)) == 6
+
+
+def test_speed_by_nearest_second(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    rows = [(1, at(0.4), 1, 5.0), (2, at(86400.6), 1, 10.0), (3, at(0.6), 2, 5.0), (4, at(86401.4), 2, 10.0), (5, at(0.5), 3, 5.0), (6, at(86400.5), 3, 10.0)]
+    assert len(same_as_sql(spark, tmp_path, "m09_speed", rows)) == 6
