@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.semantics import ieee_log
+
 EPS = 1e-12
 
 
@@ -106,5 +108,6 @@ def kernel_tops(scores: DataFrame, grid: list[tuple[str, list[float]]], key: str
 
 
 def net_value(days: DataFrame, day: str, value: str) -> Column:
-    """Product of 1 + value up to each day."""
-    return F.exp(F.sum(F.log1p(value)).over(Window.partitionBy(F.lit(0)).orderBy(day)))
+    """Product of 1 + value up to each day; 0 from a value of -1 on, NaN from one below."""
+    log = F.when(F.col(value) > -1, F.log1p(value)).otherwise(ieee_log(1 + F.col(value)))
+    return F.exp(F.sum(log).over(Window.partitionBy(F.lit(0)).orderBy(day)))

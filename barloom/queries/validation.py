@@ -223,10 +223,10 @@ def b30_feature_lift(spark, d):
 
 @query(f"{_DAILY}, ix AS (SELECT day, avg(pct) / 100 AS i FROM bars WHERE pct IS NOT NULL GROUP BY day), j AS (SELECT ix.day, i, coalesce(r, 0) AS r FROM ix LEFT JOIN dr ON dr.day = ix.day) SELECT day, round(ln(exp(sum(ln(1 + r)) OVER (ORDER BY day))), 5) AS log_nav, round(ln(exp(sum(ln(1 + i)) OVER (ORDER BY day))), 5) AS log_index FROM j")
 def q09_relative_nav(spark, d):
-    """Values of the basket and of the index on the index's days; days without a position return 0."""
+    """Values of the basket and of the index on the index's days; days without a position return 0. A value of 0 has minus infinity."""
     index = supplier_bars(spark, d).where("pct is not null").groupBy("day").agg((F.avg("pct") / 100).alias("i"))
     j = index.join(daily_returns(spark, d).select("day", "r"), "day", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    return j.select("day", F.round(F.log(va.net_value(j, "day", "r")), 5).alias("log_nav"), F.round(F.log(va.net_value(j, "day", "i")), 5).alias("log_index"))
+    return j.select("day", F.round(m.ieee_log(va.net_value(j, "day", "r")), 5).alias("log_nav"), F.round(m.ieee_log(va.net_value(j, "day", "i")), 5).alias("log_index"))
 
 
 @query(f"WITH {BARS}, {STOCKS}, n AS (SELECT code, count(*) AS n FROM (SELECT code, lag(close, 2) OVER (PARTITION BY code ORDER BY day) AS c3, close FROM bars) WHERE c3 > 0 AND close > c3 GROUP BY code) SELECT industry, CAST(sum(n) AS BIGINT) AS rises, count(*) AS members FROM n JOIN stocks ON n.code = stocks.code GROUP BY industry")

@@ -47,3 +47,12 @@ def test_speed_by_nearest_second(spark, tmp_path):
     at = lambda s: START + dt.timedelta(seconds=s)
     rows = [(1, at(0.4), 1, 5.0), (2, at(86400.6), 1, 10.0), (3, at(0.6), 2, 5.0), (4, at(86401.4), 2, 10.0), (5, at(0.5), 3, 5.0), (6, at(86400.5), 3, 10.0)]
     assert len(same_as_sql(spark, tmp_path, "m09_speed", rows)) == 6
+
+
+def test_log_of_value_at_0(spark, values, want):
+    days = spark.createDataFrame([*enumerate(values)], "day int, r double")
+    got = [r.v for r in days.select("day", m.ieee_log(va.net_value(days, "day", "r")).alias("v")).orderBy("day").collect()]
+    if want is None:
+        assert got[-1] == -math.inf and math.isfinite(got[0])
+    else:
+        assert all(a == b or abs(a - b) < 1e-12 or (math.isnan(a) and math.isnan(b)) for a, b in zip(got, want, strict=True))
