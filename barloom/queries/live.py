@@ -14,7 +14,7 @@ from barloom.queries.scoring import K3, event_scores
 from barloom.queries.scoring import ORACLE as SCORING_SQL
 from barloom.sources.fixtures import BARS, STOCKS, read, stocks, supplier_bars
 from barloom.sources.runs import compare_runs, save_run
-from barloom.sources.store import Store, kept, scratch
+from barloom.sources.store import BUCKETS, Store, kept, scratch
 from barloom.streaming import live as lv
 from barloom.streaming import snapshots as st
 
@@ -143,8 +143,8 @@ def m06_ingest(spark, d):
     bars = kept(supplier_bars(spark, d).select("code", "day", "close", "pre_close"), "bars")
     halved = kept(bars.select("code", "day", *[F.when(F.col("code") % 4 == 0, F.col(c) / 2).otherwise(F.col(c)).alias(c) for c in ("close", "pre_close")]), "halved")
     end = "1997-12-31"
-    table = Store(spark, scratch(spark, "daily"), "code").create(bars.where(F.col("day") <= end))
-    failed = Store(spark, scratch(spark, "failed"), "code").create(spark.createDataFrame([], "code long, error string"))
+    table = Store(spark, scratch(spark, "daily"), "code", BUCKETS).create(bars.where(F.col("day") <= end))
+    failed = Store(spark, scratch(spark, "failed"), "code", BUCKETS).create(spark.createDataFrame([], "code long, error string"))
     cuts = [end, "1998-03-31", "1998-06-30", "2100-01-01"]
     stream = lv.file_stream(spark, [halved.where((F.col("day") > a) & (F.col("day") <= b)) for a, b in zip(cuts, cuts[1:], strict=False)], scratch(spark, "pending"))
     load = lambda keys: halved.join(keys, "code", "left_semi").withColumn("error", F.when(F.col("code") % 8 == 0, F.lit("not found")))

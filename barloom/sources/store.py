@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Buckets of a table that is split by a key; writing deals large ones to several tasks and files.
+BUCKETS = 32
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; on a local master a temporary one where that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -35,13 +39,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 class Store:
     """A table in the folder ``path``, split by the values of the column ``by``; one writer at a time.
 
-    Null is a value of ``by`` like any other. A second writer is noticed when it commits and raises RuntimeError. Folders
+    A column with many values, such as an entity's key, needs ``buckets``: the table is then split by that many buckets of
+    a hash of the values, so that its folders don't grow in number with them, and changes of some values write their
+    buckets again. Null is a value of ``by`` like any other. A second writer is noticed when it commits and raises RuntimeError. Folders
     of earlier states stay, for readers that still use them, until ``vacuum``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, by: str):
-        self.spark, self.path, self.by = spark, path, by
-        self.code = F.coalesce(F.hex(F.col(by).cast("string")), F.lit("null"))
+    def __init__(self, spark: SparkSession, path: str, by: str, buckets: int | None = None):
+        self.spark, self.path, self.by, self.buckets = spark, path, by, buckets
+        value = F.col(by).cast("string")
+        self.code = F.pmod(F.xxhash64(value), F.lit(buckets)).cast("string") if buckets else F.coalesce(F.hex(value), F.lit("null"))
 
     def _fs(self):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -116,7 +123,14 @@ class Store:
 
     def replace_partitions(self, new: DataFrame) -> None:
         """Values of ``by`` that ``new`` has are replaced; doing it again changes nothing."""
-        self._swap(self._text(), new, self._codes(new))
+        text, codes = self._text(), self._codes(new)
+        rest = self._without(text, codes, new) if self.buckets else None
+        self._swap(text, new if rest is None else rest.unionByName(new.select(*rest.columns)), codes)
+
+    def _without(self, text: str, codes: set[str], keys: DataFrame) -> DataFrame:
+        """The rows of these buckets whose value ``keys`` lacks."""
+        gone = keys.select(F.col(self.by).alias("_gone")).distinct()
+        return self._load(text, codes).join(gone, F.col(self.by).eqNullSafe(F.col("_gone")), "left_anti")
 
     def replace_range(self, new: DataFrame, column: str, low, high) -> None:
         """Rows with ``column`` from ``low`` to ``high`` go and ``new`` comes, in one step; rows with a null stay.
@@ -155,15 +169,17 @@ class Store:
         self._swap(text, new, set(json.loads(text)["parts"]))
 
     def remove(self, keys: DataFrame) -> None:
-        """All rows of the values of ``by`` that ``keys`` has go; nothing is written but the state."""
+        """All rows of the values of ``by`` that ``keys`` has go; without buckets nothing is written but the state."""
         text, codes = self._text(), self._codes(keys)
+        if self.buckets:
+            return self._swap(text, self._without(text, codes, keys), codes)
         state = json.loads(text)
         self._commit(text, StructType.fromJson(json.loads(state["schema"])), {c: f for c, f in state["parts"].items() if c not in codes})
 
     def with_columns(self, add: dict[str, Column] | None = None, remove: tuple[str, ...] = ()) -> Store:
         """The table again in a new folder with columns added and removed."""
         df = self.read().withColumns(add or {}).drop(*remove)
-        return Store(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.by).create(df)
+        return Store(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.by, self.buckets).create(df)
 
     def vacuum(self) -> int:
         """Delete folders that the table no longer consists of; how many there were. No reader may still use them."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,17 @@ def test_empty_table(spark):
     store.append(table(spark, (1, 1, 1.0)))
     store.replace_partitions(table(spark))
     assert rows(store) == [(1, 1, 1.0)]
+
+
+def test_buckets(spark):
+    """Folders don't grow in number with the keys, and changes of some keys leave the others of their bucket."""
+    store = Store(spark, scratch(spark, "b"), "code", 2).create(spark.range(500).select(F.col("id").alias("code"), F.lit(1).alias("day"), F.lit(0.5).alias("v")).unionByName(table(spark, (None, 1, 5.0))))
+    assert len(json.loads(store._text())["parts"]) == 2
+    store.replace_partitions(table(spark, (7, 1, 7.0), (7, 2, 8.0), (None, 3, 6.0)))
+    store.upsert_range(table(spark, (7, 2, 9.0), (9, 5, 1.0), (600, 1, 1.0)), "day")
+    store.remove(table(spark, (8, 0, 0.0), (600, 0, 0.0)))
+    store.append(table(spark, (8, 3, 3.0)))
+    want = [(c, 1, 0.5) for c in range(500) if c not in (7, 8)] + [(7, 1, 7.0), (7, 2, 9.0), (9, 5, 1.0), (None, 3, 6.0), (8, 3, 3.0)]
+    assert rows(store) == sorted(want, key=str)
+    store.remove(table(spark, (None, 0, 0.0)))
+    assert rows(store) == sorted([r for r in want if r[0] is not None], key=str)
