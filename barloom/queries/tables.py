@@ -9,7 +9,7 @@ from barloom.operators import scoring as sc
 from barloom.queries.market import RANKED, ranked
 from barloom.queries.scoring import _RULES, total_panel
 from barloom.sources.fixtures import BARS, read, supplier_bars
-from barloom.sources.store import Store, scratch
+from barloom.sources.store import BUCKETS, Store, scratch
 from barloom.streaming import snapshots as st
 
 QUERIES: dict = {}
@@ -31,7 +31,7 @@ def _bars(spark, d):
 
 @query(f"WITH {BARS}, n AS (SELECT code, day, volume + 1 AS volume FROM bars WHERE code % 3 = 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'), s AS (SELECT code, min(day) AS a, max(day) AS b FROM n GROUP BY code) SELECT bars.code, day, volume FROM bars LEFT JOIN s ON s.code = bars.code WHERE s.code IS NULL OR day NOT BETWEEN a AND b UNION ALL SELECT * FROM n")
 def k01_upsert(spark, d):
-    store = Store(spark, scratch(spark, "bars"), "code").create(_bars(spark, d).select("day", "volume", "code"))
+    store = Store(spark, scratch(spark, "bars"), "code", BUCKETS).create(_bars(spark, d).select("day", "volume", "code"))
     new = _bars(spark, d).where("code % 3 = 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'").withColumn("volume", F.col("volume") + 1)
     store.upsert_range(new, "day")
     return store.read().select(F.col("code").cast("long").alias("code"), "day", "volume")
