@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +17,41 @@ def window_similarity(events: DataFrame, target: DataFrame, days: int, rows: int
     (most_gap + 1 - gap) / (most_gap + 1). Similarity is 200 times the sum of these over the events of both, the
     entity's own being all of its events in the window, whatever their rule.
 
-    What lies near a place is found once per entity and rule, then slid by each offset of the target; no window is joined
-    with events. ``events`` should not hold the target entity.
+    ``target`` goes to every task, at most ``rows`` days of it. An entity's days are arrays of ``days`` places, in which the
+    nearest event of a rule is looked up for all starts at once; nothing is joined. ``events`` should not hold the target entity.
     """
-    near = F.explode(F.sequence(F.lit(-most_gap), F.lit(most_gap)))
-    wanted = target.groupBy(F.col(rule).alias("_rule"), F.col("offset").cast("int").alias("_o")).agg(F.count(F.lit(1)).alias("_times"))
-    rules = wanted.select("_rule").distinct()
-    places = events.join(rules, F.col(rule) == F.col("_rule"), "left_semi").select(key, F.col(rule).alias("_r"), F.col(at).alias("_x"), near.alias("_delta"))
-    places = places.groupBy(key, "_r", (F.col("_x") - F.col("_delta")).alias("_y")).agg(F.collect_set("_delta").alias("_deltas"))
-    # an event delta days after s + offset lies in the window if 0 <= offset + delta < rows
-    inside = F.filter("_deltas", lambda d: (F.col("_o") + d >= 0) & (F.col("_o") + d < rows))
-    met = places.join(wanted, F.col("_r") == F.col("_rule")).select(key, (F.col("_y") - F.col("_o")).alias("start"), F.array_min(F.transform(inside, lambda d: F.abs(d))).alias("_gap"), "_times")
-    met = met.where(F.col("_gap").isNotNull() & F.col("start").between(0, days - rows))
-    windows = met.groupBy(key, "start").agg(F.sum("_times").alias("matched"), F.sum(F.col("_gap") * F.col("_times")).alias("gap_sum"), F.sum((most_gap + 1 - F.col("_gap")) * F.col("_times")).alias("_points"))
-    # the entity's own events of each window, by a range over events and starts together
-    both = windows.select(key, F.col("start").alias("_at"), "start", "matched", "gap_sum", "_points").unionByName(events.select(key, F.col(at).alias("_at")), allowMissingColumns=True)
-    ahead = Window.partitionBy(key).orderBy("_at").rangeBetween(0, rows - 1)
-    both = both.withColumn("own", F.count_if(F.col("start").isNull()).over(ahead)).where("start is not null")
-    size = target.agg(F.count(F.lit(1)).alias("_wanted"))  # one row
-    similarity = 200.0 * F.col("_points") / (most_gap + 1) / (F.col("own") + F.col("_wanted"))
-    return both.crossJoin(F.broadcast(size)).select(key, "start", "matched", "gap_sum", "own", similarity.alias("similarity"))
+    wanted = [tuple(r) for r in target.groupBy(rule, F.col("offset").cast("int").alias("o")).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most rows x rules
+    size, starts, kind = sum(n for _, _, n in wanted), days - rows + 1, events.schema[key].dataType.simpleString()
+
+    def one(own_rows: pd.DataFrame) -> pd.DataFrame:
+        place = own_rows[at].to_numpy(np.int64)
+        name = own_rows[rule].to_numpy()
+        matched, gap_sum = np.zeros(starts, np.int64), np.zeros(starts, np.int64)
+        held = {}
+        for r, o, n in wanted:
+            if r not in held:
+                held[r] = np.zeros(days + 2 * most_gap, bool)
+                held[r][place[name == r] + most_gap] = True
+            gap = np.full(starts, most_gap + 1, np.int64)
+            # an event delta days after s + offset lies in the window if 0 <= offset + delta < rows; nearer ones overwrite
+            for delta in sorted(range(-most_gap, most_gap + 1), key=abs, reverse=True):
+                if 0 <= o + delta < rows:
+                    first = o + delta + most_gap
+                    gap[held[r][first : first + starts]] = abs(delta)
+            met = gap <= most_gap
+            matched += n * met
+            gap_sum += np.where(met, n * gap, 0)
+        before = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=days))])
+        own = before[rows : rows + starts] - before[:starts]
+        some = np.flatnonzero(matched)
+        matched, gap_sum, own = matched[some], gap_sum[some], own[some]
+        points = (most_gap + 1) * matched - gap_sum
+        return pd.DataFrame({key: own_rows[key].iloc[0], "start": some.astype(np.int32), "matched": matched, "gap_sum": gap_sum, "own": own, "similarity": 200.0 * points / (most_gap + 1) / (own + size)})
+
+    schema = f"`{key}` {kind}, start int, matched long, gap_sum long, own long, similarity double"
+    if starts < 1 or not wanted:
+        return events.sparkSession.createDataFrame([], schema)
+    return events.select(key, at, rule).groupBy(key).applyInPandas(one, schema)
 
 
 def best_windows(windows: DataFrame, key: str) -> DataFrame:
