@@ -112,7 +112,7 @@ def b15_topk(spark, d):
 
 @query(f"WITH {_FW}, sl AS (SELECT st.day, scene, coalesce(scene_stage, 'other') AS state, avg(ahead) AS m, count(*) AS n FROM st JOIN u ON st.code = u.code AND st.day = u.day GROUP BY ALL) SELECT scene, state, count(*) AS days, CAST(sum(n) AS BIGINT) AS samples, round(avg(m), 5) AS mean FROM sl GROUP BY ALL")
 def b17_scene_layers(spark, d):
-    found = sc.scene_stages(sc.rule_details(universe(spark, d), "code", "day", "ahead"), SCENES, "code", "day", "ahead")
+    found = sc.scene_stages(universe(spark, d), SCENES, "code", "day", "ahead")
     s = found.groupBy("day", "scene", F.coalesce("scene_stage", F.lit("other")).alias("state")).agg(F.avg("ahead").alias("m"), F.count(F.lit(1)).alias("n"))
     return s.groupBy("scene", "state").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("samples"), F.round(F.avg("m"), 5).alias("mean"))
 

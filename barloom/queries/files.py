@@ -128,7 +128,7 @@ def s07_rule_file(spark, d):
 def s07_scene_file(spark, d):
     rules, scenes = rule_file(spark)
     scored = sc.score_panel(panel(spark, d), rules, ("code", "day"))
-    out = sc.scene_stages(sc.rule_details(scored, "code", "day"), scenes, "code", "day")
+    out = sc.scene_stages(scored, scenes, "code", "day")
     return out.select("code", "day", "scene", "stage_score", "risk_score", "scene_stage", *[F.round(c, 6).alias(c) for c in ("confirm_strength", "risk_intensity")])
 
 

@@ -79,7 +79,7 @@ _PLACE = "CASE coalesce(scene_stage, 'unknown') WHEN 'fail' THEN 0 WHEN 'trigger
 
 @query(f"WITH {_FW}, sr AS (SELECT scene, u.day, ahead, coalesce(scene_stage, 'unknown') AS state, {_PLACE} AS place FROM st JOIN u ON st.code = u.code AND st.day = u.day), sx AS (SELECT *, {_RR.format(by='scene, day', v='place')} AS rx, {_RR.format(by='scene, day', v='ahead')} AS ry FROM sr), ic AS (SELECT scene, day, count(*) AS n, CASE WHEN var_pop(rx) > 1e-12 AND var_pop(ry) > 1e-12 THEN corr(rx, ry) END AS ic FROM sx GROUP BY ALL HAVING count(*) >= 2), ms AS (SELECT scene, day, state, place, avg(ahead) AS m FROM sr GROUP BY ALL), sp AS (SELECT scene, day, CASE WHEN count(*) >= 2 THEN arg_max(m, (place, state)) - arg_min(m, (place, state)) END AS spread FROM ms GROUP BY ALL) SELECT ic.scene, ic.day, n, round(spread, 5) AS spread, round(ic, 6) AS ic FROM ic JOIN sp ON sp.scene = ic.scene AND sp.day = ic.day")
 def b17_scene_points(spark, d):
-    found = sc.scene_stages(sc.rule_details(universe(spark, d), "code", "day", "ahead"), SCENES, "code", "day", "ahead")
+    found = sc.scene_stages(universe(spark, d), SCENES, "code", "day", "ahead")
     return rounded(la.scene_points(found, "ahead", "day"), "scene", "day", "n", spread=5, ic=6)
 
 

@@ -99,7 +99,7 @@ def details(spark, sf_dir):
 
 def stages(spark, sf_dir):
     """Scene rows with the total of their scored row."""
-    return sc.scene_stages(sc.rule_details(total_panel(spark, sf_dir), "code", "day", "total"), SCENES, "code", "day", "total")
+    return sc.scene_stages(total_panel(spark, sf_dir), SCENES, "code", "day", "total")
 
 
 def r12_details(spark, sf_dir):

@@ -125,7 +125,7 @@ _STATE = "CASE scene_stage WHEN 'fail' THEN 0 WHEN 'trigger' THEN 2 WHEN 'confir
 @query(f"WITH {_FW}, s AS (SELECT st.day, scene, {_STATE} AS state, ahead FROM st JOIN u ON st.code = u.code AND st.day = u.day), e AS (SELECT day, scene, max(state) AS hi, min(state) AS lo FROM s GROUP BY ALL), sp AS (SELECT s.day, s.scene, CASE WHEN max(hi) > min(lo) THEN avg(ahead) FILTER (state = hi) - avg(ahead) FILTER (state = lo) END AS spread FROM s JOIN e ON s.day = e.day AND s.scene = e.scene GROUP BY ALL) SELECT scene, count(spread) AS days, round(avg(spread), 5) AS spread FROM sp GROUP BY scene")
 def b17_scene_spread(spark, d):
     """Mean ahead in a day's highest state less that in its lowest."""
-    found = sc.scene_stages(sc.rule_details(universe(spark, d), "code", "day", "ahead"), SCENES, "code", "day", "ahead")
+    found = sc.scene_stages(universe(spark, d), SCENES, "code", "day", "ahead")
     stage = F.col("scene_stage")
     s = found.withColumn("state", F.when(stage == "fail", 0).when(stage == "trigger", 2).when(stage == "confirm", 3).otherwise(1))
     by_state = s.groupBy("day", "scene", "state").agg(F.avg("ahead").alias("m"))

@@ -7,9 +7,22 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import scoring as sc
 from barloom.operators import sequence as sq
 
 
+def test_scenes_need_no_shuffle(spark):
+    """Two scenes of a day, one that isn't listed, and a day without details; no exchange, no aggregate."""
+    kind = "code int, day int, details array<struct<rule:string,scene:string,stage:string,score:double>>"
+    rows = [(1, 1, [("a", "up", "trigger", 2.0), ("b", "up", "fail", -5.0), ("c", "down", "trigger", -3.0)]), (1, 2, [("a", "up", "trigger", 2.0), ("x", "other", "base", 1.0)]), (2, 1, [])]
+    scenes = [sc.Scene("up", True, 1.0, 3.0, 6.0, 4.0), sc.Scene("down", False, 1.0, 2.0, 4.0, 3.0)]
+    out = sc.scene_stages(spark.createDataFrame(rows, kind), scenes, "code", "day")
+    got = sorted((r.code, r.day, r.scene, r.stage_score, r.risk_score, r.scene_stage) for r in out.collect())
+    assert got == [(1, 1, "down", -3.0, 0.0, "trigger"), (1, 1, "up", 2.0, -5.0, "fail"), (1, 2, "other", 1.0, 0.0, None), (1, 2, "up", 2.0, 0.0, "observe")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_windows_plain(spark, seed):
     rng = random.Random(seed)
