@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from barloom.functions.semantics import div
 
 
+#: Lines that one task groups, sorts and scores.
+TASK_ROWS = 300_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -27,7 +31,10 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sums of cents are exact, as those of decimals are, and stay in longs
     dec = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")) / 100
     # dealt by code first, so that the grouping and every window by code that follows need no further shuffle
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity", "l_discount").repartition("code")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity", "l_discount")
+    # a task's sorts hold its rows: more rows make more tasks, not larger ones, which merging small shuffle blocks would
+    tasks = lines.count() // TASK_ROWS
+    lines = lines.repartition(tasks, "code") if tasks > spark.sparkContext.defaultParallelism else lines.repartition("code")
     g = lines.groupBy("code", "day").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), dec("l_quantity").alias("volume"), dec("l_extendedprice").alias("amount"), (F.max("l_discount") * 100).alias("turnover"))
     g = g.withColumn("close", div(F.col("amount"), F.col("volume")))
     g = g.withColumn("pre_close", F.lag("close").over(Window.partitionBy("code").orderBy("day")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import scoring as sc
 from barloom.operators import sequence as sq
+from barloom.sources import fixtures as fx
 
 
 def test_scenes_need_no_shuffle(spark):
@@ -43,3 +44,12 @@ def test_windows_plain(spark, seed):
     assert {(r.code, r.start): (r.matched, r.gap_sum, r.own, round(r.similarity, 9)) for r in out.collect()} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.where(F.col("start") < 0).count() == 0
+
+
+def test_tasks_grow_with_the_lines(spark, small, monkeypatch):
+    """More lines than the tasks at hand should hold are dealt to more tasks, with the same bars."""
+    want = sorted(map(tuple, fx.supplier_bars(spark, small).collect()))
+    monkeypatch.setattr(fx, "TASK_ROWS", 200)
+    bars = fx.supplier_bars(spark, small)
+    assert bars.rdd.getNumPartitions() == fx.read(spark, small, "lineitem").count() // 200
+    assert sorted(map(tuple, bars.collect())) == want
