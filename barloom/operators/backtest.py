@@ -30,6 +30,21 @@ def forward(df: DataFrame, value: str, key: str, day: str, p: int) -> Column:
     return F.when(F.count(value).over(w) == p, F.sum(value).over(w))
 
 
+def ahead_of_residuals(panel: DataFrame, key: str, day: str, beta_market: float, beta_industry: float, p: int) -> DataFrame:
+    """``panel`` (pct, industry) with ``residual`` and ``ahead``, the sum of the entity's next ``p`` residuals; null where there are fewer.
+
+    Rows without pct have neither and aren't among the next ones. The means of days and industries are grouped and come back
+    as one row for each, so that a panel dealt by entity stays so and its rows are not shuffled.
+    """
+    own = panel.where("pct is not null").groupBy(F.col(day).alias("_day"), F.col("industry").alias("_industry")).agg(F.sum("pct").alias("_s"), F.count(F.lit(1)).alias("_k"))
+    every = Window.partitionBy("_day")
+    means = own.select("_day", "_industry", (beta_market * F.sum("_s").over(every) / F.sum("_k").over(every)).alias("_market"), (beta_industry * F.col("_s") / F.col("_k")).alias("_own"))
+    out = panel.join(F.broadcast(means), (F.col(day) == F.col("_day")) & F.col("industry").eqNullSafe(F.col("_industry")), "left")
+    out = out.withColumn("residual", F.col("pct") - F.col("_market") - F.col("_own")).drop(*means.columns)
+    w = Window.partitionBy(key, F.col("pct").isNotNull()).orderBy(day).rowsBetween(1, p)
+    return out.withColumn("ahead", F.when(F.col("pct").isNotNull() & (F.count("residual").over(w) == p), F.sum("residual").over(w)))
+
+
 def average_rank(value: Column, *by: str) -> Column:
     """Ranks within ``by``, ties averaged; equal means equal to nine digits."""
     v = F.round(value, 9)

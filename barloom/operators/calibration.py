@@ -49,6 +49,12 @@ def candidate_details(s: Series, hit: Column, candidates: list[Candidate], sign:
     return F.array_compact(F.array(*[F.when(x.triggered, F.struct(F.lit(n).alias("rule"), F.lit("").alias("scene"), F.lit("base").alias("stage"), x.score.cast("double").alias("score"))) for n, x in found]))
 
 
+def candidate_scores(s: Series, hit: Column, candidates: list[Candidate], sign: float) -> Column:
+    """The candidates' scores in their order, null where one doesn't trigger."""
+    found = [c.score(s, hit, sign) for c in candidates]
+    return F.array(*[F.when(x.triggered, x.score.cast("double")) for x in found])
+
+
 def to_half(x: Column) -> Column:
     return F.round(x * 2) / 2
 
@@ -56,7 +62,7 @@ def to_half(x: Column) -> Column:
 def calibrate(universe: DataFrame, candidates: list[Candidate], sign: float, ahead: str, key: str, day: str, least: int = 1, samples: int = 100, days: int = 20, z: float = 1.28, scale: float = 40.0) -> DataFrame:
     """A row per candidate: its samples, daily excess, conservative edge, stability, monotonicity, status and suggested points.
 
-    ``universe`` has a row per entity and day with ``details`` from ``candidate_details``. The edge is the mean daily excess,
+    ``universe`` has a row per entity and day with ``details`` from ``candidate_details`` or ``scores`` from ``candidate_scores``. The edge is the mean daily excess,
     in the direction ``sign``, less z standard errors; a candidate is insufficient under ``samples`` triggers or ``days``
     days, has no_edge where that isn't above 0, is unstable where one half of its days isn't, else reliable. Monotonicity
     is the share of score values, of those with 30 samples or more, whose mean return isn't below the one before. Points are
@@ -70,12 +76,18 @@ def calibrate(universe: DataFrame, candidates: list[Candidate], sign: float, ahe
     early = F.col("_no") <= F.floor(F.col("_of") / 2)
     daily = p.groupBy("rule").agg(F.count(F.lit(1)).alias("_n"), F.avg("mean").alias("residual_mean"), F.avg("excess").alias("excess_mean"), F.stddev_samp("excess").alias("daily_std"), F.avg(F.when(early, F.col("excess"))).alias("early_mean"), F.avg(F.when(~early, F.col("excess"))).alias("late_mean"))
     ic = mean_std_t(points, "ic", "rule").select("rule", F.col("mean").alias("ic_mean"), F.col("t").alias("ic_t"))
-    hits = sc.rule_details(universe.where(F.col(ahead).isNotNull()), key, day, ahead).withColumn("_m", F.abs("score")).where(F.col("_m") > TINY)
-    by_score = hits.groupBy("rule", "_m").agg(F.count(F.lit(1)).alias("n"), F.avg(ahead).alias("r"))
+    there = universe.where(F.col(ahead).isNotNull())
+    if "scores" in universe.columns:
+        hits = there.select(day, ahead, F.posexplode("scores").alias("_i", "score")).withColumn("rule", F.get(F.array(*map(F.lit, names)), F.col("_i")))
+    else:
+        hits = sc.rule_details(there, key, day, ahead)
+    hits = hits.withColumn("_m", F.abs("score")).where(F.col("_m") > TINY)
+    counted = kept(hits.groupBy("rule", day, "_m").agg(F.count(F.lit(1)).alias("n"), F.sum(ahead).alias("r")), "counted")  # hits are read once
+    by_score = counted.groupBy("rule", "_m").agg(F.sum("n").alias("n"), (F.sum("r") / F.sum("n")).alias("r"))
     before = F.lag("_v").over(Window.partitionBy("rule").orderBy("_m"))
     steps = by_score.where("n >= 30").withColumn("_v", F.col("r") * sign).withColumn("_b", before)
     mono = steps.groupBy("rule").agg(F.try_divide(F.count_if(F.col("_v") + TINY >= F.col("_b")), F.count("_b")).alias("monotonicity"))
-    seen = hits.groupBy("rule").agg(F.count(F.lit(1)).alias("samples"), F.countDistinct(day).alias("days"), F.avg("_m").alias("multiplier"))
+    seen = counted.groupBy("rule").agg(F.sum("n").alias("samples"), F.countDistinct(day).alias("days"), (F.sum(F.col("_m") * F.col("n")) / F.sum("n")).alias("multiplier"))
     g = universe.sparkSession.createDataFrame([(c.name, c.scope) for c in candidates], "rule string, scope string")
     for other in (daily, ic, mono, seen):
         g = g.join(other, "rule", "left")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barloom.operators.backtest import TINY, average_rank, daily_ic, mean_std_t, newey_west
 from barloom.operators.backtest import spread as half_spread
-from barloom.operators.scoring import rule_details
 from barloom.sources.store import kept
 
 #: Places of scene states in their order; states not listed, and none, count as observe.
@@ -20,56 +19,67 @@ NOISE = 1e-9
 def rule_points(universe: DataFrame, rules: list[str], ahead: str, key: str, day: str, least: int = 1) -> DataFrame:
     """A row per rule and day of at least ``least`` entities: n, hits, avg_score, mean, excess, spread and ic.
 
-    ``universe`` has a row per entity and day with ``details`` (the triggered rules); an entity that a rule doesn't list
-    scores 0 in it. These zeros are one block of ties that is counted and never made as rows: a day's return ranks and
-    running sums by entity are computed once for all rules, and what a rule needs of its zeros follows from them and from
-    its own hits. ``spread`` is the mean of the upper half less that of the lower half by (score, entity), ``ic`` the
+    ``universe`` has a row per entity and day with ``details`` (the triggered rules), or with ``scores``, one for each of ``rules``,
+    null where it isn't triggered; an entity that a rule doesn't list scores 0 in it. ``spread`` is the mean of the upper half less that of the lower half by (score, entity), ``ic`` the
     Spearman correlation of score and return; both are null where nothing varies. Scores are equal to nine digits.
     Rows without ``ahead`` don't count; a day without hits has null mean, excess, spread and ic.
+
+    Hits are summed by rule, day and score, never sorted or shuffled one by one; a day's zeros are what its sums lack. Ranks
+    follow from the sizes of these groups, and so do the halves but for the group in the middle, which they share: its
+    entities up to the middle are summed for all rules at once, over the day's entities in their order.
     """
-    every, line = Window.partitionBy(day), Window.partitionBy(day).orderBy(key)
-    u = universe.where(F.col(ahead).isNotNull()).select(key, day, "details", ahead)
-    u = u.withColumns({"_n": F.count(F.lit(1)).over(every), "_market": F.avg(ahead).over(every), "_all": F.sum(ahead).over(every), "_pos": F.row_number().over(line), "_cum": F.sum(ahead).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_ry": average_rank(F.col(ahead), day)})
-    u = kept(u.withColumn("_yy", F.sum(F.col("_ry") * F.col("_ry")).over(every)).where(F.col("_n") >= least), "universe")
-
-    w, v, n = Window.partitionBy("rule", day), F.col("_v"), F.col("_n")
-    other = v != 0
-    hits = rule_details(u, key, day, ahead, "_n", "_market", "_all", "_pos", "_ry", "_yy").withColumn("_v", F.round("score", 9))
-    hits = hits.withColumns({"_neg": F.count_if(v < 0).over(w), "_up": F.count_if(v > 0).over(w), "_hit": F.count(F.lit(1)).over(w), "_in": F.row_number().over(w.orderBy("_v", key)), "_rank": average_rank(v, "rule", day)})
-    # zeros before a hit's place in the day
-    hits = hits.withColumn("_q", F.col("_pos") - F.row_number().over(Window.partitionBy("rule", day, other).orderBy("_pos")))
-    neg, up, hit, half = F.col("_neg"), F.col("_up"), F.col("_hit"), F.floor(n / 2)
-    zeros = n - neg - up
-    low_zeros, high_zeros = F.greatest(F.lit(0), F.least(half - neg, zeros)), F.greatest(F.lit(0), F.least(half - up, zeros))
-    tie = neg + (zeros + 1) / 2
-    rank = F.when(v < 0, F.col("_rank")).when(v > 0, F.col("_rank") + n - hit).otherwise(tie)
-    take = lambda yes: F.coalesce(F.sum(F.when(yes, F.col(ahead))), F.lit(0.0))
-    one = lambda c: F.first(c)
-    g = hits.withColumns({"_rx": rank, "_m1": low_zeros, "_m2": zeros - high_zeros, "_tie": tie}).groupBy("rule", day).agg(
-        one("_hit").alias("hits"), one("_tie").alias("tie"), one("_all").alias("all"), one("_yy").alias("yy"), one("_n").alias("size"),
-        F.sum("score").alias("s"), F.avg(ahead).alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most"),
-        F.sum(F.col("_rx") * F.col("_rx")).alias("xx"), F.sum(F.col("_rx") * F.col("_ry")).alias("xy"), F.sum("_ry").alias("y"), take(other).alias("others"),
-        (one("_m1") + F.count_if(other & (F.col("_q") < F.col("_m1")))).alias("x1"), take(other & (F.col("_q") < F.col("_m1"))).alias("s1"),
-        (one("_m2") + F.count_if(other & (F.col("_q") < F.col("_m2")))).alias("x2"), take(other & (F.col("_q") < F.col("_m2"))).alias("s2"),
-        (take((v < 0) & (F.col("_in") <= half)) + take((v > 0) & (F.col("_in") - (hit - up) <= half - neg - zeros))).alias("low"),
-        (take((v > 0) & (hit - F.col("_in") < half)) + take((v < 0) & (neg - F.col("_in") < half - up - zeros))).alias("high"),
+    every = Window.partitionBy(day)
+    if "scores" in universe.columns:
+        scores = F.col("scores")
+    else:
+        mine = lambda r: F.filter("details", lambda d: d["rule"] == r)
+        scores = F.transform(F.array(*map(F.lit, rules)), lambda r: F.get(F.transform(mine(r), lambda d: F.coalesce(d["score"], F.lit(0.0))), F.lit(0)))
+    u = universe.where(F.col(ahead).isNotNull()).select(key, day, ahead, scores.alias("_s"))
+    u = u.withColumns({"_n": F.count(F.lit(1)).over(every), "_ry": average_rank(F.col(ahead), day)}).where(F.col("_n") >= least)
+    u = kept(u.withColumn("_v", F.transform("_s", lambda x: F.round(x, 9) + 0.0)), "universe")
+
+    n = F.col("_n")
+    days = u.groupBy(day).agg(F.first("_n").alias("_n"), F.avg(ahead).alias("_market"), F.sum(ahead).alias("_all"), F.sum(F.col("_ry") * F.col("_ry")).alias("yy"))
+    hits = u.select(day, ahead, "_ry", F.posexplode(F.arrays_zip("_s", "_v")).alias("_r", "_x")).select(day, ahead, "_ry", "_r", "_x._s", "_x._v").where("_v is not null")
+    g = hits.groupBy(day, "_r", "_v").agg(F.count(F.lit(1)).alias("c"), F.sum(ahead).alias("a"), F.sum("_ry").alias("y"), F.sum("_s").alias("s"))
+    part = lambda v, c, a, y, hits, s, h: F.struct(*[x.cast(t).alias(k) for k, t, x in zip(("v", "c", "a", "y", "hits", "s", "h"), ("double", "long", "double", "double", "long", "double", "double"), (v, c, a, y, hits, s, h), strict=True)])
+    zero, c, a, y = F.lit(0), F.col("c"), F.col("a"), F.col("y")
+    other = F.array(part(F.col("_v"), c, a, y, c, F.col("s"), a), part(zero, -c, -a, -y, zero, zero, zero))
+    parts = g.select(day, "_r", F.inline(F.when(F.col("_v") != 0, other).otherwise(F.array(part(zero, zero, zero, zero, c, F.col("s"), a)))))
+    whole = days.withColumn("_r", F.explode(F.array(*map(F.lit, range(len(rules)))))).select(day, "_r", F.inline(F.array(part(zero, n, F.col("_all"), n * (n + 1) / 2, zero, zero, zero))))
+    groups = whole.unionByName(parts).groupBy(day, "_r", "v").agg(*[F.sum(k).alias(k) for k in ("c", "a", "y", "hits", "s", "h")]).where("c > 0")
+    line, all_ = Window.partitionBy(day, "_r").orderBy("v"), Window.partitionBy(day, "_r")
+    groups = groups.withColumns({"_n": F.sum("c").over(all_), "_b": F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, 0)) - c})
+    half, before = F.floor(n / 2), F.col("_b")
+    rank, middle = before + (c + 1) / 2, (before <= half) & (half < before + c)
+    of = lambda yes, x: F.coalesce(F.sum(F.when(yes, x)), F.lit(0.0))
+    per = groups.groupBy(day, "_r").agg(
+        F.sum("hits").alias("hits"), F.sum("s").alias("s"), F.sum("h").alias("h"), F.sum(c * rank * rank).alias("xx"), F.sum(rank * y).alias("xy"), F.min("v").alias("least"), F.max("v").alias("most"),
+        of(before + c <= half, a).alias("low"), of(before > half, a).alias("high"), F.max(F.when(middle, F.col("v"))).alias("v"), F.max(F.when(middle, half - before)).alias("m"), F.max(F.when(middle, a)).alias("a"),
+    )
+    per = kept(per, "rules")
+
+    # the middle groups' entities up to the middle: a running count for each rule
+    cuts = per.groupBy(day).agg(F.array_sort(F.collect_list(F.struct("_r", "v", "m"))).alias("_cuts"))  # a row a day
+    limits = F.zip_with("_v", "_cuts", lambda v, at: F.when(F.coalesce(v, F.lit(0.0)) == at["v"], at["m"].cast("int")))
+    running = Window.partitionBy(day).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    seen = u.select(key, day, ahead, "_n", "_v").repartition(day).join(F.broadcast(cuts), day).select(key, day, ahead, (n % 2).alias("_odd"), limits.alias("_m"))
+    seen = seen.select(key, day, ahead, "_odd", *[F.get("_m", F.lit(i)).alias(f"_m{i}") for i in range(len(rules))])
+    seen = seen.select(day, ahead, "_odd", *[f"_m{i}" for i in range(len(rules))], *[F.count(f"_m{i}").over(running).alias(f"_c{i}") for i in range(len(rules))])
+    until = lambda i, more: of(F.col(f"_m{i}").isNotNull() & (F.col(f"_c{i}") <= F.col(f"_m{i}") + more), F.col(ahead))
+    sums = seen.groupBy(day).agg(F.array(*[F.struct(until(i, 0).alias("p1"), until(i, F.col("_odd")).alias("p2")) for i in range(len(rules))]).alias("_p"))
+    sums = sums.select(F.col(day).alias("_day"), F.posexplode("_p").alias("_rule", "_p")).select("_day", "_rule", "_p.*")
+
+    out = days.select(day, "_n", "_market", "yy").join(per, day).join(sums, (F.col(day) == F.col("_day")) & (F.col("_r") == F.col("_rule")))
+    hit, centre = F.col("hits") > 0, n * (n + 1) * (n + 1) / 4
+    spread = (F.col("high") + F.col("a") - F.col("p2") - F.col("low") - F.col("p1")) / half
+    xx, yy, xy = F.col("xx") - centre, F.col("yy") - centre, F.col("xy") - centre
+    ic = F.when(hit & (xx > TINY) & (yy > TINY), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), xy / F.sqrt(xx) / F.sqrt(yy))))
+    mean = F.when(hit, F.col("h") / F.col("hits"))
+    return out.select(
+        F.get(F.array(*map(F.lit, rules)), F.col("_r")).alias("rule"), day, n.alias("n"), "hits", (F.col("s") / n).alias("avg_score"), mean.alias("mean"), (mean - F.col("_market")).alias("excess"),
+        F.when(hit & (n >= 2) & (F.col("most") - F.col("least") >= TINY), spread).alias("spread"), ic.alias("ic"),
     )
-    until = lambda at: u.select(F.col(day).alias(f"_d{at}"), F.col("_pos").alias(f"_p{at}"), F.col("_cum").alias(f"c{at}"))
-    for at in (1, 2):
-        g = g.join(until(at), (F.col(day) == F.col(f"_d{at}")) & (F.col(f"x{at}") == F.col(f"_p{at}")), "left").drop(f"_d{at}", f"_p{at}")
-    n, half = F.col("size"), F.floor(F.col("size") / 2)
-    implicit = n > F.col("hits")
-    low = F.col("low") + F.coalesce("c1", F.lit(0.0)) - F.col("s1")
-    high = F.col("high") + F.col("all") - F.col("others") - (F.coalesce("c2", F.lit(0.0)) - F.col("s2"))
-    varies = F.greatest("most", F.when(implicit, 0.0)) - F.least("least", F.when(implicit, 0.0)) >= TINY
-    middle = n * (n + 1) * (n + 1) / 4
-    xx = F.col("xx") + (n - F.col("hits")) * F.col("tie") * F.col("tie") - middle
-    yy, xy = F.col("yy") - middle, F.col("xy") + F.col("tie") * (n * (n + 1) / 2 - F.col("y")) - middle
-    ic = F.when((xx > TINY) & (yy > TINY), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), xy / F.sqrt(xx) / F.sqrt(yy))))
-    found = g.select(F.col("rule").alias("_rule"), F.col(day).alias("_day"), "hits", "s", "mean", F.when((n >= 2) & varies, (high - low) / half).alias("spread"), ic.alias("ic"))
-    days = u.groupBy(day).agg(F.first("_n").alias("n"), F.first("_market").alias("_market")).withColumn("rule", F.explode(F.array(*map(F.lit, rules))))
-    out = days.join(found, (F.col("rule") == F.col("_rule")) & (F.col(day) == F.col("_day")), "left")
-    return out.select("rule", day, "n", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("avg_score"), "mean", (F.col("mean") - F.col("_market")).alias("excess"), "spread", "ic")
 
 
 def summary(points: DataFrame, by: str, day: str, lags: int | None = None) -> DataFrame:

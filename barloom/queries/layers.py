@@ -12,6 +12,7 @@ from barloom.queries.backtest import _FW, _IC, universe
 from barloom.queries.scoring import SCENES, S, panel, rules
 from barloom.queries.validation import _LC, _nw, b04_er_change
 from barloom.queries.validation import ORACLE as VALIDATION_SQL
+from barloom.sources.fixtures import stocks
 from barloom.sources.store import kept
 
 QUERIES: dict = {}
@@ -130,7 +131,8 @@ SELECT rule, samples, days, round(residual_mean, 5) AS residual_mean, round(exce
 @query(f"WITH {_CALIBRATION}")
 def b24_all_scopes(spark, d):
     """Sixteen scopes of one condition, with suggested points and the one to take."""
-    scopes = panel(spark, d).select("code", "day", ca.candidate_details(S, F.col("a"), ca.CANDIDATES, 1.0).alias("details"))
-    u = kept(universe(spark, d).select("code", "day", "ahead").join(scopes, ["code", "day"]), "scopes")
+    scopes = panel(spark, d).select("code", "day", "pct", ca.candidate_scores(S, F.col("a"), ca.CANDIDATES, 1.0).alias("scores"))
+    ahead = bt.ahead_of_residuals(scopes.join(stocks(spark, d).select("code", "industry"), "code"), "code", "day", 0.5, 0.2, 3)
+    u = kept(ahead.where("ahead is not null").select("code", "day", "ahead", "scores"), "scopes")
     out = ca.calibrate(u, ca.CANDIDATES, 1.0, "ahead", "code", "day", 2)
     return rounded(out, "rule", "samples", "days", "status", "best", "points", "total_points", residual_mean=5, excess_mean=5, daily_std=4, edge=5, early_mean=5, late_mean=5, ic_mean=5, ic_t=4, monotonicity=6, multiplier=6, calibration_score=6)

@@ -85,3 +85,35 @@ def test_decay_ladder(spark):
     out = la.decay_status(spark.createDataFrame(rows, "rule string, day int, avg_score double, excess double"), "rule", "day", (20,))
     found = {r.rule: r.status for r in out.collect()}
     assert found == {"fell": "significant_decay", "lost": "decay", "rose": "improving", "weak": "weak", "flat": "stable", "short": "insufficient"}
+
+
+def test_scores_stand_for_details(spark):
+    """Scores in the order of the rules give what the details give; hits are counted by groups of one score, no row is made for each."""
+    rng = random.Random(3)
+    rows = []
+    for day in range(20):
+        for code in range(rng.randrange(1, 9)):
+            scores = [rng.choice([None, 0.0, 1.0, -2.0]) for _ in range(2)]
+            rows.append((code, day, [(f"r{i + 1}", "s", "base", v) for i, v in enumerate(scores) if v is not None], scores, rng.choice([-1.0, 0.5, 2.0])))
+    table = spark.createDataFrame(rows, "code int, day int, details array<struct<rule:string,scene:string,stage:string,score:double>>, scores array<double>, ahead double")
+    made = [la.rule_points(table.drop(c), ["r1", "r2"], "ahead", "code", "day", 2) for c in ("scores", "details")]
+    a, b = (sorted(map(str, x.collect())) for x in made)
+    assert a == b
+    assert not any("Exchange" in x and "details" in x for x in made[0]._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+def test_residuals_need_no_shuffle_of_rows(spark):
+    """A panel dealt by entity stays so: between its rows and the next residuals nothing but the daily means is shuffled."""
+    from barloom.operators import backtest as bt
+
+    rows = [(c, d, None if (c + d) % 5 == 0 else float((c * 7 + d * 3) % 11), "x" if c < 3 else None) for c in range(6) for d in range(12)]
+    table = spark.createDataFrame(rows, "code int, day int, pct double, industry string").repartition(4, "code")
+    out = bt.ahead_of_residuals(table, "code", "day", 0.5, 0.2, 3)
+    got = {(r.code, r.day): r.ahead for r in out.collect()}
+    known = {(c, d): (p, i) for c, d, p, i in rows if p is not None}
+    res = {(c, d): p - 0.5 * mean(q for (_, e), (q, _) in known.items() if e == d) - 0.2 * mean(q for (_, e), (q, j) in known.items() if e == d and j == i) for (c, d), (p, i) in known.items()}
+    for c, d, p, _ in rows:
+        later = [res[c, e] for e in range(d + 1, 12) if (c, e) in res][:3]
+        assert close(got[c, d], sum(later) if p is not None and len(later) == 3 else None)
+    shuffles = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(code" in x]
+    assert len([x for x in shuffles if "REPARTITION" not in x]) == 0
