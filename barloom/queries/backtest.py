@@ -36,11 +36,10 @@ def residuals(spark, d):
 def universe(spark, d):
     """code, day, total, rank, details, industry, market_value and the residual of the next three rows.
 
-    One scored panel: ranks and residuals by day, then the next rows by code.
+    One scored panel: residuals and the next rows by code, then ranks by day where they are used.
     """
-    days = sc.rank_days(total_panel(spark, d).join(stocks(spark, d).drop("name"), "code"), "code", "day", "total", "j")
-    known = days.withColumn("residual", bt.residual_of("day", 0.5, 0.2)).where("pct is not null")
-    return known.withColumn("ahead", bt.forward(known, "residual", "code", "day", 3)).where("ahead is not null")
+    ahead = bt.ahead_of_residuals(total_panel(spark, d).join(stocks(spark, d).drop("name"), "code"), "code", "day", 0.5, 0.2, 3)
+    return sc.rank_days(ahead, "code", "day", "total", "j").where("ahead is not null")
 
 
 def rule_days(spark, d):
