@@ -48,8 +48,13 @@ def board_performance(bars: DataFrame, members: DataFrame, key: str, day: str, b
 
 
 def cosine_to_boards(bars: DataFrame, boards: DataFrame, members: DataFrame, key: str, day: str, board: str, least: int = 20) -> DataFrame:
-    """Per entity its most similar board: cosine of the daily series over at least ``least`` common days; ties by name."""
-    mine = members.join(bars.where("pct is not null").select(key, day, "pct"), key).join(boards, [day, board])
+    """Per entity its most similar board: cosine of the daily series over at least ``least`` common days; ties by name.
+
+    A row a day and board goes to every task, so that an entity's rows meet its boards where they are: bars dealt by ``key``
+    are neither shuffled nor sorted again once they are repeated for the boards.
+    """
+    at = F.broadcast(boards.select(F.col(day).alias("_day"), F.col(board).alias("_board"), "performance"))
+    mine = bars.where("pct is not null").select(key, day, "pct").join(members, key).join(at, (F.col(day) == F.col("_day")) & (F.col(board) == F.col("_board")))
     norms = F.sqrt(F.sum(F.col("pct") * F.col("pct"))) * F.sqrt(F.sum(F.col("performance") * F.col("performance")))
     g = mine.groupBy(key, board).agg(F.count(F.lit(1)).alias("days"), F.sum(F.col("pct") * F.col("performance")).alias("dot"), norms.alias("norms")).where((F.col("days") >= least) & (F.col("norms") > 0))
     g = g.withColumn("similarity", F.round(F.col("dot") / F.col("norms"), 6))

@@ -10,6 +10,7 @@ from barloom.operators import panel as op
 from barloom.operators import scoring as sc
 from barloom.queries.scoring import _RULES, details, stages, total_panel
 from barloom.sources.fixtures import BARS, CONCEPTS, STOCKS, concepts, read, stocks, supplier_bars
+from barloom.sources.store import kept
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -160,7 +161,7 @@ def a13_histogram(spark, d):
 
 @query(f"WITH {_BOARD}, gq AS (SELECT mem.code, mem.concept, count(*) AS days, round(sum(pct * performance) / (sqrt(sum(pct * pct)) * sqrt(sum(performance * performance))), 6) AS similarity FROM mem JOIN bars ON bars.code = mem.code AND pct IS NOT NULL JOIN bp ON bp.day = bars.day AND bp.concept = mem.concept GROUP BY ALL HAVING count(*) >= 20) SELECT code, concept, days, similarity FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY similarity DESC, concept) AS n FROM gq) WHERE n = 1")
 def a17_cosine(spark, d):
-    bars, mem = supplier_bars(spark, d), members(spark, d)
+    bars, mem = supplier_bars(spark, d), kept(members(spark, d), "members")
     return op.cosine_to_boards(bars, op.board_performance(bars, mem, "code", "day", "concept"), mem.select("code", "concept"), "code", "day", "concept")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -50,3 +51,17 @@ def test_smoothed_long_period(spark):
     assert (got["b", 0], got["b", 1], got["b", 2]) == (2.0, None, 4.0)
     with pytest.raises(ValueError, match="smoothed"):
         S.sma(F.col("x"), 1000, 1)
+
+
+def test_boards_come_to_the_bars(spark):
+    """Bars repeated for their boards are neither shuffled nor sorted by day and board; ties go to the first name."""
+    from barloom.operators import panel as op
+
+    bars = spark.createDataFrame([(c, d, float((c + d) % 3 - 1)) for c in range(4) for d in range(30)] + [(9, d, None) for d in range(30)], "code int, day int, pct double").repartition(3, "code")
+    members = spark.createDataFrame([(c, b) for c in (0, 1, 2, 3, 9) for b in ("x", "y", "z")], "code int, board string")
+    boards = spark.createDataFrame([(d, b, float(d % 3 - 1) * k) for d in range(30) for b, k in (("x", -1.0), ("y", 2.0), ("z", 1.0))], "day int, board string, performance double")
+    out = op.cosine_to_boards(bars, boards, members, "code", "day", "board")
+    got = {r.code: (r.board, r.days, r.similarity) for r in out.collect()}
+    assert got[0] == ("y", 30, 1.0) and got[3] == ("y", 30, 1.0) and sorted(got) == [0, 1, 2, 3]
+    assert got[1] == ("x", 30, 0.5)
+    assert "hashpartitioning(day" not in out._jdf.queryExecution().executedPlan().toString()
