@@ -27,27 +27,34 @@ def sma_weight(n: int, m: float) -> float:
     return min(max(m / max(int(n), 1), 0.0), 1.0)
 
 
-def smoothed(df: DataFrame, entity: str, order: str, value: str, weight: float, out: str) -> DataFrame:
+def smoothed(df: DataFrame, entity: str, order: str, value: str, weight: float, out: str, *again: str, dealt: bool = False) -> DataFrame:
     """``df`` with the recursive mean ``out`` of ``value``: s = value * weight + s * (1 - weight) in the entity's order.
 
     A null gives null and starts afresh. One pass over rows sorted by entity and order, the state carried from batch to
-    batch, so that the period doesn't matter and no entity's rows are held together.
+    batch, so that the period doesn't matter and no entity's rows are held together. Each name of ``again`` is the mean of
+    the one before it. With ``dealt`` an entity's rows are in one partition already and are not shuffled.
     """
-    inner = df.withColumn(out, F.col(value).cast("double"))
-    at, who = inner.columns.index(out), inner.columns.index(entity)
+    names = (out, *again)
+    inner = df.withColumns({c: F.col(value).cast("double") for c in names})
+    at, who = [inner.columns.index(c) for c in names], inner.columns.index(entity)
 
     def run(batches):
-        state, last, begun = None, None, False
+        state, last, begun = [], None, False
         for batch in batches:
-            done = []
-            for name, v in zip(batch.column(who).to_pylist(), batch.column(at).to_pylist(), strict=True):
+            done = [[] for _ in at]
+            for name, v in zip(batch.column(who).to_pylist(), batch.column(at[0]).to_pylist(), strict=True):
                 if not begun or name != last:
-                    state, last, begun = None, name, True
-                state = None if v is None else v if state is None else v * weight + state * (1 - weight)
-                done.append(state)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(done, pa.float64()))
+                    state, last, begun = [None] * len(at), name, True
+                for i, s in enumerate(state):
+                    v = None if v is None else v if s is None else v * weight + s * (1 - weight)
+                    state[i] = v
+                    done[i].append(v)
+            for i, values in zip(at, done, strict=True):
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(values, pa.float64()))
+            yield batch
 
-    return inner.repartition(entity).sortWithinPartitions(entity, order).mapInArrow(run, inner.schema)
+    rows = inner if dealt else inner.repartition(entity)
+    return rows.sortWithinPartitions(entity, order).mapInArrow(run, inner.schema)
 
 
 class Series:
@@ -264,6 +271,8 @@ def efficiency_ratio(s: Series, c, n: int = 20) -> Column:
     return div(c - s.ref(c, n), s.total(F.abs(c - s.ref(c, 1)), n))
 
 
-def kdj_j(s: Series, c, h, l, n: int = 9, m: int = 3) -> Column:
-    k = s.sma(s.rsv(c, h, l, n), m, 1)
-    return k * 3 - s.sma(k, m, 1) * 2
+def kdj_j(df: DataFrame, entity: str, order: str, c, h, l, n: int = 9, m: int = 3, dealt: bool = False) -> DataFrame:
+    """(entity, order, j): 3k - 2d; k is the recursive mean of the rsv, d that of k, both from one pass over an entity's rows."""
+    s = Series(entity, order)
+    rows = df.select(entity, order, s.rsv(c, h, l, n).alias("_rsv"))
+    return smoothed(rows, entity, order, "_rsv", sma_weight(m, 1), "_k", "_d", dealt=dealt).select(entity, order, (F.col("_k") * 3 - F.col("_d") * 2).alias("j"))

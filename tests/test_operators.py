@@ -65,3 +65,30 @@ def test_boards_come_to_the_bars(spark):
     assert got[0] == ("y", 30, 1.0) and got[3] == ("y", 30, 1.0) and sorted(got) == [0, 1, 2, 3]
     assert got[1] == ("x", 30, 0.5)
     assert "hashpartitioning(day" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kdj_in_one_pass(spark):
+    """k and d of a long series come from one pass, without a window of values for each row, and from rows dealt by entity without a shuffle."""
+    from barloom.functions.series import kdj_j
+
+    rng = random.Random(5)
+    rows = [(c, d, float(x), x + 1.0, x - 1.5) for c in range(3) for d in range(400) for x in [None if (c, d) == (1, 200) else rng.randrange(5, 60)] if x is not None]
+    rows.append((1, 200, None, 7.0, 5.0))
+    out = kdj_j(spark.createDataFrame(rows, "code int, day int, c double, h double, l double").repartition(2, "code"), "code", "day", F.col("c"), F.col("h"), F.col("l"), dealt=True)
+    got = {(r.code, r.day): r.j for r in out.collect()}
+    assert len(got) == 1200
+    for code in range(3):
+        mine, k, d = sorted(r[1:] for r in rows if r[0] == code), None, None
+        for i, (day, c, _, _) in enumerate(mine):
+            last = mine[max(i - 8, 0) : i + 1]
+            if len(last) < 9 or any(r[1] is None for r in last):
+                k = d = None
+                assert got[code, day] is None
+                continue
+            low, high = min(r[3] for r in last), max(r[2] for r in last)
+            rsv = (c - low) * 100 / (high - low)
+            k = rsv if k is None else rsv / 3 + k * 2 / 3
+            d = k if d is None else k / 3 + d * 2 / 3
+            assert abs(got[code, day] - (3 * k - 2 * d)) < 1e-9
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.split("Initial Plan")[-1].count("Exchange") == 1
