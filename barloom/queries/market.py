@@ -9,7 +9,7 @@ from barloom.functions.series import Series
 from barloom.operators import panel as op
 from barloom.operators import scoring as sc
 from barloom.queries.scoring import _RULES, details, stages, total_panel
-from barloom.sources.fixtures import BARS, CONCEPTS, STOCKS, concepts, read, stocks, supplier_bars
+from barloom.sources.fixtures import BARS, CONCEPTS, STOCKS, concepts, dealt, read, stocks, supplier_bars
 from barloom.sources.store import kept
 
 QUERIES: dict = {}
@@ -34,15 +34,20 @@ def ranked(spark, d):
     return sc.rank_days(total_panel(spark, d), "code", "day", "total", "j")
 
 
+def ranked_whole(spark, d):
+    """``ranked`` for queries that take every row with its details: days are dealt by the number of lines."""
+    return sc.rank_days(dealt(total_panel(spark, d), read(spark, d, "lineitem").count(), "day"), "code", "day", "total", "j")
+
+
 @query(f"WITH {RANKED} SELECT d.code, d.day, d.rule, d.score, rk.rank, max(rk.rank) OVER (PARTITION BY d.day) AS max_rank FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day")
 def j02_contribution_join(spark, d):
-    joined = sc.rule_details(ranked(spark, d), "code", "day", "rank")
+    joined = sc.rule_details(ranked_whole(spark, d), "code", "day", "rank")
     return joined.select("code", "day", "rule", "score", "rank", F.max("rank").over(Window.partitionBy("day")).alias("max_rank"))
 
 
 @query(f"WITH {RANKED}, mq AS (SELECT day, max(rank) AS top FROM rk GROUP BY day) SELECT rule, round(sum(score * (top + 1 - rank) / top), 4) AS total, round(sum(score * (top + 1 - rank) / top) / count(DISTINCT d.day), 4) AS per_day, round(avg(score * (top + 1 - rank) / top), 4) AS per_trigger FROM d JOIN rk ON d.code = rk.code AND d.day = rk.day JOIN mq ON d.day = mq.day GROUP BY rule")
 def b19_contribution(spark, d):
-    full = ranked(spark, d).withColumn("top", F.max("rank").over(Window.partitionBy("day")))
+    full = ranked_whole(spark, d).withColumn("top", F.max("rank").over(Window.partitionBy("day")))
     value = F.col("score") * (F.col("top") + 1 - F.col("rank")) / F.col("top")
     g = sc.rule_details(full, "code", "day", "rank", "top").withColumn("v", value)
     per = g.groupBy("rule", "day").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n")).groupBy("rule").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("days"), F.sum("n").alias("n"))
@@ -227,7 +232,7 @@ def g04_stage_ratio(spark, d):
 
 @query(f"WITH {RANKED}, dx AS MATERIALIZED (SELECT code, day, rule, score FROM d) SELECT dx.day, dx.code, dx.score, rank FROM dx JOIN rk ON dx.code = rk.code AND dx.day = rk.day WHERE rule = 'joined' AND abs(score) > 1e-12")
 def g05_triggered(spark, d):
-    every = sc.rule_details(ranked(spark, d), "code", "day", "rank")
+    every = sc.rule_details(ranked_whole(spark, d), "code", "day", "rank")
     return every.where((F.col("rule") == "joined") & (F.abs("score") > 1e-12)).select("day", "code", "score", "rank")
 
 

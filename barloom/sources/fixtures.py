@@ -16,6 +16,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """``df`` dealt by a column, to a task for every TASK_ROWS of ``rows``.
+
+    A task's sorts hold its rows: more rows make more tasks, not larger ones, which merging small shuffle blocks would.
+    """
+    tasks = rows // TASK_ROWS
+    return df.repartition(tasks, by) if tasks > df.sparkSession.sparkContext.defaultParallelism else df.repartition(by)
+
+
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, i, y, x, p, c): events of each user in order; x has nulls, p is a period by row, c a condition."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("i"), F.col("value").alias("y"), "event_type")
@@ -32,9 +41,7 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     dec = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")) / 100
     # dealt by code first, so that the grouping and every window by code that follows need no further shuffle
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity", "l_discount")
-    # a task's sorts hold its rows: more rows make more tasks, not larger ones, which merging small shuffle blocks would
-    tasks = lines.count() // TASK_ROWS
-    lines = lines.repartition(tasks, "code") if tasks > spark.sparkContext.defaultParallelism else lines.repartition("code")
+    lines = dealt(lines, lines.count(), "code")
     g = lines.groupBy("code", "day").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), dec("l_quantity").alias("volume"), dec("l_extendedprice").alias("amount"), (F.max("l_discount") * 100).alias("turnover"))
     g = g.withColumn("close", div(F.col("amount"), F.col("volume")))
     g = g.withColumn("pre_close", F.lag("close").over(Window.partitionBy("code").orderBy("day")))

@@ -53,3 +53,14 @@ def test_tasks_grow_with_the_lines(spark, small, monkeypatch):
     bars = fx.supplier_bars(spark, small)
     assert bars.rdd.getNumPartitions() == fx.read(spark, small, "lineitem").count() // 200
     assert sorted(map(tuple, bars.collect())) == want
+
+
+def test_days_are_dealt_by_rows(spark, small, monkeypatch):
+    """More lines make more tasks of ranked days, not larger ones."""
+    from barloom.queries import QUERIES
+    from barloom.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 250)
+    out = QUERIES["j02_contribution_join"](spark, small)
+    n = spark.read.parquet(f"{small}/lineitem.parquet").count() // 250
+    assert out.count() > 0 and f", {n}), REPARTITION_BY_NUM" in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(day" in x)
