@@ -10,6 +10,9 @@ match of ``length`` bytes marks the later window and, unless first copies are ke
 
 Anchors with very many distinct stretches are not gathered in a task. Their windows become rows of two 64-bit hashes,
 those that occur in two places are found by a partially aggregated minimum and maximum, and joined back.
+
+What is shuffled follows the input at any size: stretches whose anchor occurs once, and texts without a wanted stretch or
+a span, are left out before a shuffle by filters of bounded size, and joins on texts have one form for small and large tables.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm._tables import saved
+from barloom.llm._tables import drop, saved
 from barloom.llm._words import BYTE_VALUES, mix, powers
 
 GRAM = 48
@@ -156,9 +160,11 @@ def marked_windows(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
 
 #: Distinct stretches behind one anchor above which its windows are aggregated by their hashes and not gathered in a task.
 HOT_STRETCHES = 20_000
-#: Bytes of a text-free join side up to which it is sent to every task; beyond it the texts it concerns are shuffled to it.
-BROADCAST_BYTES = 32 << 20
+#: Ids of texts up to which they are sent to every task; more are sent as a filter of bounded size.
 BROADCAST_IDS = 1_000_000
+#: A filter has 16 bits for each key, up to so many (32 MB); each of its segments is made on its own.
+FILTER_BITS = 1 << 28
+SEGMENTS = 256
 #: Texts that a task remembers, to leave out copies it has met.
 REMEMBERED = 100_000
 CHUNK = 2 << 20
@@ -169,13 +175,50 @@ def _text_table(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("k"), value.alias("t"), F.xxhash64(value).alias("node"))
 
 
+def key_filter(keys: DataFrame):
+    """A function from an array of longs to whether each may be among the longs of ``keys``, its only column.
+
+    A long of ``keys`` always passes, another one rarely; what passes is still to be joined. Keys are dealt to segments
+    by their hash, so that no task and no row holds more than a segment; together they are ``FILTER_BITS`` at most.
+    """
+    bits = 1 << min(16 * keys.count() // SEGMENTS, FILTER_BITS // SEGMENTS - 1).bit_length()
+    mask = np.uint64(bits - 1)
+
+    def spots(x: np.ndarray):
+        x = mix(x.view(np.uint64))
+        return (x >> np.uint64(56)).astype(np.int64), (x & mask).astype(np.int64), ((x >> np.uint64(28)) & mask).astype(np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            cols = [pa.array(c, pa.int32()) for c in spots(batch.column(0).to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays(cols, names=["segment", "first", "second"])
+
+    def build(table: pa.Table) -> pa.Table:
+        flags = np.zeros(bits, bool)
+        for c in ("first", "second"):
+            flags[table.column(c).to_numpy()] = True
+        return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    flags = np.zeros((SEGMENTS, -(-bits // 8)), np.uint8)
+    for row in keys.mapInArrow(deal, "segment int, first int, second int").groupBy("segment").applyInArrow(build, "segment int, bits binary").collect():
+        flags[row.segment] = np.frombuffer(row.bits, np.uint8)
+    sent = keys.sparkSession.sparkContext.broadcast(flags)
+
+    def may_be(x: np.ndarray) -> np.ndarray:
+        segment, *places = spots(x)
+        return np.logical_and(*[(sent.value[segment, at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places])
+
+    return may_be
+
+
 def anchor_table(texts: DataFrame, length: int) -> DataFrame:
-    """k, node, n_bytes, sha256 of the text, and its stretches (h, sh, l, r): anchor, content hash, first and last window.
+    """k, node, n_bytes, sha256 of the text, and its stretches (h, sh, l): anchor, content hash, first window.
 
-    Equal texts have one node; a node that the task has met before has no stretches.
+    A stretch ends where the next one, or the text, does. Equal texts have one node; a node that the task has met before
+    has no stretches.
     """
     kind = texts.schema["k"].dataType.simpleString()
-    stretch = pa.list_(pa.struct([("h", pa.int64()), ("sh", pa.int64()), ("l", pa.int32()), ("r", pa.int32())]))
+    stretch = pa.list_(pa.struct([("h", pa.int64()), ("sh", pa.int64()), ("l", pa.int32())]))
 
     def run(batches):
         seen: set[int] = set()
@@ -189,16 +232,16 @@ def anchor_table(texts: DataFrame, length: int) -> DataFrame:
                 if not none[-1]:
                     raw = np.frombuffer(data, np.uint8)
                     h, first, last = anchors(raw, length)
-                    parts.append((h, _stretch_hashes(raw, first, last + length), first, last))
+                    parts.append((h, _stretch_hashes(raw, first, last + length), first))
                     counts.append(len(h))
                 else:
                     counts.append(0)
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-            inner = pa.StructArray.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["h", "sh", "l", "r"])
+            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3)]
+            inner = pa.StructArray.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32))], names=["h", "sh", "l"])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), inner).cast(stretch)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), lists], names=["k", "node", "n_bytes", "sha", "stretches"])
 
-    return texts.mapInArrow(run, f"k {kind}, node long, n_bytes long, sha string, stretches array<struct<h:long,sh:long,l:int,r:int>>")
+    return texts.mapInArrow(run, f"k {kind}, node long, n_bytes long, sha string, stretches array<struct<h:long,sh:long,l:int>>")
 
 
 def _stretch_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -208,15 +251,36 @@ def _stretch_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """(t, node, column) of the texts that ``lists`` (node, column: an array of structs of numbers) has; the side to send is measured."""
-    nodes, items, width = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(column)), F.lit(0)), F.lit(len(lists.schema[column].dataType.elementType.fields))).first()
+def _places(lists: DataFrame, length: int, may_be) -> DataFrame:
+    """h, sh, node, l, r, o: the stretches of ``lists`` (node, n_bytes, o, stretches) whose anchor passes the filter."""
+
+    def run(batches):
+        for batch in batches:
+            flat, counts = batch.column(3).flatten(), batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            h, sh, first = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            last = np.append(first[1:], 0) - 1
+            some = counts > 0
+            last[np.cumsum(counts)[some] - 1] = batch.column(1).to_numpy(zero_copy_only=False)[some] - length
+            at = np.flatnonzero(may_be(h))
+            own = np.repeat(np.arange(len(counts)), counts)[at]
+            cols = [pa.array(h[at]), pa.array(sh[at]), batch.column(0).take(pa.array(own)), pa.array(first[at], pa.int32()), pa.array(last[at].astype(np.int32)), batch.column(2).take(pa.array(own))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "sh", "node", "l", "r", "o"])
+
+    return lists.mapInArrow(run, "h long, sh long, node long, l int, r int, o long")
+
+
+def _of_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(t, node) of the texts that have one of ``nodes`` (node: distinct), and few others."""
     texts = texts.select("t", "node")
-    if 40 * nodes + (16 + 8 * width) * items <= BROADCAST_BYTES:
-        return texts.join(F.broadcast(lists), "node").select("t", "node", column)
-    if nodes <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(lists.select("node")), "node", "left_semi")
-    return texts.join(lists, "node").select("t", "node", column)
+    if nodes.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(nodes), "node", "left_semi")
+    may_be = key_filter(nodes)
+
+    @F.pandas_udf("boolean")
+    def wanted(node: pd.Series) -> pd.Series:
+        return pd.Series(may_be(node.to_numpy()).astype(bool))
+
+    return texts.where(wanted("node"))
 
 
 def _met(seen: set, node: int) -> bool:
@@ -232,7 +296,6 @@ def _met(seen: set, node: int) -> bool:
 def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Wanted stretches: (h, sh, at, stretch) with their bytes, or for hot anchors (h, sh, at, w1, w2), two hashes of each window."""
     lists = wanted.groupBy("node").agg(F.collect_list(F.struct("h", "sh", "l", "r", "hot", "o")).alias("w"))  # one document's own
-    lists = saved(lists, "cut-lists")
 
     def run(batches):
         seen: set[int] = set()
@@ -256,7 +319,7 @@ def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sh", "at", "stretch", "w1", "w2", "o", "l"])
 
-    joined = _with_lists(texts, lists, "w")
+    joined = _of_nodes(texts, wanted.select("node").distinct()).join(lists, "node").select("t", "node", "w")
     return joined.mapInArrow(run, "h long, sh long, at int, stretch binary, w1 long, w2 long, o long, l int")
 
 
@@ -306,37 +369,47 @@ def _mark(stretches: DataFrame, length: int, keep_first: bool = False) -> DataFr
     return stretches.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, sh long, a int, b int")
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """node, s: a text's spans (begin << 32 | end) as maximal runs, in order."""
+
+    def run(batches):
+        for batch in batches:
+            runs = []
+            for s in batch.column(1):
+                s = np.sort(s.values.to_numpy(zero_copy_only=False))
+                begin, reach = s >> 32, np.maximum.accumulate(s & 0xFFFFFFFF)
+                first = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+                runs.append((begin[first] << 32) | reach[np.append(first[1:], len(s)) - 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int64()))], names=["node", "s"])
+
+    return spans.mapInArrow(run, "node long, s array<long>")
+
+
 def _kept(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    """node, n_removed, n_spans, kept_sha256 (and kept bytes): each text without the union of its spans."""
+    """node, n_removed, n_spans, kept_sha256 (and kept bytes): each text without its merged spans."""
     names = ["node", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for value, node, s in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for value, node, s in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if _met(seen, node):
                     continue
-                data, parts, done, gone, runs = value.as_py().encode(), [], 0, 0, 0
-                reach = -1
-                for x in sorted((x["a"], x["b"]) for x in s.as_py()):
-                    if x[0] > reach:
-                        parts.append(data[done : x[0]])
-                        runs += 1
-                        gone += x[1] - x[0]
-                        reach = x[1]
-                    elif x[1] > reach:
-                        gone += x[1] - reach
-                        reach = x[1]
-                    done = reach
+                data, parts, done, gone = value.as_py().encode(), [], 0, 0
+                for x in s:
+                    begin, end = x >> 32, x & 0xFFFFFFFF
+                    parts.append(data[done:begin])
+                    gone += end - begin
+                    done = end
                 parts.append(data[done:])
                 kept = b"".join(parts)
-                rows.append((node, gone, runs, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
+                rows.append((node, gone, len(s), hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * with_text]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    joined = _with_lists(texts, spans, "s")
+    joined = _of_nodes(texts, spans.select("node")).join(spans, "node").select("t", "node", "s")
     return joined.mapInArrow(run, "node long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
@@ -354,17 +427,24 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key:
         raise ValueError(f"length below {GRAM}")
     texts = _text_table(docs, text, key)
     table = saved(anchor_table(texts, length).withColumn("row", F.monotonically_increasing_id()), "anchors")
-    copies = table.groupBy("node", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first_row"))
+    heads = saved(table.drop("stretches"), "heads")
+    copies = heads.groupBy("node", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first_row"))
     copied = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("node", "first_row", F.lit(True).alias("copied"))
-    places = table.select("node", F.col("row").alias("o"), F.inline("stretches")).withColumn("p", F.xxhash64("node", "l"))
+    # without keep_first no row's place in the order is carried along
+    lists = table.select("node", "n_bytes", (F.col("row") if keep_first else F.lit(0).cast("long")).alias("o"), "stretches")
     if keep_first:  # tasks that met the same text have its stretches twice: the first row's stay
-        places = places.join(table.groupBy("node").agg(F.min("row").alias("o")), ["node", "o"], "left_semi")
+        lists = lists.join(heads.groupBy("node").agg(F.min("row").alias("o")), ["node", "o"], "left_semi").select(lists.columns)
+    anchored = lists.select("node", F.inline("stretches")).select("h", F.xxhash64("node", "l").alias("p"))
     # written before it is joined: two plain exchanges, whose hot keys Spark can split
-    twice = saved(places.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("h"), "repeated-anchors")
-    repeated = saved(places.join(twice, "h"), "repeated")
-    which = F.struct("o", "l", "node", "r") if keep_first else F.struct("p", "o", "l", "node", "r")
-    kinds = repeated.groupBy("h", "sh").agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min(which).alias("w"))
-    kinds = saved(kinds.select("h", "sh", "w.node", "w.l", "w.r", "w.o", (F.col("p0") != F.col("p1")).alias("whole")), "stretch-kinds")
+    twice = saved(anchored.groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("h"), "repeated-anchors")
+    places = _places(lists, length, key_filter(twice))
+    repeated = saved((places if keep_first else places.drop("o")).join(twice, "h"), "repeated")
+    for done in (table, twice):
+        drop(done)
+    # equal texts have one place here, as they have one node
+    which = F.struct("o", "l", "node", "r") if keep_first else F.struct("node", "l", "r", F.lit(0).cast("long").alias("o"))
+    kinds = repeated.groupBy("h", "sh").agg(F.min(which).alias("w"), F.max(which).alias("z"))
+    kinds = saved(kinds.select("h", "sh", "w.node", "w.l", "w.r", "w.o", (F.col("w") != F.col("z")).alias("whole")), "stretch-kinds")
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT_STRETCHES).alias("hot"))
     wanted = saved(kinds.join(mixed, "h"), "wanted")
     cut = saved(_cut(texts, wanted, length), "stretches")
@@ -375,7 +455,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key:
     all_of = F.array(F.struct(F.lit(0).alias("a"), (F.col("r") - F.col("l")).alias("b")))
     if keep_first:  # of stretches that occur twice as a whole, the first keeps what has no earlier copy elsewhere
         first = kinds.select("h", "sh", F.struct("node", "l").alias("first")).join(part, ["h", "sh"], "left")
-        spans = repeated.join(saved(first, "marked-stretches"), ["h", "sh"])
+        marked = saved(first, "marked-stretches")
+        spans = repeated.join(marked, ["h", "sh"])
         own = F.struct("node", "l") == F.col("first")
         runs = F.when(~own, all_of).otherwise(F.coalesce("runs", F.array().cast("array<struct<a:int,b:int>>")))
     else:
@@ -383,12 +464,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", key:
         marked = saved(full.unionByName(part), "marked-stretches")
         spans = repeated.select("h", "sh", "node", "l", "r").join(marked, ["h", "sh"])
         runs = F.coalesce("runs", all_of)
-    spans = spans.select("node", F.transform(runs, lambda x: F.struct((F.col("l") + x.a).cast("long").alias("a"), (F.col("l") + x.b + length).cast("long").alias("b"))).alias("s"))
-    spans = spans.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))  # one document's own
-    spans = saved((spans if keep_first else spans.join(copied, "node", "left_anti")).where(F.size("s") > 0), "spans")
+    spans = spans.select("node", F.transform(runs, lambda x: F.shiftleft((F.col("l") + x.a).cast("long"), 32).bitwiseOR((F.col("l") + x.b + length).cast("long"))).alias("s"))
+    spans = spans.groupBy("node").agg(F.flatten(F.collect_list("s")).alias("s")).where(F.size("s") > 0)  # one document's own
+    spans = saved(_merged(spans if keep_first else spans.join(copied, "node", "left_anti")), "spans")
+    for done in (repeated, kinds, wanted, cut, marked):
+        drop(done)
     kept = _kept(texts, spans, with_text)
     kept = kept.dropDuplicates(["node"])
-    out = table.select("k", "row", "node", "n_bytes", "sha").join(copied, "node", "left").join(kept, "node", "left")
+    out = heads.select("k", "row", "node", "n_bytes", "sha").join(copied, "node", "left").join(kept, "node", "left")
     nothing = hashlib.sha256(b"").hexdigest()
     gone = F.col("copied").isNotNull() & (F.col("row") != F.col("first_row") if keep_first else F.lit(True))
     columns = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -143,6 +144,48 @@ def test_suffix_dedup_shared_passage(spark, monkeypatch):
     assert largest and max(largest) <= 10
 
 
+def test_suffix_dedup_shuffles_what_repeats(spark, monkeypatch):
+    """Stretches and texts that repeat nothing are left out before a shuffle, also where too many texts have spans to send their ids."""
+    for name, value in (("BROADCAST_IDS", 0), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    own = lambda i: "".join(hashlib.sha256(f"{i}:{j}".encode()).hexdigest() for j in range(300))
+    passage = " ".join(f"clause{i}" for i in range(60))
+    rows = [(i, own(i)) for i in range(60)] + [(60, passage + own(60)), (61, own(61)[:100] + passage), (62, own(62)[:70] + own(0)[900:1500]), (63, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+
+    def written():
+        time.sleep(0.3)
+        spark.range(1).count()  # figures are kept up to date by events
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before, conf = written(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(conf, -1)
+    try:
+        out = suffix_dedup.remove_repeats(table)
+        got = by_row((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect())
+    finally:
+        spark.conf.unset(conf)
+    moved = written() - before
+    assert got == repeats_model(rows)
+    assert 0 < moved < 0.8 * sum(len(t or "") for _, t in rows)
+
+
+@pytest.mark.parametrize("most", [1 << 12, 1 << 28])
+def test_suffix_dedup_filter(spark, monkeypatch, most):
+    """No key is lost, however full the filter is; with 16 bits for each, few others pass."""
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", most)
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63, 4000, dtype=np.int64)
+    may_be = suffix_dedup.key_filter(spark.createDataFrame([(int(x),) for x in keys[:2000]], "h long"))
+    assert may_be(keys[:2000]).all()
+    if most == 1 << 28:
+        assert may_be(keys[2000:]).mean() < 0.05
+    assert not suffix_dedup.key_filter(spark.createDataFrame([], "h long"))(keys).any()
+
+
 def test_longest_previous():
     import numpy as np
 
